@@ -1,0 +1,4 @@
+"""No streaming operators: every computation here is over stored tables.
+
+"Continuous" prediction means one prediction per stored time slot (see ``operators.series``).
+"""
