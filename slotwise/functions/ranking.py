@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.functions.columns import row_hash
-from slotwise.session import checkpointed
+from slotwise.session import stored
 
 RANK_BUCKETS = 4096
 
@@ -24,13 +24,11 @@ def _range_parts(
 ) -> tuple[DataFrame, DataFrame]:
     """Split ``df`` by range of (by, order); return the rows and the offset of each part.
 
-    Where the ranges lie depends on a sample, so the split is checkpointed: offsets and rows
-    then always come from the same split, also when an executor is lost.
+    Where the ranges lie depends on a sample, so the split is stored: offsets and rows then
+    always come from the same split, also when an executor is lost.
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
-    parts = checkpointed(
-        df.repartitionByRange(*by, key).withColumn("_part", F.spark_partition_id())
-    )
+    parts = stored(df.repartitionByRange(*by, key).withColumn("_part", F.spark_partition_id()))
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     totals = parts.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     offsets = totals.withColumns(

@@ -68,17 +68,7 @@ def roc_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFram
 
 def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by trapezoids; tied scores share a step."""
-    counts = _score_counts(df, y, p, by)
-    higher = (F.col("tps") - F.col("pos")).cast("double")
-    area = F.col("neg").cast("double") * (higher + F.col("pos").cast("double") / F.lit(2.0))
-    sums = counts.groupBy(*by).agg(
-        F.sum(area).alias("_area"),
-        F.sum("pos").cast("double").alias("_p"),
-        F.sum("neg").cast("double").alias("_n"),
-    )
-    return sums.select(
-        *by, F.try_divide(F.col("_area"), F.col("_p") * F.col("_n")).alias("roc_auc")
-    )
+    return curve_metrics(df, y, p, by).select(*by, "roc_auc")
 
 
 def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -104,42 +94,58 @@ def _recall() -> Column:
 
 
 def pr_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Trapezoid area under the precision-recall curve (not the average precision).
+    """Trapezoid area under the precision-recall curve (not the average precision)."""
+    return curve_metrics(df, y, p, by).select(*by, "pr_auc")
+
 
-    The point before each score follows from the running counts less the score's own, so no
-    look at the neighbouring row is needed.
+def best_threshold(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """The threshold with the largest TPR - FPR; the highest one when several tie."""
+    return curve_metrics(df, y, p, by).select(*by, "threshold", "tpr", "fpr")
+
+
+def curve_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Both areas and the best threshold from one pass over the distinct scores.
+
+    The point before a score follows from the running counts less the score's own, so no look at
+    the neighbouring row is needed.  Distances are compared as ``tps * N - fps * P`` in exact
+    arithmetic, so rounding cannot break a tie; a curve that never rises above the diagonal has
+    its best point at the start, where nothing is predicted positive.
     """
     counts = _with_totals(_score_counts(df, y, p, by), by)
     tp, fp = F.col("tps").cast("double"), F.col("fps").cast("double")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
-    before = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(F.try_divide(tp0, tp0 + fp0))
-    width = F.try_divide(F.col("pos").cast("double"), F.col("n_pos"))
-    area = width * (tp / (tp + fp) + before) / F.lit(2.0)
-    return counts.groupBy(*by).agg(F.sum(area).alias("pr_auc"))
+    n_pos, n_neg = F.col("n_pos"), F.col("n_neg")
 
+    roc_area = F.col("neg") * (tp0 + F.col("pos") / F.lit(2.0))
+    before = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(F.try_divide(tp0, tp0 + fp0))
+    width = F.try_divide(F.col("pos").cast("double"), n_pos)
+    pr_area = width * (tp / (tp + fp) + before) / F.lit(2.0)
 
-def best_threshold(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """The threshold with the largest TPR - FPR; the highest one when several tie.
-
-    Compared as ``tps * N - fps * P`` in exact arithmetic, so rounding cannot break a tie.
-    """
-    curve = roc_curve(df, y, p, by)
     whole = "decimal(19,0)"
-    totals = curve.groupBy(*by).agg(F.max("tps").alias("_p"), F.max("fps").alias("_n"))
-    if by:
-        ranked = curve.join(totals, list(by))
-    else:
-        one = totals.select(F.struct("_p", "_n").alias("t"))
-        ranked = curve.withColumn("_t", one.scalar()).select("*", "_t.*").drop("_t")
-    distance = F.col("tps").cast(whole) * F.col("_n").cast(whole) - F.col("fps").cast(
+    distance = F.col("tps").cast(whole) * n_neg.cast(whole) - F.col("fps").cast(
         whole
-    ) * F.col("_p").cast(whole)
-    best = ranked.groupBy(*by).agg(
-        F.max_by(
-            F.struct("threshold", "tpr", "fpr"), F.struct(distance.alias("d"), F.col("threshold"))
-        ).alias("_best")
+    ) * n_pos.cast(whole)
+    point = F.struct(
+        distance.alias("d"),
+        F.col("threshold"),
+        F.try_divide(tp, n_pos).alias("tpr"),
+        F.try_divide(fp, n_neg).alias("fpr"),
+    )
+    sums = counts.groupBy(*by).agg(
+        F.sum(roc_area).alias("_roc"),
+        F.sum(pr_area).alias("pr_auc"),
+        F.max(point).alias("_best"),
+        *[F.max(c).alias(c) for c in ("n_pos", "n_neg", "top")],
+    )
+    above = F.col("_best.d") > 0
+    return sums.select(
+        *by,
+        F.try_divide(F.col("_roc"), n_pos * n_neg).alias("roc_auc"),
+        "pr_auc",
+        F.when(above, F.col("_best.threshold")).otherwise(F.col("top") + 1.0).alias("threshold"),
+        F.when(above, F.col("_best.tpr")).when(n_pos > 0, F.lit(0.0)).alias("tpr"),
+        F.when(above, F.col("_best.fpr")).when(n_neg > 0, F.lit(0.0)).alias("fpr"),
     )
-    return best.select(*by, "_best.*")
 
 
 def _confusion(y: str, predicted: Column) -> list[Column]:

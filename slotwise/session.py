@@ -1,8 +1,9 @@
-"""Session helpers: a test/bench session and the shared checkpoint folder."""
+"""Session helpers: a test/bench session, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,31 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate data, ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``.  Only a local session without that setting gets a
-    folder of its own; on a cluster a missing setting is an error, because a machine-local
-    folder would not survive the loss of an executor.
+    Only a local session without that setting gets a folder of its own.  On a cluster a missing
+    setting is an error: a machine-local folder would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="slotwise-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="slotwise-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table of its own in the shared folder and return a scan of it.
+
+    The scan starts a short new lineage on files that outlive any executor, reads only the
+    columns it needs, and has a known size, from which the planner decides on broadcasts.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+TSV_OPTIONS = {
+    "sep": "\t",
+    "header": "true",
+    "timestampFormat": TIMESTAMP_FORMAT,
+    "timestampNTZFormat": TIMESTAMP_FORMAT,
+}
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -50,19 +56,14 @@ def read_jdbc(
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Tab-separated text with a header; the schema is given, never inferred."""
-    df = spark.read.csv(
-        path, sep="\t", header=True, schema=schema, enforceSchema=False, mode="FAILFAST",
-        timestampFormat=TIMESTAMP_FORMAT, timestampNTZFormat=TIMESTAMP_FORMAT,
-    )
+    reader = spark.read.options(**TSV_OPTIONS).option("mode", "FAILFAST")
+    df = reader.option("enforceSchema", False).schema(schema).csv(path)
     return nan_to_null(df)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated text with a header, one file per partition."""
-    df.write.mode("overwrite").csv(
-        path, sep="\t", header=True,
-        timestampFormat=TIMESTAMP_FORMAT, timestampNTZFormat=TIMESTAMP_FORMAT,
-    )
+    df.write.mode("overwrite").options(**TSV_OPTIONS).csv(path)
 
 
 def materialize(
