@@ -7,16 +7,21 @@ inside a part are added to the offset.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.functions.columns import row_hash
+from slotwise.functions.columns import any_of, row_hash
 from slotwise.session import stored
 
 RANK_BUCKETS = 4096
+SKETCH_GROUPS = 64
+RANK_IN_ONE_TASK = 1_000_000  # values inside one bracket; above it they are ranked in parts
 
 
 def _range_parts(
@@ -65,58 +70,135 @@ def _with_offsets(parts: DataFrame, offsets: DataFrame, by: Sequence[str]) -> Da
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], name: str = "feature"
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    name: str = "feature",
+    accuracy: int = 1000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation over the non-null values of each column.
 
-    One row per column: the column's name and ``q0 .. qk`` for the given probabilities (null
-    for a column without values).  Equal values are counted before the shuffle, and only the
-    parts that hold a wanted rank are sorted.
-    """
-    names = F.array(*[F.lit(c) for c in cols])
-    values = F.array(*[F.col(c).cast("double") for c in cols])
-    long = df.select(F.explode(F.arrays_zip(names.alias("f"), values.alias("v"))).alias("_z"))
-    long = long.select(F.col("_z.f").alias(name), F.col("_z.v").alias("_v"))
-    counts = (
-        long.filter(F.col("_v").isNotNull()).groupBy(name, "_v").agg(F.count("*").alias("_n"))
-    )
-    parts, offsets = _range_parts(counts, "_v", ["_n"], [name], descending=False)
-    sizes = offsets.groupBy(name).agg(F.sum("_sum__n").alias("_size"))
+    One row per column: its name and ``q0 .. qk`` for the given probabilities (null for a column
+    without values).  The quantiles are fitted when the function is called, so the result is a
+    local table of ``len(cols)`` rows that later plans use without computing it again.
 
-    def position(p: float):
-        return (F.col("_size") - 1).cast("double") * F.lit(float(p))
+    Sketches bracket each wanted rank, exact counts confirm the brackets, and only the values
+    inside a bracket (about one percent of the rows) are shuffled and ranked.  The input is read
+    three times; store it first when it is costly.
+    """
+    doubles = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in cols]
+    values = df.select(*[v.alias(f"c{i}") for i, v in enumerate(doubles)])
+    targets = [_Target(i, p) for i in range(len(cols)) for p in probs]
+    pending, margin = targets, 5.0 / accuracy
+    while pending:
+        _bracket(values, pending, margin, accuracy)
+        _count(values, pending)
+        pending = [t for t in pending if not t.covered()]
+        margin *= 10
+    _rank(values, [t for t in targets if t.size and t.low != t.high])
+    rows = [
+        {name: c, **{f"q{j}": targets[i * len(probs) + j].value() for j in range(len(probs))}}
+        for i, c in enumerate(cols)
+    ]
+    schema = pa.schema([(name, pa.string()), *[(f"q{j}", pa.float64()) for j in range(len(probs))]])
+    return df.sparkSession.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
+
+
+@dataclass
+class _Target:
+    """One wanted quantile: its column, the bracket around it and what is known about it."""
+
+    col: int
+    prob: float
+    low: float = -math.inf
+    high: float = math.inf
+    size: int = 0
+    below: int = 0
+    inside: int = 0
+    found: dict[int, float] = field(default_factory=dict)
+
+    @property
+    def position(self) -> float:
+        return max(self.size - 1, 0) * self.prob
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.position), math.ceil(self.position)
+
+    def covered(self) -> bool:
+        first, last = self.ranks
+        return not self.size or self.below <= first and last < self.below + self.inside
+
+    def within(self) -> Column:
+        return F.col(f"c{self.col}").between(F.lit(self.low), F.lit(self.high))
+
+    def value(self) -> float | None:
+        if not self.size:
+            return None
+        first, last = (self.found.get(r, self.low) for r in self.ranks)
+        return first + (last - first) * (self.position - math.floor(self.position))
+
+
+def _bracket(values: DataFrame, targets: list[_Target], margin: float, accuracy: int) -> None:
+    """Bracket each target from approximate quantiles a margin below and above it.
+
+    Sketches are merged in a fixed number of groups rather than in one task; the quantile of the
+    whole lies between the smallest and the largest one of the groups.
+    """
 
-    ranks = sorted({p for p in probs})
-    wanted = F.array(
-        *[f(position(p)).cast("bigint") for p in ranks for f in (F.floor, F.ceil)]
-    )
-    first, last = F.col("_before__n"), F.col("_before__n") + F.col("_sum__n")
-    offsets = (
-        offsets.join(sizes, name)
-        .withColumn("_wanted", wanted)
-        .filter(F.exists("_wanted", lambda r: (r >= first) & (r < last)))
-    )
-    inside = W.partitionBy(name, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    running = _with_offsets(parts, offsets, [name]).withColumn(
-        "_cum", F.col("_before__n") + F.sum("_n").over(inside)
+    def near(t: _Target) -> Column:
+        around = [F.lit(max(t.prob - margin, 0.0)), F.lit(min(t.prob + margin, 1.0))]
+        return F.percentile_approx(f"c{t.col}", F.array(*around), F.lit(accuracy))
+
+    groups = (
+        values.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
+        .agg(*[near(t).alias(f"t{k}") for k, t in enumerate(targets)])
+        .agg(
+            *[F.min(F.col(f"t{k}")[0]).alias(f"low{k}") for k in range(len(targets))],
+            *[F.max(F.col(f"t{k}")[1]).alias(f"high{k}") for k in range(len(targets))],
+        )
+        .first()
     )
-
-    def value_at(rank):
-        return F.min(F.when(F.col("_cum") > rank, F.col("_v")))
-
-    picked = running.groupBy(name).agg(
-        F.max("_size").alias("_size"),
-        *[value_at(F.floor(position(p))).alias(f"_lo{i}") for i, p in enumerate(probs)],
-        *[value_at(F.ceil(position(p))).alias(f"_hi{i}") for i, p in enumerate(probs)],
+    for k, t in enumerate(targets):
+        low, high = groups[f"low{k}"], groups[f"high{k}"]
+        t.low = -math.inf if low is None or t.prob <= margin else low
+        t.high = math.inf if high is None or t.prob >= 1 - margin else high
+
+
+def _count(values: DataFrame, targets: list[_Target]) -> None:
+    """Count exactly how many values lie below and inside each bracket."""
+    counts = values.agg(
+        *[F.count(f"c{t.col}").alias(f"size{k}") for k, t in enumerate(targets)],
+        *[F.count_if(F.col(f"c{t.col}") < t.low).alias(f"below{k}") for k, t in enumerate(targets)],
+        *[F.count_if(t.within()).alias(f"inside{k}") for k, t in enumerate(targets)],
+    ).first()
+    for k, t in enumerate(targets):
+        t.size, t.below, t.inside = counts[f"size{k}"], counts[f"below{k}"], counts[f"inside{k}"]
+
+
+def _rank(values: DataFrame, targets: list[_Target]) -> None:
+    """Find the values at the wanted ranks among those inside the brackets."""
+    if not targets:
+        return
+    tagged = [
+        F.when(t.within(), F.struct(F.lit(k).alias("k"), F.col(f"c{t.col}").alias("v")))
+        for k, t in enumerate(targets)
+    ]
+    inside = values.filter(any_of([t.within() for t in targets])).select(
+        F.inline(F.array_compact(F.array(*tagged)))
     )
-
-    def interpolated(i: int, p: float):
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        return low + (high - low) * (position(p) - F.floor(position(p)))
-
-    found = picked.select(name, *[interpolated(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
-    listed = df.sparkSession.range(1).select(F.explode(names).alias(name))
-    return listed.join(found, name, "left")
+    counts = inside.groupBy("k", "v").agg(F.count("*").alias("n"))
+    if max(t.inside for t in targets) <= RANK_IN_ONE_TASK:
+        order = W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+        running = counts.withColumn("cum_n", F.sum("n").over(order))
+    else:
+        running = cumulative(counts, "v", ["n"], by=["k"])
+    wanted = F.array(*[F.array(*[F.lit(r - t.below) for r in t.ranks]) for t in targets])
+    ranked = running.select("k", "v", "cum_n", F.explode(wanted[F.col("k")]).alias("r"))
+    rows = ranked.filter(F.col("cum_n") > F.col("r")).groupBy("k", "r").agg(F.min("v").alias("v"))
+    for row in rows.collect():
+        t = targets[row["k"]]
+        t.found[row["r"] + t.below] = row["v"]
 
 
 def quantile(df: DataFrame, col: str, prob: float) -> DataFrame:

@@ -25,12 +25,12 @@ def find_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
 
     They become column names, so there must be few: more than ``MAX_CATEGORIES`` is an error.
     """
-    found = {}
-    for c in cols:
-        rows = df.select(c).dropna().distinct().limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
-        found[c] = sorted(row[0] for row in rows)
+    pairs = [F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols]
+    values = df.select(F.inline(F.array(*pairs))).dropna().distinct()
+    rows = values.limit(len(cols) * MAX_CATEGORIES + 1).collect()
+    found = {c: sorted(row["value"] for row in rows if row["col"] == c) for c in cols}
+    if len(rows) > len(cols) * MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories per column")
     return found
 
 

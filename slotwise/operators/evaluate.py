@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.ranking import cumulative, shuffled_rank
 from slotwise.operators.encode import last_steps
+from slotwise.session import stored
 
 
 def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
@@ -275,29 +276,43 @@ def permutation_importance(
 
     Whole sequences change hands: step k of a row takes the donor's value at step k, counted
     from the end as in padded sequences; where the donor is padding it takes ``pad_value``.
-    ``score_fn`` adds the column ``score`` to a table with the feature columns.  All features are
-    evaluated in one job over (feature, row); names travel with the values.
+    ``score_fn`` adds the column ``score`` to a table with the feature columns.
+
+    Donated values travel alone, one narrow row per (feature, step); a row meets all of them at
+    once and is only then repeated per feature, inside its task.  All features are evaluated in
+    one job and names travel with the values.
     """
-    rows = last_steps(df, id, time, maxlen).select(id, "step", y, *feats)
+    rows = stored(last_steps(df, id, time, maxlen).select(id, "step", y, *feats))
     donors = permutation_donors(rows.select(id).distinct(), id, feats, seed, fn)
     pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("_value")) for c in feats]
     given = rows.select(F.col(id).alias("donor"), "step", F.inline(F.array(*pairs)))
     swapped = (
-        rows.join(donors, id)
-        .join(given, ["donor", "step", "feature"], "left")
-        .withColumns(
-            {
-                c: F.when(
-                    F.col("feature") == c, F.coalesce(F.col("_value"), F.lit(pad_value))
-                ).otherwise(F.col(c))
-                for c in feats
-            }
+        given.join(donors, ["donor", "feature"])
+        .groupBy(id, "step")
+        .agg(
+            *[
+                F.max(F.when(F.col("feature") == c, F.col("_value"))).alias(f"_new{i}")
+                for i, c in enumerate(feats)
+            ]
         )
-        .drop("donor", "_value")
+    )
+    both = rows.join(swapped, [id, "step"], "left")
+    listed = F.array(*[F.lit(c) for c in feats])
+    variants = both.withColumn("feature", F.explode(listed)).select(
+        id,
+        "step",
+        y,
+        "feature",
+        *[
+            F.when(F.col("feature") == c, F.coalesce(F.col(f"_new{i}"), F.lit(pad_value)))
+            .otherwise(F.col(c))
+            .alias(c)
+            for i, c in enumerate(feats)
+        ],
     )
     error = F.abs(F.col(score) - F.col(y).cast("double"))
     return (
-        score_fn(swapped)
+        score_fn(variants)
         .groupBy("feature")
         .agg(F.avg(error).alias("mae"))
         .orderBy(F.desc("mae"), "feature")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,10 +62,9 @@ def slot_ranges(
     )
 
 
-def flag_intervals(
+def flag_treatments(
     grid: DataFrame,
-    intervals: DataFrame,
-    name: str,
+    treatments: Mapping[str, DataFrame],
     id: str = "id",
     slot: str = "slot",
     width: str = "6 hours",
@@ -73,27 +72,43 @@ def flag_intervals(
     start: str = "starttime",
     end: str = "endtime",
 ) -> DataFrame:
-    """Add column ``name``: 1 where an interval touches the slot, else 0.
+    """Add one column per treatment: 1 where one of its intervals touches the slot, else 0.
 
     Intervals are reduced to distinct runs of slots, runs are expanded to slots, and slots are
-    matched by equality: no range join, and a heavily treated id does not sit in one task,
-    because repeats are removed before the shuffle and the join key includes the slot.  Runs are
-    clipped to the time range of the grid, so an open-ended interval stays as short as the data.
+    matched by equality, all treatments in one join: no range join, and a heavily treated id does
+    not sit in one task, because repeats are removed before the shuffle and the keys include the
+    slot.  Runs are clipped to the time range of the grid, so an open-ended interval stays as
+    short as the data.  The grid is read twice; store it first when it is costly.
     """
     span = grid.agg(F.struct(F.min(slot).alias("low"), F.max(slot).alias("high")).alias("s"))
-    runs = slot_ranges(intervals, id, start, end, width, tail).withColumn("_span", span.scalar())
+    runs = union_intervals(
+        [
+            slot_ranges(table, id, start, end, width, tail).withColumn("_name", F.lit(name))
+            for name, table in treatments.items()
+        ]
+    ).withColumn("_span", span.scalar())
     clipped = runs.select(
         id,
+        "_name",
         F.greatest("first", "_span.low").alias("first"),
         F.least("last", "_span.high").alias("last"),
     ).filter(F.col("first") <= F.col("last"))
+    step = F.expr(f"INTERVAL {width}")
     touched = (
-        clipped.select(
-            id, F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {width}"))).alias(slot)
-        )
-        .distinct()
-        .withColumn(name, F.lit(1))
+        clipped.select(id, "_name", F.explode(F.sequence("first", "last", step)).alias(slot))
+        .groupBy(id, slot)
+        .agg(*[F.max((F.col("_name") == n).cast("int")).alias(n) for n in treatments])
     )
-    return grid.join(touched, [id, slot], "left").withColumn(
-        name, F.coalesce(F.col(name), F.lit(0))
+    return grid.join(touched, [id, slot], "left").withColumns(
+        {n: F.coalesce(F.col(n), F.lit(0)) for n in treatments}
     )
+
+
+def flag_intervals(
+    grid: DataFrame, intervals: DataFrame, name: str, **columns: str
+) -> DataFrame:
+    """Add column ``name``: 1 where an interval touches the slot, else 0.
+
+    The keyword arguments are those of ``flag_treatments``.
+    """
+    return flag_treatments(grid, {name: intervals}, **columns)

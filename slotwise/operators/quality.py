@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType
 from slotwise.functions.columns import days_between
 from slotwise.functions.ranking import exact_quantiles, quantile
 from slotwise.operators.cleaning import keep_ids
+from slotwise.session import stored
 
 
 def entity_label(df: DataFrame, id: str, label: str) -> DataFrame:
@@ -48,7 +49,10 @@ def n_unique(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> D
 
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Per column the fences ``Q1 - k*IQR`` and ``Q3 + k*IQR`` from exact quartiles."""
+    """Per column the fences ``Q1 - k*IQR`` and ``Q3 + k*IQR`` from exact quartiles.
+
+    Fitted when called (see ``exact_quantiles``): a local table with one row per column.
+    """
     q = exact_quantiles(df, cols, [0.25, 0.75])
     spread = (F.col("q1") - F.col("q0")) * F.lit(float(k))
     return q.select(
@@ -63,7 +67,11 @@ def length_of_stay(df: DataFrame, id: str, time: str) -> DataFrame:
 
 
 def stays_within(los: DataFrame, low: float = 2.0, pct: float = 0.95) -> DataFrame:
-    """Ids whose length of stay is above ``low`` and at most the given percentile of all."""
+    """Ids whose length of stay is above ``low`` and at most the given percentile of all.
+
+    The lengths are stored, because finding the percentile reads them more than once.
+    """
+    los = stored(los)
     bound = quantile(los, "los", pct)
     return los.filter((F.col("los") > low) & (F.col("los") <= bound.scalar()))
 
@@ -77,6 +85,7 @@ def los_filter(
 
 def los_counts(los: DataFrame, low: float = 2.0, pct: float = 0.95) -> DataFrame:
     """One row: the bound, and how many ids lie inside and outside the accepted range."""
+    los = stored(los)
     bounded = los.withColumn("_bound", quantile(los, "los", pct).scalar())
     inside = (F.col("los") > low) & (F.col("los") <= F.col("_bound"))
     return bounded.agg(

@@ -237,11 +237,10 @@ VITAL_PIVOT = f"""SELECT c.subject_id, c.hadm_id, c.stay_id, v.charttime,
     GROUP BY 1, 2, 3, 4"""
 
 
-def lab_pivot(spark, sf, fn="mean", keep_unmatched=False):
+def lab_pivot(spark, sf, keep_unmatched=False, cohort=None):
     stays = src.unit_stays(src.stay_detail(spark, sf))
-    return f.pivot_labs(
-        cohort_of(spark, sf), stays, src.labevents(spark, sf), fn=fn, keep_unmatched=keep_unmatched
-    )
+    cohort = cohort or cohort_of(spark, sf)
+    return f.pivot_labs(cohort, stays, src.labevents(spark, sf), keep_unmatched=keep_unmatched)
 
 
 @query("pivot_labs", f"WITH {COHORT}, {LABEVENTS}, {LABELLED_LABS} {LAB_PIVOT}")
@@ -258,8 +257,8 @@ def pivot_labs_unmatched(spark, sf):
     return rounded(lab_pivot(spark, sf, keep_unmatched=True), *[f"{n}_mean" for n in LAB_NAMES])
 
 
-def vital_pivot(spark, sf):
-    return f.pivot_vitals(cohort_of(spark, sf), src.chartevents(spark, sf))
+def vital_pivot(spark, sf, cohort=None):
+    return f.pivot_vitals(cohort or cohort_of(spark, sf), src.chartevents(spark, sf))
 
 
 @query("pivot_vitals", f"WITH {COHORT}, {CHARTEVENTS}, {LABELLED_VITALS} {VITAL_PIVOT}")

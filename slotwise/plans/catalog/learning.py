@@ -195,9 +195,15 @@ def one_hot_label(spark, sf):
     )
 
 
-@query("sequence_shapes")
+@query(
+    "sequence_shapes",
+    f"""WITH {FILLED}, longest AS (SELECT max(n)::INT AS steps FROM (
+      SELECT count(*) AS n FROM filled WHERE split = 'train' GROUP BY id))
+    SELECT split, steps, 3::INT AS channels, steps AS label_steps,
+      count(DISTINCT id) AS n_ids FROM filled, longest GROUP BY 1, 2, 3, 4""",
+)
 def sequence_shapes(spark, sf):
-    data = supervised_set(grid_of(spark, sf), "id", "slot", "stage", MEASURES)
+    data = supervised_set(grid_of(spark, sf), "id", "slot", "stage", MEASURES, fn="arithmetic")
     parts = [
         data.sequences(name).select(
             F.lit(name).alias("split"),

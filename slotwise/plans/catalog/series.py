@@ -36,6 +36,7 @@ from slotwise.plans.catalog.registry import (
     rounded,
 )
 from slotwise.plans.cohort import stage_series
+from slotwise.session import stored
 
 MEASURES = ["click", "view", "purchase"]
 
@@ -129,8 +130,11 @@ def _renamed(names):
       FULL JOIN k USING (hadm_id, stay_id, charttime)""",
 )
 def build_series(spark, sf):
-    stages = stage_series(cohort_of(spark, sf), src.stages(spark, sf))
-    wide = f.build_series(vital_pivot(spark, sf), lab_pivot(spark, sf), stages)
+    cohort = stored(cohort_of(spark, sf))
+    stages = stage_series(cohort, src.stages(spark, sf))
+    wide = f.build_series(
+        vital_pivot(spark, sf, cohort), lab_pivot(spark, sf, cohort=cohort), stages
+    )
     return rounded(wide, *[x for x in wide.columns if x not in (*f.SERIES_KEYS, "aki_stage")])
 
 

@@ -30,7 +30,7 @@ from slotwise.operators.events import (
     pivot_agg,
     value_rules,
 )
-from slotwise.operators.intervals import flag_intervals, union_intervals
+from slotwise.operators.intervals import flag_treatments, union_intervals
 from slotwise.operators.quality import (
     iqr_fences,
     keep_complete,
@@ -259,13 +259,19 @@ def attach_flags_static(
     width: str = "6 hours",
     on_null: str = "drop_rows",
 ) -> DataFrame:
-    """Add one 0/1 column per treatment and the static attributes to the grid."""
+    """Add one 0/1 column per treatment and the static attributes to the grid.
+
+    The grid is stored, because it is read for its time range and for the join.  Only the ids of
+    the grid matter when nulls in a treatment table are judged.
+    """
+    grid = stored(grid)
+    guarded = {}
     for name, table in treatments.items():
-        bounds = null_guard(
-            keep_ids(table, grid.select(id).distinct(), id), ["starttime", "endtime"], on_null
-        )
-        grid = flag_intervals(grid, bounds, name, id=id, slot=time, width=width)
-    return attach_static(grid, static, id)
+        if on_null != "drop_rows":
+            table = keep_ids(table, grid.select(id).distinct(), id)
+        guarded[name] = null_guard(table, ["starttime", "endtime"], on_null)
+    flagged = flag_treatments(grid, guarded, id=id, slot=time, width=width)
+    return attach_static(flagged, static, id)
 
 
 __all__ = [

@@ -28,15 +28,17 @@ RENAL_INPUT_CODES = d.DIALYSIS_INPUT_CODES + d.SEDATION_CODES
 ORDER_STATUSES = ["FinishedRunning", "Rewritten", "Stopped"]
 
 
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
+
+
 def pick(values: list, index: Column) -> Column:
     """The value at ``index`` modulo the length of a literal list."""
-    return F.element_at(
-        F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int")
-    )
+    listed = F.expr(f"array({', '.join(repr(v) for v in values)})")
+    return F.element_at(listed, (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
 def events(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
-    df = read_table(spark, "events", ["event_id", "ts", "user_id", "event_type", "value"], sf)
+    df = read_table(spark, "events", base=sf, schema=EVENTS)
     return df.filter(F.col("event_type").isin(*kinds)) if kinds else df
 
 

@@ -15,6 +15,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .appName("slotwise")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

@@ -25,10 +25,21 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, name: str, columns: Sequence[str] | None = None, base: str | None = None
+    spark: SparkSession,
+    name: str,
+    columns: Sequence[str] | None = None,
+    base: str | None = None,
+    schema: StructType | str | None = None,
 ) -> DataFrame:
-    """A stored table: ``<base>/<name>.parquet`` or, without ``base``, a catalog table."""
-    df = spark.read.parquet(f"{base}/{name}.parquet") if base else spark.read.table(name)
+    """A stored table: ``<base>/<name>.parquet`` or, without ``base``, a catalog table.
+
+    A given schema saves looking into the files.
+    """
+    if base is None:
+        df = spark.read.table(name)
+    else:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        df = reader.parquet(f"{base}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
