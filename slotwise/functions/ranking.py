@@ -116,6 +116,7 @@ class _Target:
     below: int = 0
     inside: int = 0
     found: dict[int, float] = field(default_factory=dict)
+    sketches: list[tuple[float, float]] = field(default_factory=list)
 
     @property
     def position(self) -> float:
@@ -142,27 +143,32 @@ class _Target:
 def _bracket(values: DataFrame, targets: list[_Target], margin: float, accuracy: int) -> None:
     """Bracket each target from approximate quantiles a margin below and above it.
 
-    Sketches are merged in a fixed number of groups rather than in one task; the quantile of the
-    whole lies between the smallest and the largest one of the groups.
+    Sketches are merged in a fixed number of groups rather than in one task, and a few numbers
+    per group are fetched: the quantile of the whole lies between the smallest and the largest
+    one of the groups.
     """
 
-    def near(t: _Target) -> Column:
-        around = [F.lit(max(t.prob - margin, 0.0)), F.lit(min(t.prob + margin, 1.0))]
-        return F.percentile_approx(f"c{t.col}", F.array(*around), F.lit(accuracy))
-
-    groups = (
-        values.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
-        .agg(*[near(t).alias(f"t{k}") for k, t in enumerate(targets)])
-        .agg(
-            *[F.min(F.col(f"t{k}")[0]).alias(f"low{k}") for k in range(len(targets))],
-            *[F.max(F.col(f"t{k}")[1]).alias(f"high{k}") for k in range(len(targets))],
-        )
-        .first()
-    )
-    for k, t in enumerate(targets):
-        low, high = groups[f"low{k}"], groups[f"high{k}"]
-        t.low = -math.inf if low is None or t.prob <= margin else low
-        t.high = math.inf if high is None or t.prob >= 1 - margin else high
+    by_column: dict[int, list[_Target]] = {}
+    for t in targets:
+        by_column.setdefault(t.col, []).append(t)
+
+    def sketch(c: int) -> Column:
+        points = [max(t.prob - margin, 0.0) for t in by_column[c]]
+        points += [min(t.prob + margin, 1.0) for t in by_column[c]]
+        listed = F.array(*[F.lit(p) for p in points])
+        return F.percentile_approx(f"c{c}", listed, F.lit(accuracy)).alias(f"s{c}")
+
+    groups = values.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
+    for row in groups.agg(*[sketch(c) for c in by_column]).collect():
+        for c, wanted in by_column.items():
+            for k, t in enumerate(wanted if row[f"s{c}"] else []):
+                low, high = row[f"s{c}"][k], row[f"s{c}"][k + len(wanted)]
+                t.sketches.append((low, high))
+    for t in targets:
+        lows, highs = zip(*t.sketches, strict=True) if t.sketches else ((), ())
+        t.low = min(lows) if lows and t.prob > margin else -math.inf
+        t.high = max(highs) if highs and t.prob < 1 - margin else math.inf
+        t.sketches = []
 
 
 def _count(values: DataFrame, targets: list[_Target]) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,33 +26,41 @@ def fuse_measure(
 
 
 def align_series(
-    frames: Sequence[DataFrame], keys: Sequence[str], repeated: Sequence[DataFrame] = ()
+    frames: Sequence[DataFrame],
+    keys: Sequence[str],
+    fused: Mapping[str, Sequence[str]] | None = None,
+    repeated: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """Full outer merge of several series on the same keys, in one shuffle.
 
-    ``frames`` must be unique per key.  The series are stacked and grouped once, rather than
-    merged one after the other.  A series in ``repeated`` may hold several rows per key; as in a
-    merge, each of them is paired with the other columns of its key (and with the rows of the
-    other repeated series).  Rows with a null key are left out.
+    ``frames`` must be unique per key and share no other column names.  The series are stacked
+    and grouped once, rather than merged one after the other, so each of them is computed once.
+
+    ``fused`` maps a new column to the columns it is fused from: each distinct value of them
+    gives a row, as if they had been united by ``fuse_measure`` and merged.  A series in
+    ``repeated`` may hold several rows per key; each of them is paired with the other columns of
+    its key.  Rows with a null key are left out.
     """
-    wide = [(df, [c for c in df.columns if c not in keys]) for df in frames]
-    multi = [(df, [c for c in df.columns if c not in keys]) for df in repeated]
-    stacked = [df.dropna(subset=list(keys)) for df, _ in wide]
-    for i, (df, cols) in enumerate(multi):
-        stacked.append(
-            df.dropna(subset=list(keys)).select(*keys, F.struct(*cols).alias(f"_multi{i}"))
-        )
+    fused = dict(fused or {})
+    plain = [c for df in frames for c in df.columns if c not in keys]
+    multi = [[c for c in df.columns if c not in keys] for df in repeated]
+    stacked = [df.dropna(subset=list(keys)) for df in frames]
+    for i, (df, cols) in enumerate(zip(repeated, multi, strict=True)):
+        row = F.struct(*cols).alias(f"_multi{i}")
+        stacked.append(df.dropna(subset=list(keys)).select(*keys, row))
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
-    grouped = merged.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for _, cols in wide for c in cols],
+    out = merged.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in plain],
         *[F.collect_list(f"_multi{i}").alias(f"_multi{i}") for i in range(len(multi))],
     )
-    for i, (_, cols) in enumerate(multi):
-        others = [c for c in grouped.columns if c != f"_multi{i}"]
-        grouped = grouped.select(*others, F.explode_outer(f"_multi{i}").alias("_row")).select(
-            *others, *[F.col(f"_row.{c}").alias(c) for c in cols]
-        )
-    return grouped
+    kept = [c for c in plain if not any(c in sources for sources in fused.values())]
+    for name, sources in fused.items():
+        values = F.array_distinct(F.array_compact(F.array(*sources)))
+        out = out.select("*", F.explode_outer(values).alias(name))
+    for i in range(len(multi)):
+        out = out.select("*", F.explode_outer(f"_multi{i}").alias(f"_row{i}"))
+    rows = [F.col(f"_row{i}.{c}").alias(c) for i, cols in enumerate(multi) for c in cols]
+    return out.select(*keys, *kept, *fused, *rows)
 
 
 def attach_static(series: DataFrame, static: DataFrame, key: str) -> DataFrame:

@@ -41,7 +41,6 @@ from slotwise.operators.series import (
     align_series,
     attach_static,
     collapse_duplicates,
-    fuse_measure,
     resample,
 )
 from slotwise.plans.cohort import STAY_KEYS
@@ -185,29 +184,28 @@ def order_intervals(inputevents: DataFrame, codes: Sequence[int] | None = None)
 
 
 def build_series(vitals: DataFrame, labs: DataFrame, stages: DataFrame) -> DataFrame:
-    """One wide irregular series from vitals, labs and stages.
+    """One wide irregular series from vitals, labs and stages, each unique per stay and time.
 
-    Glucose comes from vitals and labs, creatinine from stages and labs; both are fused and
-    taken out of the tables they came from.
+    Glucose is fused from vitals and labs, creatinine from stages and labs.  Rows without any
+    value are left out.  Each input is read once and all meet in one shuffle.
     """
 
-    def plain(df: DataFrame) -> DataFrame:
-        named = df.withColumnsRenamed(
-            {c: c.removesuffix("_mean") for c in df.columns if c.endswith("_mean")}
-        )
-        return named.drop("subject_id", "icu_intime", "icu_outtime")
-
-    def measures(df: DataFrame) -> list[str]:
-        return [c for c in df.columns if c not in SERIES_KEYS]
+    def prepared(df: DataFrame, renamed: Mapping[str, str]) -> DataFrame:
+        names = {c: c.removesuffix("_mean") for c in df.columns}
+        names = {c: renamed.get(n, n) for c, n in names.items()}
+        named = df.withColumnsRenamed(names).drop("subject_id", "icu_intime", "icu_outtime")
+        return drop_empty(named, [c for c in named.columns if c not in SERIES_KEYS])
 
-    vitals, labs, stages = plain(vitals), plain(labs), plain(stages)
-    glucose = fuse_measure([(vitals, "glucose"), (labs, "glucose")], SERIES_KEYS, "glucose")
-    creatinine = fuse_measure(
-        [(stages, "creat"), (labs, "creatinine")], SERIES_KEYS, "creatinine"
-    )
-    frames = [vitals.drop("glucose"), labs.drop("glucose", "creatinine"), stages.drop("creat")]
-    kept = [drop_empty(df, measures(df)) for df in frames]
-    return align_series(kept, SERIES_KEYS, repeated=[glucose, creatinine])
+    frames = [
+        prepared(vitals, {"glucose": "_chart_glucose"}),
+        prepared(labs, {"glucose": "_lab_glucose", "creatinine": "_lab_creatinine"}),
+        prepared(stages, {"creat": "_stage_creatinine"}),
+    ]
+    fused = {
+        "glucose": ["_chart_glucose", "_lab_glucose"],
+        "creatinine": ["_stage_creatinine", "_lab_creatinine"],
+    }
+    return align_series(frames, SERIES_KEYS, fused)
 
 
 def clean_resample(
