@@ -38,6 +38,7 @@ def _range_parts(
     totals = parts.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     offsets = totals.withColumns(
         {f"_before_{c}": F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)) for c in sums}
+        | {f"_total_{c}": F.sum(f"_sum_{c}").over(W.partitionBy(*by)) for c in sums}
     )
     return parts, offsets
 
@@ -49,7 +50,8 @@ def cumulative(
     by: Sequence[str] = (),
     descending: bool = False,
 ) -> DataFrame:
-    """Add ``cum_<c>``, the inclusive running sum of each column in ``order``.
+    """Add ``cum_<c>``, the inclusive running sum of each column in ``order``, and ``total_<c>``,
+    its sum over the whole group.
 
     ``order`` must be unique within ``by``: pre-aggregate first.
     """
@@ -58,7 +60,8 @@ def cumulative(
     inside = W.partitionBy(*by, "_part").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     joined = _with_offsets(parts, offsets, by)
     running = {f"cum_{c}": F.col(f"_before_{c}") + F.sum(c).over(inside) for c in sums}
-    return joined.withColumns(running).select(*df.columns, *running)
+    totals = {f"total_{c}": F.col(f"_total_{c}") for c in sums}
+    return joined.withColumns(running | totals).select(*df.columns, *running, *totals)
 
 
 def _with_offsets(parts: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:

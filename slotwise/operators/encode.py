@@ -206,10 +206,9 @@ def _one_row(stats: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def scaled_zero(stats: DataFrame, cols: Sequence[str]) -> Column:
     """What a padding step of zeros looks like after scaling: one value per column."""
-    s = _one_row(stats, cols).scalar()
-    return F.array(
-        *[-s.getField(f"mean_{i}") / s.getField(f"scale_{i}") for i in range(len(cols))]
-    )
+    one = _one_row(stats, cols)
+    shifted = [-F.col(f"s.mean_{i}") / F.col(f"s.scale_{i}") for i in range(len(cols))]
+    return one.select(F.array(*shifted)).scalar()
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -18,53 +18,44 @@ from slotwise.session import stored
 
 
 def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
-    """Positives and negatives per distinct score, with running counts from the top."""
+    """Positives and negatives per distinct score, their running counts from the top, and the
+    class totals."""
     scored = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
     counts = scored.groupBy(*by, F.col(p).cast("double").alias("threshold")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")
     )
     running = cumulative(counts, "threshold", ["pos", "neg"], by, descending=True)
-    return running.withColumnsRenamed({"cum_pos": "tps", "cum_neg": "fps"})
-
-
-def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(
-        F.sum("pos").cast("double").alias("n_pos"),
-        F.sum("neg").cast("double").alias("n_neg"),
-        F.max("threshold").alias("top"),
+    return running.select(
+        *by,
+        "threshold",
+        "pos",
+        "neg",
+        F.col("cum_pos").alias("tps"),
+        F.col("cum_neg").alias("fps"),
+        F.col("total_pos").cast("double").alias("n_pos"),
+        F.col("total_neg").cast("double").alias("n_neg"),
     )
 
 
-def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach the class totals; without groups they are a scalar subquery."""
-    totals = _totals(counts, by)
-    if by:
-        return counts.join(totals, list(by))
-    one = totals.select(F.struct("n_pos", "n_neg", "top").alias("t"))
-    return counts.withColumn("_t", one.scalar()).select("*", "_t.*").drop("_t")
+def _rate(count: str, total: str, name: str) -> Column:
+    return F.try_divide(F.col(count).cast("double"), F.col(total)).alias(name)
 
 
 def roc_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """One point per distinct score, and the start (0, 0) at a threshold above all scores."""
     counts = _score_counts(df, y, p, by)
-    points = _with_totals(counts, by).select(
-        *by,
-        "threshold",
-        "tps",
-        "fps",
-        F.try_divide(F.col("tps").cast("double"), F.col("n_pos")).alias("tpr"),
-        F.try_divide(F.col("fps").cast("double"), F.col("n_neg")).alias("fpr"),
-    )
     zero = F.lit(0).cast("bigint")
-    start = _totals(counts, by).filter(F.col("top").isNotNull()).select(
-        *by,
-        (F.col("top") + 1.0).alias("threshold"),
-        zero.alias("tps"),
-        zero.alias("fps"),
-        F.when(F.col("n_pos") > 0, F.lit(0.0)).alias("tpr"),
-        F.when(F.col("n_neg") > 0, F.lit(0.0)).alias("fpr"),
+    start = (
+        counts.groupBy(*by)
+        .agg(*[F.max(c).alias(c) for c in ("threshold", "n_pos", "n_neg")])
+        .filter(F.col("threshold").isNotNull())
+        .withColumns({"threshold": F.col("threshold") + 1.0, "tps": zero, "fps": zero})
+    )
+    columns = ["threshold", "tps", "fps", "n_pos", "n_neg"]
+    points = start.select(*by, *columns).unionByName(counts.select(*by, *columns))
+    return points.select(
+        *by, "threshold", "tps", "fps", _rate("tps", "n_pos", "tpr"), _rate("fps", "n_neg", "fpr")
     )
-    return start.unionByName(points)
 
 
 def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -75,9 +66,11 @@ def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
 def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall per distinct score, and the anchor (recall 0, precision 1)."""
     counts = _score_counts(df, y, p, by)
-    points = _with_totals(counts, by).select(*by, "threshold", _precision(), _recall())
-    anchor = _totals(counts, by).select(
-        *by,
+    tp, fp = F.col("tps").cast("double"), F.col("fps").cast("double")
+    points = counts.select(
+        *by, "threshold", (tp / (tp + fp)).alias("precision"), _rate("tps", "n_pos", "recall")
+    )
+    anchor = counts.groupBy(*by).agg(
         F.lit(None).cast("double").alias("threshold"),
         F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"),
@@ -85,15 +78,6 @@ def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame
     return anchor.unionByName(points)
 
 
-def _precision() -> Column:
-    tp, fp = F.col("tps").cast("double"), F.col("fps").cast("double")
-    return (tp / (tp + fp)).alias("precision")
-
-
-def _recall() -> Column:
-    return F.try_divide(F.col("tps").cast("double"), F.col("n_pos")).alias("recall")
-
-
 def pr_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Trapezoid area under the precision-recall curve (not the average precision)."""
     return curve_metrics(df, y, p, by).select(*by, "pr_auc")
@@ -112,7 +96,7 @@ def curve_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
     arithmetic, so rounding cannot break a tie; a curve that never rises above the diagonal has
     its best point at the start, where nothing is predicted positive.
     """
-    counts = _with_totals(_score_counts(df, y, p, by), by)
+    counts = _score_counts(df, y, p, by)
     tp, fp = F.col("tps").cast("double"), F.col("fps").cast("double")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     n_pos, n_neg = F.col("n_pos"), F.col("n_neg")
@@ -136,14 +120,14 @@ def curve_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
         F.sum(roc_area).alias("_roc"),
         F.sum(pr_area).alias("pr_auc"),
         F.max(point).alias("_best"),
-        *[F.max(c).alias(c) for c in ("n_pos", "n_neg", "top")],
+        *[F.max(c).alias(c) for c in ("n_pos", "n_neg", "threshold")],
     )
     above = F.col("_best.d") > 0
     return sums.select(
         *by,
         F.try_divide(F.col("_roc"), n_pos * n_neg).alias("roc_auc"),
         "pr_auc",
-        F.when(above, F.col("_best.threshold")).otherwise(F.col("top") + 1.0).alias("threshold"),
+        F.when(above, F.col("_best.threshold")).otherwise(F.col("threshold") + 1.0).alias("threshold"),
         F.when(above, F.col("_best.tpr")).when(n_pos > 0, F.lit(0.0)).alias("tpr"),
         F.when(above, F.col("_best.fpr")).when(n_neg > 0, F.lit(0.0)).alias("fpr"),
     )

@@ -30,6 +30,7 @@ from slotwise.plans.catalog.registry import (
     sql_in,
     sql_pick,
 )
+from slotwise.session import stored
 
 KINDS = ["click", "view", "purchase"]
 
@@ -120,7 +121,7 @@ IN_WINDOW = """FROM stages k WHERE k.stay_id = c.stay_id
       AND NOT EXISTS (SELECT 1 {IN_WINDOW} AND k.aki_stage IS NULL)""",
 )
 def staged_stays(spark, sf):
-    return p.staged_stays(cohort_of(spark, sf), src.stages(spark, sf))
+    return p.staged_stays(stored(cohort_of(spark, sf)), src.stages(spark, sf))
 
 
 @query(

@@ -278,7 +278,7 @@ def flag_sql(kind: str) -> str:
     f"WITH {GRID}, {INTERVALS} SELECT id, slot, {flag_sql('signup')} AS treated FROM grid",
 )
 def flags(spark, sf):
-    grid = grid_of(spark, sf).select("id", "slot")
+    grid = stored(grid_of(spark, sf).select("id", "slot"))
     return flag_intervals(grid, src.intervals(spark, sf), "treated")
 
 
