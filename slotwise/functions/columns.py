@@ -26,6 +26,32 @@ def slot_of(time: str | Column, width: str) -> Column:
     return F.window(_col(time), width).getField("start")
 
 
+def slot_floor(time: Column, width: str) -> Column:
+    """Same slot as ``slot_of``, as arithmetic on the epoch that one projection may repeat."""
+    origin = _epoch()
+    micros = F.timestamp_diff("MICROSECOND", origin, time.cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", micros - F.pmod(micros, _micros_of(width)), origin)
+
+
+def slots_between(first: Column, last: Column, width: str) -> Column:
+    """How many slots lie from one slot start to another."""
+    return F.floor(F.timestamp_diff("MICROSECOND", first, last) / _micros_of(width))
+
+
+def slot_after(first: Column, steps: Column, width: str) -> Column:
+    """The slot start a number of slots after another one."""
+    return F.timestamp_add("MICROSECOND", steps * _micros_of(width), first)
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _micros_of(width: str) -> Column:
+    """Length of an interval in microseconds; a constant once the plan is optimised."""
+    return F.timestamp_diff("MICROSECOND", _epoch(), _epoch() + F.expr(f"INTERVAL {width}"))
+
+
 def days_between(start: str | Column, end: str | Column) -> Column:
     """Elapsed time in fractional days, exact to the microsecond."""
     micros = F.timestamp_diff("MICROSECOND", _col(start), _col(end))

@@ -8,23 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.functions.columns import slot_after, slot_floor, slots_between
+
 
 def union_intervals(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows of several interval tables, matched by column name."""
     return reduce(DataFrame.unionByName, frames)
 
 
-def slot_floor(time: Column, width: str) -> Column:
-    """Start of the slot that contains ``time``, as arithmetic on the epoch.
-
-    Same result as a tumbling window, but may be used several times in one projection.
-    """
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    micros = F.timestamp_diff("MICROSECOND", origin, time.cast("timestamp_ntz"))
-    step = F.timestamp_diff("MICROSECOND", origin, origin + F.expr(f"INTERVAL {width}"))
-    return F.timestamp_add("MICROSECOND", micros - F.pmod(micros, step), origin)
-
-
 def slot_ranges(
     intervals: DataFrame, id: str, start: str, end: str, width: str, tail: str
 ) -> DataFrame:
@@ -93,10 +84,10 @@ def flag_treatments(
         F.greatest("first", "_span.low").alias("first"),
         F.least("last", "_span.high").alias("last"),
     ).filter(F.col("first") <= F.col("last"))
-    step = F.expr(f"INTERVAL {width}")
+    steps = F.sequence(F.lit(0), slots_between(F.col("first"), F.col("last"), width))
     touched = (
-        clipped.select(id, "_name", F.explode(F.sequence("first", "last", step)).alias(slot))
-        .groupBy(id, slot)
+        clipped.select(id, "_name", "first", F.explode(steps).alias("_k"))
+        .groupBy(id, slot_after(F.col("first"), F.col("_k"), width).alias(slot))
         .agg(*[F.max((F.col("_name") == n).cast("int")).alias(n) for n in treatments])
     )
     return grid.join(touched, [id, slot], "left").withColumns(

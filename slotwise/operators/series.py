@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.functions.columns import slot_of
+from slotwise.functions.columns import slot_after, slot_of, slots_between
 
 MAX_GAP_SLOTS = 1_000_000
 
@@ -118,20 +118,17 @@ def resample(
     )
     if not fill_gaps:
         return slots
-    step = F.expr(f"INTERVAL {width}")
     following = F.lead(slot).over(W.partitionBy(id).orderBy(slot))
-    too_far = F.col("_next") > F.col(slot) + step * F.lit(max_gap)
+    steps = F.coalesce(slots_between(F.col(slot), F.col("_next"), width), F.lit(1))
     failure = F.raise_error(F.lit(f"a gap of more than {max_gap} slots: check the timestamps"))
-    run = F.when(too_far, failure).otherwise(
-        F.sequence(F.col(slot), F.coalesce(F.col("_next") - step, F.col(slot)), step)
-    )
+    run = F.when(steps > max_gap, failure).otherwise(F.sequence(F.lit(0), steps - 1))
     filled = slots.withColumn("_next", following).select(
-        id, F.posexplode(run).alias("_gap", "_slot"), *measures
+        id, slot, *measures, F.explode(run).alias("_k")
     )
     return filled.select(
         id,
-        F.col("_slot").alias(slot),
-        *[F.when(F.col("_gap") == 0, F.col(c)).alias(c) for c in measures],
+        slot_after(F.col(slot), F.col("_k"), width).alias(slot),
+        *[F.when(F.col("_k") == 0, F.col(c)).alias(c) for c in measures],
     )
 
 
