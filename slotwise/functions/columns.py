@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 MICROS_PER_DAY = 86_400_000_000
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or spaces, as encoded category names do."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    return F.col(quoted(name))
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from slotwise.dictionaries import CodeRule, dictionary_frame
-from slotwise.functions.columns import any_of
+from slotwise.functions.columns import any_of, quoted
 
 
 def harmonize_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -97,7 +97,7 @@ def drop_empty(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def impute_constant(
     df: DataFrame, value: float | int | str = 0, cols: Sequence[str] | None = None
 ) -> DataFrame:
-    return df.fillna(value, subset=list(cols) if cols is not None else None)
+    return df.fillna(value, subset=None if cols is None else [quoted(c) for c in cols])
 
 
 def recode(df: DataFrame, col: str, mapping: Mapping[Any, Any]) -> DataFrame:
@@ -108,22 +108,35 @@ def recode(df: DataFrame, col: str, mapping: Mapping[Any, Any]) -> DataFrame:
 def mask_outliers(df: DataFrame, fences: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Null out values outside ``[low, up]`` of their column; columns without a fence stay.
 
-    ``fences`` has one row per column (see ``quality.iqr_fences``).  It is folded into a single
-    struct and used as a scalar subquery: no join, and one computation for all columns.
+    ``fences`` has one row per column (see ``quality.iqr_fences``).  Its few numbers are fetched
+    and become constants of the plan: no join, and no copy of the fit inside it.
     """
-    bounds = [
-        F.max(F.when(F.col("feature") == c, F.col(b))).alias(f"{b}_{i}")
-        for i, c in enumerate(cols)
-        for b in ("low", "up")
-    ]
-    one_row = fences.agg(F.struct(*bounds).alias("_f"))
-    masked = df.withColumn("_f", one_row.scalar())
+    bounds = {row["feature"]: (row["low"], row["up"]) for row in fences.collect()}
+
+    def kept(c: str) -> Column:
+        low, up = bounds[c]
+        outside = (F.col(c) < F.lit(low)) | (F.col(c) > F.lit(up))
+        return F.when(outside, F.lit(None)).otherwise(F.col(c))
+
+    fenced = [c for c in cols if None not in bounds.get(c, (None, None))]
+    return df.withColumns({c: kept(c) for c in fenced})
+
 
-    def kept(i: int, c: str) -> Column:
-        outside = (F.col(c) < F.col(f"_f.low_{i}")) | (F.col(c) > F.col(f"_f.up_{i}"))
-        return F.when(F.coalesce(outside, F.lit(False)), F.lit(None)).otherwise(F.col(c))
+def parse_times(df: DataFrame, cols: Sequence[str], on_error: str = "null") -> DataFrame:
+    """Text to timestamps without a time zone; text that is no time is null or an error."""
+    parsed = {
+        "null": lambda c: F.col(c).try_cast("timestamp_ntz"),
+        "error": lambda c: F.col(c).cast("timestamp_ntz"),
+    }[on_error]
+    return df.withColumns({c: parsed(c) for c in cols})
 
-    return masked.withColumns({c: kept(i, c) for i, c in enumerate(cols)}).drop("_f")
+
+def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Cast the named columns, for example measures to ``float`` where a table is exported.
+
+    Keys keep their type: an integer key does not survive a float.
+    """
+    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
 
 
 def count_negative(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -155,7 +168,7 @@ def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 
 def label_last(df: DataFrame, label: str) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != label], label)
+    return df.select(*[quoted(c) for c in df.columns if c != label], label)
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:

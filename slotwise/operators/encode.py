@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from slotwise.functions.columns import hash_bucket, row_hash
+from slotwise.functions.columns import hash_bucket, named, row_hash
 from slotwise.functions.ranking import RANK_BUCKETS
 from slotwise.operators.cleaning import recode
 from slotwise.operators.events import enrich
@@ -25,7 +25,7 @@ def find_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
 
     They become column names, so there must be few: more than ``MAX_CATEGORIES`` is an error.
     """
-    pairs = [F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols]
+    pairs = [F.struct(F.lit(c).alias("col"), named(c).alias("value")) for c in cols]
     values = df.select(F.inline(F.array(*pairs))).dropna().distinct()
     rows = values.limit(len(cols) * MAX_CATEGORIES + 1).collect()
     found = {c: sorted(row["value"] for row in rows if row["col"] == c) for c in cols}
@@ -46,9 +46,9 @@ def one_hot(
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     known = categories or find_categories(df, cols)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in cols]
+    kept = [named(c) for c in df.columns if c not in cols]
     dummies = [
-        F.when(F.col(c) == v, 1).otherwise(0).alias(f"{c}_{v}") for c in cols for v in known[c]
+        F.when(named(c) == v, 1).otherwise(0).alias(f"{c}_{v}") for c in cols for v in known[c]
     ]
     return df.select(*kept, *dummies)
 
@@ -129,22 +129,28 @@ def undersample(
     )
     # At most `buckets` rows, whatever the size of the input.
     reached = negatives.join(F.broadcast(counts), "_bucket")
-    whole = reached.filter(F.col("_n") <= F.col("_left")).select(*df.columns)
+    whole = reached.filter(F.col("_n") <= F.col("_left")).select(*map(named, df.columns))
     inside = W.partitionBy("_bucket").orderBy("_hash", *keys)
     part = (
         reached.filter(F.col("_n") > F.col("_left"))
         .withColumn("_rank", F.row_number().over(inside))
         .filter(F.col("_rank") <= F.col("_left"))
-        .select(*df.columns)
+        .select(*map(named, df.columns))
     )
     return positives.unionByName(whole).unionByName(part)
 
 
 def undersample_fraction(
-    df: DataFrame, label: str, fraction: float, keys: Sequence[str], seed: int = 42
+    df: DataFrame,
+    label: str,
+    fraction: float,
+    keys: Sequence[str],
+    seed: int = 42,
+    fn: str = "xxhash64",
 ) -> DataFrame:
     """All positive rows and about a fraction of the negative ones, in one scan."""
-    chosen = hash_bucket(keys, seed, 1_000_000) < F.lit(round(fraction * 1_000_000))
+    buckets = SPLIT_BUCKETS if fn == "arithmetic" else 1_000_000
+    chosen = hash_bucket(keys, seed, buckets, fn) < F.lit(round(fraction * buckets))
     return df.filter((F.col(label) > 0) | ((F.col(label) == 0) & chosen))
 
 
@@ -176,7 +182,7 @@ def fit_scaler(
         else F.lit(int(maxlen))
     )
     padded = sizes.agg((F.count("*") * length).cast("double").alias("n"))
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
+    filled = [F.coalesce(named(c).cast("double"), F.lit(0.0)) for c in cols]
     moments = df.agg(
         F.count("*").cast("double").alias("_rows"),
         *[F.avg(v).alias(f"_m{i}") for i, v in enumerate(filled)],
@@ -195,32 +201,26 @@ def fit_scaler(
     return moments.select(F.inline(F.array(*[fitted(i, c) for i, c in enumerate(cols)])))
 
 
-def _one_row(stats: DataFrame, cols: Sequence[str]) -> DataFrame:
-    fields = [
-        F.max(F.when(F.col("feature") == c, F.col(s))).alias(f"{s}_{i}")
-        for i, c in enumerate(cols)
-        for s in ("mean", "scale")
-    ]
-    return stats.agg(F.struct(*fields).alias("s"))
+def _fitted_stats(stats: DataFrame) -> dict[str, tuple[float, float]]:
+    """One row per column, fetched as constants of the plans that use them."""
+    return {row["feature"]: (row["mean"], row["scale"]) for row in stats.collect()}
 
 
 def scaled_zero(stats: DataFrame, cols: Sequence[str]) -> Column:
     """What a padding step of zeros looks like after scaling: one value per column."""
-    one = _one_row(stats, cols)
-    shifted = [-F.col(f"s.mean_{i}") / F.col(f"s.scale_{i}") for i in range(len(cols))]
-    return one.select(F.array(*shifted)).scalar()
+    fitted = _fitted_stats(stats)
+    return F.array(*[F.lit(-fitted[c][0] / fitted[c][1]) for c in cols])
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Centre and scale columns with fitted statistics, read once as a scalar subquery."""
-    scaled = df.withColumn("_s", _one_row(stats, cols).scalar())
-    return scaled.withColumns(
-        {
-            c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col(f"_s.mean_{i}"))
-            / F.col(f"_s.scale_{i}")
-            for i, c in enumerate(cols)
-        }
-    ).drop("_s")
+    """Centre and scale columns with fitted statistics; missing values count as zero."""
+    fitted = _fitted_stats(stats)
+
+    def scaled(c: str) -> Column:
+        value = F.coalesce(named(c).cast("double"), F.lit(0.0))
+        return (value - F.lit(fitted[c][0])) / F.lit(fitted[c][1])
+
+    return df.withColumns({c: scaled(c) for c in cols})
 
 
 def last_steps(df: DataFrame, id: str, time: str, maxlen: int) -> DataFrame:
@@ -254,7 +254,7 @@ def pad_sequences(
     group holds at most ``maxlen`` rows.
     """
     padding = pad if isinstance(pad, Column) else F.array(*[F.lit(float(pad))] * len(cols))
-    filled = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+    filled = F.array(*[F.coalesce(named(c).cast("double"), F.lit(0.0)) for c in cols])
     fields = [F.col("step"), filled.alias("x")]
     if label is not None:
         fields.append(F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("y"))

@@ -189,6 +189,10 @@ def classification_report(
     return report.join(area, list(by)) if by else report.withColumn("roc_auc", area.scalar())
 
 
+def mean_absolute_error(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.avg(F.abs(F.col(p) - F.col(y).cast("double"))).alias("mae"))
+
+
 def flatten_pairs(
     df: DataFrame,
     id: str,
@@ -294,10 +298,5 @@ def permutation_importance(
             for i, c in enumerate(feats)
         ],
     )
-    error = F.abs(F.col(score) - F.col(y).cast("double"))
-    return (
-        score_fn(variants)
-        .groupBy("feature")
-        .agg(F.avg(error).alias("mae"))
-        .orderBy(F.desc("mae"), "feature")
-    )
+    errors = mean_absolute_error(score_fn(variants), y, score, by=["feature"])
+    return errors.orderBy(F.desc("mae"), "feature")

@@ -11,12 +11,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.functions.columns import named, quoted
 from slotwise.operators.evaluate import roc_auc
 from slotwise.operators.series import neighbour_features
 
 
 def _assembled(feats: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(feats), outputCol="_x", handleInvalid="error")
+    return VectorAssembler(
+        inputCols=[quoted(c) if "." in c else c for c in feats], outputCol="_x", handleInvalid="error"
+    )
 
 
 def fit_step_classifier(
@@ -73,7 +76,7 @@ def score(model: Model, df: DataFrame, out: str = "p") -> DataFrame:
     """Add the probability of the positive class; the other columns are kept."""
     kept = df.columns
     probability = vector_to_array(F.col("probability"))[1]
-    return model.transform(df).select(*kept, probability.alias(out))
+    return model.transform(df).select(*map(named, kept), probability.alias(out))
 
 
 def select_by_auc(

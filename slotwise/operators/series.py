@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.functions.columns import slot_after, slot_of, slots_between
+from slotwise.functions.columns import named, slot_after, slot_of, slots_between
 
 MAX_GAP_SLOTS = 1_000_000
 
@@ -162,7 +162,7 @@ def shift_label(
         shifted = df.join(ahead, [id, time]).withColumn(label, F.col("_ahead"))
     if binary:
         shifted = shifted.withColumn(label, (F.col(label) > 0).cast("int"))
-    return shifted.select(*df.columns)
+    return shifted.select(*map(named, df.columns))
 
 
 def neighbour_features(
@@ -184,7 +184,8 @@ def neighbour_features(
     order = W.partitionBy(id).orderBy(time)
 
     def neighbour(c: str, k: int) -> Column:
-        shifted = F.lag(c, k, default) if k > 0 else F.lead(c, -k, default)
+        value = named(c)
+        shifted = F.lag(value, k, default) if k > 0 else F.lead(value, -k, default)
         return shifted.over(order)
 
     return df.withColumns(

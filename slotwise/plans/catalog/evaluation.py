@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slotwise.functions.columns import binarize
+from slotwise.functions.columns import binarize, sigmoid
 from slotwise.operators import evaluate as v
 from slotwise.plans import inputs as src
 from slotwise.plans.catalog.learning import FILLED, labelled_of
@@ -79,6 +79,26 @@ def pr_auc(spark, sf):
     return rounded(v.pr_auc(src.scores(spark, sf), "y", "p"), "pr_auc", digits=8)
 
 
+@query(
+    "mean_absolute_error",
+    f"WITH {SCORES} SELECT kind, round(avg(abs(p - y)), 8) AS mae FROM scores GROUP BY 1",
+)
+def mean_absolute_error(spark, sf):
+    out = v.mean_absolute_error(src.scores(spark, sf), "y", "p", by=["kind"])
+    return rounded(out, "mae", digits=8)
+
+
+@query(
+    "sigmoid_threshold",
+    """SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 8) AS p,
+      (1 / (1 + exp(-(value - 50) / 10)) > 0.5)::INT AS pred FROM events""",
+)
+def sigmoid_threshold(spark, sf):
+    logit = (F.col("value") - 50) / F.lit(10.0)
+    rows = src.events(spark, sf).select("event_id", sigmoid(logit).alias("p"))
+    return rounded(rows.withColumn("pred", binarize("p", 0.5)), "p", digits=8)
+
+
 CONFUSION = f"""{SCORES}, cm AS (
   SELECT count(*) FILTER (WHERE y = 1 AND p > 0.5) AS tp,
     count(*) FILTER (WHERE y = 0 AND p > 0.5) AS fp,

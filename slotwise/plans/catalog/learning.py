@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slotwise.dictionaries import RACE_GROUPS
 from slotwise.functions.ranking import shuffled_rank
 from slotwise.operators import encode as n
 from slotwise.operators import model as m
 from slotwise.operators.quality import positive_ratio
 from slotwise.operators.series import neighbour_features, shift_label
 from slotwise.plans import inputs as src
-from slotwise.plans.catalog.registry import GRID, SERIES, query, rounded
+from slotwise.plans import features as f
+from slotwise.plans.catalog.events import cohort_of, lab_pivot, vital_pivot
+from slotwise.plans.catalog.registry import ADMISSIONS, COHORT, GRID, SERIES, query, rounded
 from slotwise.plans.catalog.series import LABELLED, MEASURES, grid_of
+from slotwise.plans.cohort import stage_series, static_detail
 from slotwise.plans.learning import supervised_set
+from slotwise.session import stored
 
 BUCKET = "((id * 7919 + 8888) % 1000)"
 SPLIT = f"CASE WHEN {BUCKET} < 800 THEN 'train' WHEN {BUCKET} < 900 THEN 'val' ELSE 'test' END"
@@ -69,6 +74,18 @@ def undersample(spark, sf):
     return n.undersample(rows, "y", 100, ["event_id"], fn="arithmetic")
 
 
+@query(
+    "undersample_fraction",
+    """WITH l AS (SELECT event_id, user_id, (value > 100)::INT AS y FROM events)
+    SELECT * FROM l WHERE y = 1 OR (event_id * 7919 + 42) % 1000 < 50""",
+)
+def undersample_fraction(spark, sf):
+    rows = src.events(spark, sf).select(
+        "event_id", "user_id", (F.col("value") > 100).cast("int").alias("y")
+    )
+    return n.undersample_fraction(rows, "y", 0.05, ["event_id"], fn="arithmetic")
+
+
 @query(
     "undersample_cohort",
     f"""WITH l AS (SELECT event_id, user_id, (value > 100)::INT AS y FROM events), u AS (
@@ -114,6 +131,33 @@ def one_hot(spark, sf):
     return n.one_hot(src.events(spark, sf).select("event_id", "event_type"))
 
 
+@query(
+    "static_features",
+    f"""WITH {COHORT}, {ADMISSIONS}
+    SELECT d.stay_id, admission_age,
+      (CASE WHEN gender = 'F' THEN 1 ELSE 0 END)::INT AS gender_F,
+      (CASE WHEN gender = 'M' THEN 1 ELSE 0 END)::INT AS gender_M,
+      (CASE WHEN race = 'OTHER' THEN 1 ELSE 0 END)::INT AS race_UNKNOWN,
+      (CASE WHEN race = 'PORTUGUESE' THEN 1 ELSE 0 END)::INT AS race_PORTUGUESE,
+      (CASE WHEN admission_type = 'URGENT' THEN 1 ELSE 0 END)::INT AS admission_type_URGENT
+    FROM detail d LEFT JOIN admissions a ON a.hadm_id = d.hadm_id
+    WHERE d.stay_id IN (SELECT stay_id FROM cohort)""",
+)
+def static_features(spark, sf):
+    return n.static_features(
+        src.stay_detail(spark, sf),
+        src.admissions(spark, sf),
+        cohort_of(spark, sf),
+        "stay_id",
+        "hadm_id",
+        groups={"race": RACE_GROUPS},
+        columns=["admission_age", "gender", "race", "admission_type"],
+        categories={
+            "gender": ["F", "M"], "race": ["UNKNOWN", "PORTUGUESE"], "admission_type": ["URGENT"],
+        },
+    )
+
+
 def _stat_sql(col: str) -> str:
     return f"""SELECT '{col}' AS feature, sum({col}) / any_value(n) AS mean,
       sqrt(greatest((sum({col} * {col}) / any_value(n)) - (sum({col}) / any_value(n)) ** 2, 0))
@@ -253,3 +297,38 @@ def select_by_auc(spark, sf):
     best, _ = m.select_by_auc(models, data.split("val"), "stage")
     scored = m.score(models[best], data.split("test"))
     return scored.select(F.lit(best).alias("model"), "id", "slot", "stage", "p")
+
+
+@query("cohort_to_supervised")
+def cohort_to_supervised(spark, sf):
+    """The whole way: cohort, measurements, grid, treatment flags, static attributes, labels.
+
+    One row per split with its size and the number of features.
+    """
+    detail = src.stay_detail(spark, sf)
+    cohort = stored(cohort_of(spark, sf))
+    stages = stage_series(cohort, src.stages(spark, sf))
+    series = stored(
+        f.build_series(vital_pivot(spark, sf, cohort), lab_pivot(spark, sf, cohort=cohort), stages)
+    )
+    grid, kept = f.clean_resample(series, min_coverage=0.3, min_integrity=0.2)
+    treatments = {
+        "ventilation": src.intervals(spark, sf, "error").withColumnRenamed("id", "stay_id"),
+        "sedative": f.order_intervals(src.inputevents(spark, sf)),
+        "rrt": f.renal_intervals(
+            cohort,
+            src.renal_chartevents(spark, sf),
+            src.inputevents(spark, sf),
+            src.datetimeevents(spark, sf),
+            src.procedureevents(spark, sf),
+        ),
+    }
+    static = f.encode_static(static_detail(detail, src.admissions(spark, sf), cohort))
+    wide = f.attach_flags_static(grid, treatments, static)
+    data = supervised_set(wide)
+    return data.rows.groupBy("split").agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("stay_id").alias("n_ids"),
+        F.sum("aki_stage").alias("n_positive"),
+        F.lit(len(data.features)).alias("n_features"),
+    )

@@ -7,7 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from slotwise.dictionaries import LEGACY_NAMES
-from slotwise.operators.cleaning import feature_columns, harmonize_columns, label_last
+from slotwise.operators.cleaning import (
+    cast_columns,
+    feature_columns,
+    harmonize_columns,
+    label_last,
+    parse_times,
+)
+from slotwise.operators.series import presented
 from slotwise.plans import inputs as src
 from slotwise.plans.catalog.learning import FILLED, labelled_of
 from slotwise.plans.catalog.registry import SERIES, query, rounded
@@ -65,3 +72,36 @@ def recorded(spark, sf):
         rows, "id", "stage", feature_columns(rows, ["id", "slot", "stage"]), params
     )
     return rounded(record, "positive_ratio")
+
+
+@query(
+    "parse_times",
+    """SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 10 = 0 THEN 'unknown'
+      ELSE o_orderdate::VARCHAR END AS TIMESTAMP) AS ordered FROM orders""",
+)
+def parsed(spark, sf):
+    text = F.when(F.col("o_orderkey") % 10 == 0, "unknown").otherwise(
+        F.col("o_orderdate").cast("string")
+    )
+    orders = read_table(spark, "orders", base=sf).select("o_orderkey", text.alias("ordered"))
+    return parse_times(orders, ["ordered"])
+
+
+@query(
+    "cast_columns",
+    """SELECT o_orderkey, o_totalprice::FLOAT::DOUBLE AS o_totalprice FROM orders""",
+)
+def cast(spark, sf):
+    orders = read_table(spark, "orders", ["o_orderkey", "o_totalprice"], sf)
+    single = cast_columns(orders, {"o_totalprice": "float"})
+    return cast_columns(single, {"o_totalprice": "double"})
+
+
+@query("presented", f"WITH {SERIES} SELECT id, time, stage FROM series")
+def in_order(spark, sf):
+    return presented(src.series(spark, sf).select("id", "time", "stage"), "id", "time")
+
+
+@query("distinct_rows", "SELECT DISTINCT user_id, event_type FROM events")
+def distinct_rows(spark, sf):
+    return src.events(spark, sf).select("user_id", "event_type").distinct()

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions.columns import binarize
+from slotwise.functions.columns import binarize, quoted
 from slotwise.operators.cleaning import feature_columns, impute_constant
 from slotwise.operators.encode import (
     SPLITS,
@@ -23,7 +23,7 @@ from slotwise.operators.encode import (
 from slotwise.operators.evaluate import classification_report, curve_metrics
 from slotwise.operators.quality import max_group_size
 from slotwise.operators.series import shift_label
-from slotwise.session import stored
+from slotwise.session import fetched, stored
 
 
 class SupervisedSet(NamedTuple):
@@ -68,13 +68,13 @@ def supervised_set(
     read that table.
     """
     feats = list(features or feature_columns(grid, [id, time, label]))
-    labelled = shift_label(grid.select(id, time, label, *feats), id, time, label, steps)
+    labelled = shift_label(grid.select(id, time, label, *map(quoted, feats)), id, time, label, steps)
     filled = impute_constant(labelled, 0, feats)
     split = stored(split_by_id(filled, id, weights, seed, fn))
     train = get_split(split, "train")
     longest = max_group_size(train, id)
-    stats = fit_scaler(train, feats, id, longest, include_padding)
     maxlen = longest.first()["max_size"] or 0
+    stats = fetched(fit_scaler(train, feats, id, maxlen, include_padding))
     return SupervisedSet(
         apply_scaler(split, stats, feats), stats, feats, maxlen, id, time, label
     )

@@ -103,6 +103,22 @@ def test_label_pairs(spark):
     assert rows_of(out) == [([1, 0], [[1, 0], [0, 1]])]
 
 
+def test_encoded_names_with_dots_and_spaces(spark):
+    df = series(spark, [14, 16, 12, 13, 20, 15, 11, 18]).withColumnsRenamed(
+        {"a": "type_EW EMER.", "b": "race_A/B C"}
+    )
+    data = supervised_set(df, "id", "slot", "y", weights={"train": 0.6, "val": 0.4})
+    assert data.features == ["race_A/B C", "type_EW EMER."]
+    assert data.sequences("train").count() > 0
+    train = data.split("train").withColumn("y", (F.col("id") % 2).cast("int"))
+    model = m.fit_step_classifier(train, data.features, "y", hidden=2, max_iter=2)
+    assert m.score(model, train).filter("p is null").count() == 0
+    near = m.fit_neighbour_classifier(train, "id", "slot", data.features, "y", max_iter=2)
+    assert near is not None
+    counted = n.undersample(train, "y", 3, ["id", "slot"])
+    assert counted.filter("y = 0").count() == 3
+
+
 def separable(spark):
     rng = np.random.default_rng(5)
     rows = []
