@@ -133,9 +133,6 @@ class _Target:
         first, last = self.ranks
         return not self.size or self.below <= first and last < self.below + self.inside
 
-    def within(self) -> Column:
-        return F.col(f"c{self.col}").between(F.lit(self.low), F.lit(self.high))
-
     def value(self) -> float | None:
         if not self.size:
             return None
@@ -176,36 +173,59 @@ def _bracket(values: DataFrame, targets: list[_Target], margin: float, accuracy:
 
 def _count(values: DataFrame, targets: list[_Target]) -> None:
     """Count exactly how many values lie below and inside each bracket."""
+    sizes = {t.col: F.count(f"c{t.col}").alias(f"size{t.col}") for t in targets}
+    below = [F.count_if(F.col(f"c{t.col}") < t.low) for t in targets]
+    up_to = [F.count_if(F.col(f"c{t.col}") <= t.high) for t in targets]
     counts = values.agg(
-        *[F.count(f"c{t.col}").alias(f"size{k}") for k, t in enumerate(targets)],
-        *[F.count_if(F.col(f"c{t.col}") < t.low).alias(f"below{k}") for k, t in enumerate(targets)],
-        *[F.count_if(t.within()).alias(f"inside{k}") for k, t in enumerate(targets)],
+        *sizes.values(),
+        *[c.alias(f"below{k}") for k, c in enumerate(below)],
+        *[c.alias(f"up_to{k}") for k, c in enumerate(up_to)],
     ).first()
     for k, t in enumerate(targets):
-        t.size, t.below, t.inside = counts[f"size{k}"], counts[f"below{k}"], counts[f"inside{k}"]
+        t.size, t.below = counts[f"size{t.col}"], counts[f"below{k}"]
+        t.inside = counts[f"up_to{k}"] - t.below
 
 
 def _rank(values: DataFrame, targets: list[_Target]) -> None:
-    """Find the values at the wanted ranks among those inside the brackets."""
+    """Find the values at the wanted ranks among those inside the brackets.
+
+    Values outside every bracket of their column are left out before anything is joined or
+    shuffled; the table of brackets is as short as the list of targets and is broadcast.
+    """
     if not targets:
         return
-    tagged = [
-        F.when(t.within(), F.struct(F.lit(k).alias("k"), F.col(f"c{t.col}").alias("v")))
-        for k, t in enumerate(targets)
+    brackets: dict[int, list[Column]] = {}
+    for t in targets:
+        inside = F.col(f"c{t.col}").between(F.lit(t.low), F.lit(t.high))
+        brackets.setdefault(t.col, []).append(inside)
+    pairs = [
+        F.struct(F.lit(c).alias("c"), F.when(any_of(inside), F.col(f"c{c}")).alias("v"))
+        for c, inside in brackets.items()
     ]
-    inside = values.filter(any_of([t.within() for t in targets])).select(
-        F.inline(F.array_compact(F.array(*tagged)))
+    candidates = values.select(F.inline(F.array(*pairs))).filter(F.col("v").isNotNull())
+    table = pa.table(
+        {
+            "k": pa.array(range(len(targets)), pa.int32()),
+            "c": pa.array([t.col for t in targets], pa.int32()),
+            "low": pa.array([t.low for t in targets], pa.float64()),
+            "high": pa.array([t.high for t in targets], pa.float64()),
+        }
     )
+    wanted = F.broadcast(values.sparkSession.createDataFrame(table))
+    inside = candidates.join(wanted, "c").filter(F.col("v").between(F.col("low"), F.col("high")))
     counts = inside.groupBy("k", "v").agg(F.count("*").alias("n"))
     if max(t.inside for t in targets) <= RANK_IN_ONE_TASK:
         order = W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
         running = counts.withColumn("cum_n", F.sum("n").over(order))
     else:
         running = cumulative(counts, "v", ["n"], by=["k"])
-    wanted = F.array(*[F.array(*[F.lit(r - t.below) for r in t.ranks]) for t in targets])
-    ranked = running.select("k", "v", "cum_n", F.explode(wanted[F.col("k")]).alias("r"))
-    rows = ranked.filter(F.col("cum_n") > F.col("r")).groupBy("k", "r").agg(F.min("v").alias("v"))
-    for row in rows.collect():
+    ranks = {
+        "k": pa.array([k for k, t in enumerate(targets) for _ in t.ranks], pa.int32()),
+        "r": pa.array([r - t.below for t in targets for r in t.ranks], pa.int64()),
+    }
+    asked = F.broadcast(values.sparkSession.createDataFrame(pa.table(ranks)))
+    reached = running.join(asked, "k").filter(F.col("cum_n") > F.col("r"))
+    for row in reached.groupBy("k", "r").agg(F.min("v").alias("v")).collect():
         t = targets[row["k"]]
         t.found[row["r"] + t.below] = row["v"]
 

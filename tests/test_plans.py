@@ -10,7 +10,7 @@ from slotwise.operators import series as s
 from slotwise.plans import inputs as src
 
 FOLDER = "/root/testdata/sf0.001"
-FITTING = {"step_classifier", "neighbour_classifier", "select_by_auc", "sequence_shapes"}
+FITTING = {"step_classifier", "neighbour_classifier", "select_by_auc", "cohort_to_supervised"}
 
 
 def plan_of(df) -> str:
