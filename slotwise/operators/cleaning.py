@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from slotwise.dictionaries import CodeRule, dictionary_frame
-from slotwise.functions.columns import any_of, quoted
+from slotwise.functions.columns import any_of, named, quoted
 
 
 def harmonize_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -115,8 +115,8 @@ def mask_outliers(df: DataFrame, fences: DataFrame, cols: Sequence[str]) -> Data
 
     def kept(c: str) -> Column:
         low, up = bounds[c]
-        outside = (F.col(c) < F.lit(low)) | (F.col(c) > F.lit(up))
-        return F.when(outside, F.lit(None)).otherwise(F.col(c))
+        outside = (named(c) < F.lit(low)) | (named(c) > F.lit(up))
+        return F.when(outside, F.lit(None)).otherwise(named(c))
 
     fenced = [c for c in cols if None not in bounds.get(c, (None, None))]
     return df.withColumns({c: kept(c) for c in fenced})

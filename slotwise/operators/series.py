@@ -38,29 +38,21 @@ def align_series(
 
     ``fused`` maps a new column to the columns it is fused from: each distinct value of them
     gives a row, as if they had been united by ``fuse_measure`` and merged.  A series in
-    ``repeated`` may hold several rows per key; each of them is paired with the other columns of
-    its key.  Rows with a null key are left out.
+    ``repeated`` may hold any number of rows per key and is merged by an outer join of its own.
+    Rows with a null key are left out.
     """
     fused = dict(fused or {})
     plain = [c for df in frames for c in df.columns if c not in keys]
-    multi = [[c for c in df.columns if c not in keys] for df in repeated]
     stacked = [df.dropna(subset=list(keys)) for df in frames]
-    for i, (df, cols) in enumerate(zip(repeated, multi, strict=True)):
-        row = F.struct(*cols).alias(f"_multi{i}")
-        stacked.append(df.dropna(subset=list(keys)).select(*keys, row))
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
-    out = merged.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in plain],
-        *[F.collect_list(f"_multi{i}").alias(f"_multi{i}") for i in range(len(multi))],
-    )
-    kept = [c for c in plain if not any(c in sources for sources in fused.values())]
+    out = merged.groupBy(*keys).agg(*[F.max(c).alias(c) for c in plain])
     for name, sources in fused.items():
         values = F.array_distinct(F.array_compact(F.array(*sources)))
         out = out.select("*", F.explode_outer(values).alias(name))
-    for i in range(len(multi)):
-        out = out.select("*", F.explode_outer(f"_multi{i}").alias(f"_row{i}"))
-    rows = [F.col(f"_row{i}.{c}").alias(c) for i, cols in enumerate(multi) for c in cols]
-    return out.select(*keys, *kept, *fused, *rows)
+    out = out.drop(*[c for sources in fused.values() for c in sources if c not in fused])
+    for df in repeated:
+        out = out.join(df.dropna(subset=list(keys)), list(keys), "full_outer")
+    return out
 
 
 def attach_static(series: DataFrame, static: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,6 @@ from slotwise.operators import cleaning as c
 from slotwise.operators import quality as q
 from slotwise.plans import inputs as src
 from slotwise.plans.catalog.registry import SERIES, query, rounded
-from slotwise.plans.catalog.series import CLEANED  # noqa: F401  (shared SQL lives there)
 
 FEATURES = ["click", "view", "purchase", "rare"]
 LOS = f"""{SERIES}, los AS (

@@ -20,7 +20,6 @@ from slotwise.operators.cleaning import (
     map_codes,
     mask_outliers,
     null_guard,
-    points_to_intervals,
     recode,
 )
 from slotwise.operators.encode import one_hot
@@ -275,5 +274,5 @@ def attach_flags_static(
 __all__ = [
     "IntervalSource", "attach_flags_static", "build_series", "clean_resample", "encode_static",
     "multi_source_intervals", "order_intervals", "pivot_labs", "pivot_vitals",
-    "points_to_intervals", "renal_intervals", "renal_sources",
+    "renal_intervals", "renal_sources",
 ]
