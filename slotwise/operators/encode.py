@@ -249,12 +249,10 @@ def pad_sequences(
 ) -> DataFrame:
     """One row per id: ``features``, an array of exactly ``maxlen`` steps of ``cols``.
 
-    Short series get padding in front, long ones keep their last steps.  ``pad`` is one value
     Short series get padding in front, long ones keep their last steps.  ``pad`` is one value
     for all columns, or an array column with one per column (see ``scaled_zero``).  The label
     travels in an array of its own, padded with 0.  A gathered group holds at most ``maxlen``
     rows.
-    group holds at most ``maxlen`` rows.
     """
     padding = pad if isinstance(pad, Column) else F.array(*[F.lit(float(pad))] * len(cols))
     filled = F.array(*[F.coalesce(named(c).cast("double"), F.lit(0.0)) for c in cols])
