@@ -107,3 +107,14 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts[:3], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), counts[3])
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slotwise.llm.common import fold_of
+    from slotwise.llm.toxicity import FOLDS, score_toxicity, train, training_sample
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(training_sample(docs, table(spark, sf_dir, "labels")))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "score", "predicted", "spans")
