@@ -118,3 +118,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(training_sample(docs, table(spark, sf_dir, "labels")))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "score", "predicted", "spans")
+
+
+@query()
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slotwise.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
