@@ -155,3 +155,14 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slotwise.llm.hmm import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slotwise.llm.repeats import remove_repeats
+
+    cleaned = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return cleaned.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
