@@ -10,7 +10,6 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_DICTIONARY_ROWS = 10_000
 
 
 class CodeRule(NamedTuple):
@@ -150,11 +149,9 @@ def concepts(rules: list[CodeRule]) -> list[str]:
 
 
 def dictionary_frame(spark: SparkSession, rules: list[CodeRule]) -> DataFrame:
-    """The rules as a local relation; codes must be unique and the table small."""
+    """The rules as a local relation; codes must be unique."""
     if len({rule.code for rule in rules}) != len(rules):
         raise ValueError("a code may appear in one rule only")
-    if len(rules) > MAX_DICTIONARY_ROWS:
-        raise ValueError(f"code dictionary has more than {MAX_DICTIONARY_ROWS} rows")
     schema = pa.schema(
         [
             ("code", pa.int64()), ("concept", pa.string()),

@@ -73,8 +73,9 @@ def nonzero_mean(c: str | Column) -> Column:
 
 
 def first_nonnull(c: str | Column, order: str | Column) -> Column:
-    """Aggregate: the non-null value that comes first in ``order``."""
-    return F.min_by(_col(c), F.when(_col(c).isNotNull(), _col(order)))
+    """Aggregate: the non-null value that comes first in ``order``, the smallest one of equal places."""
+    place = F.struct(_col(order).alias("order"), _col(c).alias("value"))
+    return F.min_by(_col(c), F.when(_col(c).isNotNull(), place))
 
 
 def sigmoid(c: str | Column) -> Column:

@@ -40,11 +40,12 @@ def map_codes(
 ) -> DataFrame:
     """Attach the rule of each event's code: concept, bounds and unit conversion.
 
-    Events with other codes are left out unless ``keep_unmapped``.  The dictionary has a checked,
-    fixed length, so it is broadcast; the code list itself also filters the scan.
+    Events with other codes are left out unless ``keep_unmapped``.  The dictionary is a local
+    relation of known size, from which the planner decides on a broadcast; the code list itself also
+    filters the scan.
     """
     rules = list(rules)
-    table = F.broadcast(dictionary_frame(events.sparkSession, rules))
+    table = dictionary_frame(events.sparkSession, rules)
     if not keep_unmapped:
         events = filter_codes(events, [r.code for r in rules], code)
     how = "left" if keep_unmapped else "inner"

@@ -15,7 +15,6 @@ from slotwise.functions.ranking import RANK_BUCKETS
 from slotwise.operators.cleaning import recode
 from slotwise.operators.events import enrich
 
-MAX_CATEGORIES = 1000
 SPLIT_BUCKETS = 1000
 SPLITS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
@@ -23,15 +22,24 @@ SPLITS = {"train": 0.8, "val": 0.1, "test": 0.1}
 def find_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
     """The distinct non-null values of each column, sorted.
 
-    They become column names, so there must be few: more than ``MAX_CATEGORIES`` is an error.
+    They become column names, so columns with many values are better put in the long form of
+    ``one_hot_rows``.
     """
     pairs = [F.struct(F.lit(c).alias("col"), named(c).alias("value")) for c in cols]
-    values = df.select(F.inline(F.array(*pairs))).dropna().distinct()
-    rows = values.limit(len(cols) * MAX_CATEGORIES + 1).collect()
-    found = {c: sorted(row["value"] for row in rows if row["col"] == c) for c in cols}
-    if len(rows) > len(cols) * MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories per column")
-    return found
+    rows = df.select(F.inline(F.array(*pairs))).dropna().distinct().collect()
+    return {c: sorted(row["value"] for row in rows if row["col"] == c) for c in cols}
+
+
+def one_hot_rows(df: DataFrame, id: str, cols: Sequence[str]) -> DataFrame:
+    """The long form of one-hot columns: a row ``id, feature, 1`` for every value that is not null.
+
+    For columns with many values: nothing is collected and no column is made per value.
+    """
+    pairs = [F.struct(F.lit(c).alias("col"), named(c).cast("string").alias("value")) for c in cols]
+    rows = df.select(named(id), F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+    return rows.select(
+        named(id), F.concat_ws("_", "col", "value").alias("feature"), F.lit(1).alias("one")
+    ).distinct()
 
 
 def one_hot(

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.session import stored
+
 from slotwise.functions.columns import any_of
 
 
@@ -33,14 +35,20 @@ def events_in_window(
     The key is an equality, the window a residual condition of the same join, so there is no
     nested loop.  No side is hinted: a small cohort is broadcast when its size is known to be
     small, a large one is merged and its skewed keys are split at run time.  ``keep_unmatched``
-    adds stays without events (with null event columns).
+    adds stays without events (with null event columns): what was matched is stored, and the stays
+    missing from it are added, so that no outer join has to keep a hot entity's events together.
     """
     on = [on] if isinstance(on, str) else list(on)
     events = events.dropna(subset=[*on, time])
-    how = "left" if keep_unmatched else "inner"
-    return _joined(
-        stays, events, on, lambda r: r[time].between(stays[start], stays[end]), how
+    found = _joined(
+        stays, events, on, lambda r: r[time].between(stays[start], stays[end]), "inner"
     )
+    if not keep_unmatched:
+        return found
+    found = stored(found)
+    window = [*on, start, end]
+    rest = stays.join(found.select(*window).distinct(), window, "left_anti")
+    return found.unionByName(rest, allowMissingColumns=True)
 
 
 def events_before(

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.functions.columns import slot_after, slot_floor, slots_between
@@ -53,6 +54,17 @@ def slot_ranges(
     )
 
 
+def merged_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Overlapping runs ``first .. last`` of the same keys as one."""
+    distinct = runs.groupBy(*keys, "first").agg(F.max("last").alias("last"))
+    order = W.partitionBy(*keys).orderBy("first")
+    before = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(before.isNull() | (F.col("first") > before), F.col("first"))
+    opened = F.max("_opens").over(order.rowsBetween(W.unboundedPreceding, 0))
+    marked = distinct.withColumn("_opens", opens).withColumn("_run", opened)
+    return marked.groupBy(*keys, "_run").agg(F.max("last").alias("last")).withColumnRenamed("_run", "first")
+
+
 def flag_treatments(
     grid: DataFrame,
     treatments: Mapping[str, DataFrame],
@@ -68,22 +80,25 @@ def flag_treatments(
     Intervals are reduced to distinct runs of slots, runs are expanded to slots, and slots are
     matched by equality, all treatments in one join: no range join, and a heavily treated id does
     not sit in one task, because repeats are removed before the shuffle and the keys include the
-    slot.  Runs are clipped to the time range of the grid, so an open-ended interval stays as
-    short as the data.  The grid is read twice; store it first when it is costly.
+    slot.  Runs are clipped to the id's own first and last slot, and runs that overlap are
+    merged before they are expanded, so no id gives more rows than its slots times the treatments.
+    The grid is read twice; store it first when it is costly.
     """
-    span = grid.agg(F.struct(F.min(slot).alias("low"), F.max(slot).alias("high")).alias("s"))
+    span = grid.groupBy(id).agg(F.min(slot).alias("_low"), F.max(slot).alias("_high"))
     runs = union_intervals(
         [
             slot_ranges(table, id, start, end, width, tail).withColumn("_name", F.lit(name))
             for name, table in treatments.items()
         ]
-    ).withColumn("_span", span.scalar())
-    clipped = runs.select(
-        id,
-        "_name",
-        F.greatest("first", "_span.low").alias("first"),
-        F.least("last", "_span.high").alias("last"),
-    ).filter(F.col("first") <= F.col("last"))
+    )
+    clipped = (
+        runs.join(span, id)
+        .select(
+            id, "_name", F.greatest("first", "_low").alias("first"), F.least("last", "_high").alias("last")
+        )
+        .filter(F.col("first") <= F.col("last"))
+    )
+    clipped = merged_runs(clipped, [id, "_name"])
     steps = F.sequence(F.lit(0), slots_between(F.col("first"), F.col("last"), width))
     touched = (
         clipped.select(id, "_name", "first", F.explode(steps).alias("_k"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.columns import named, slot_after, slot_of, slots_between
 
-MAX_GAP_SLOTS = 1_000_000
+#: Slots that one row is exploded to at a time; longer gaps take two levels.
+GAP_BLOCK = 1000
 
 
 def fuse_measure(
@@ -33,26 +34,46 @@ def align_series(
 ) -> DataFrame:
     """Full outer merge of several series on the same keys, in one shuffle.
 
-    ``frames`` must be unique per key and share no other column names.  The series are stacked
-    and grouped once, rather than merged one after the other, so each of them is computed once.
+    The series share no column names but the keys.  They are stacked and grouped once, rather than
+    merged one after the other, so each of them is computed once.  ``frames`` must be unique per
+    key; one that is not is an error.  A series in ``repeated`` may hold any number of rows per key:
+    each of them gives a row, as in an outer merge.
 
     ``fused`` maps a new column to the columns it is fused from: each distinct value of them
-    gives a row, as if they had been united by ``fuse_measure`` and merged.  A series in
-    ``repeated`` may hold any number of rows per key and is merged by an outer join of its own.
-    Rows with a null key are left out.
+    gives a row, as if they had been united by ``fuse_measure`` and merged.  Rows with a null key
+    are left out.
     """
     fused = dict(fused or {})
-    plain = [c for df in frames for c in df.columns if c not in keys]
-    stacked = [df.dropna(subset=list(keys)) for df in frames]
+    sources = {c for names in fused.values() for c in names}
+    own = [[c for c in df.columns if c not in keys and c not in sources] for df in (*frames, *repeated)]
+    stacked = [
+        df.dropna(subset=list(keys)).withColumn("_series", F.lit(i))
+        for i, df in enumerate((*frames, *repeated))
+    ]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
-    out = merged.groupBy(*keys).agg(*[F.max(c).alias(c) for c in plain])
-    for name, sources in fused.items():
-        values = F.array_distinct(F.array_compact(F.array(*sources)))
-        out = out.select("*", F.explode_outer(values).alias(name))
-    out = out.drop(*[c for sources in fused.values() for c in sources if c not in fused])
-    for df in repeated:
-        out = out.join(df.dropna(subset=list(keys)), list(keys), "full_outer")
-    return out
+    several = range(len(frames), len(own))
+    out = merged.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for names in own[: len(frames)] for c in names],
+        *[
+            F.array_distinct(F.concat(*[F.collect_set(c) for c in names])).alias(f"_all_{name}")
+            for name, names in fused.items()
+        ],
+        *[
+            F.collect_list(F.when(F.col("_series") == i, F.struct(*own[i]))).alias(f"_rows_{i}")
+            for i in several
+        ],
+        *[F.count_if(F.col("_series") == i).alias(f"_n_{i}") for i in range(len(frames))],
+    )
+    once = reduce(lambda a, b: a & b, [F.col(f"_n_{i}") < 2 for i in range(len(frames))], F.lit(True))
+    failure = F.raise_error(F.lit("a series repeats a key: name it in `repeated`")).cast("boolean")
+    out = out.filter(F.when(once, F.lit(True)).otherwise(failure))
+    for name in fused:
+        out = out.select("*", F.explode_outer(f"_all_{name}").alias(name)).drop(f"_all_{name}")
+    for i in several:
+        out = out.select("*", F.explode_outer(f"_rows_{i}").alias(f"_row_{i}"))
+    columns = [F.col(c) for names in own[: len(frames)] for c in names]
+    rows = [F.col(f"_row_{i}")[c].alias(c) for i in several for c in own[i]]
+    return out.select(*keys, *columns, *fused, *rows)
 
 
 def attach_static(series: DataFrame, static: DataFrame, key: str) -> DataFrame:
@@ -90,7 +111,6 @@ def resample(
     discrete: Sequence[str] = (),
     fill_gaps: bool = True,
     slot: str = "slot",
-    max_gap: int = MAX_GAP_SLOTS,
 ) -> DataFrame:
     """Irregular series to a regular grid of left-closed slots, labelled by their start.
 
@@ -99,8 +119,8 @@ def resample(
 
     Rows are reduced to slots before they are shuffled.  Gaps are then filled by looking at the
     next occupied slot of the same id, so the rows of a group are at most the slots of an id's
-    time span, however many raw rows the id has.  A single gap above ``max_gap`` slots stops the
-    job: it means a broken timestamp, not data to be dropped in silence.
+    time span, however many raw rows the id has.  Gaps of any length are
+    filled, first by blocks of slots and then inside each block; ``long_gaps`` reports them.
     """
     measures = [*numeric, *discrete]
     slots = (
@@ -112,11 +132,11 @@ def resample(
         return slots
     following = F.lead(slot).over(W.partitionBy(id).orderBy(slot))
     steps = F.coalesce(slots_between(F.col(slot), F.col("_next"), width), F.lit(1))
-    failure = F.raise_error(F.lit(f"a gap of more than {max_gap} slots: check the timestamps"))
-    run = F.when(steps > max_gap, failure).otherwise(F.sequence(F.lit(0), steps - 1))
-    filled = slots.withColumn("_next", following).select(
-        id, slot, *measures, F.explode(run).alias("_k")
-    )
+    gaps = slots.withColumn("_next", following).withColumn("_steps", steps)
+    block = F.explode(F.sequence(F.lit(0), (F.col("_steps") - 1).cast("long"), F.lit(GAP_BLOCK))).alias("_first")
+    blocks = gaps.select(id, slot, *measures, "_steps", block)
+    last = F.least(F.col("_first") + GAP_BLOCK, F.col("_steps")) - 1
+    filled = blocks.select(id, slot, *measures, F.explode(F.sequence(F.col("_first"), last)).alias("_k"))
     return filled.select(
         id,
         slot_after(F.col(slot), F.col("_k"), width).alias(slot),
@@ -124,6 +144,15 @@ def resample(
     )
 
 
+def long_gaps(df: DataFrame, id: str, time: str, slots: int, width: str = "6 hours") -> DataFrame:
+    """Gaps of more than ``slots`` slots between neighbouring occupied ones: id, start, end, n_slots."""
+    own = df.filter(F.col(id).isNotNull()).select(id, slot_of(time, width).alias("start")).distinct()
+    following = F.lead("start").over(W.partitionBy(id).orderBy("start"))
+    gaps = own.withColumn("end", following)
+    gaps = gaps.withColumn("n_slots", slots_between(F.col("start"), F.col("end"), width))
+    return gaps.filter(F.col("n_slots") > slots)
+
+
 def shift_label(
     df: DataFrame,
     id: str,

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from slotwise.functions.columns import binarize, sigmoid
 from slotwise.operators import evaluate as v
 from slotwise.plans import inputs as src
-from slotwise.plans.catalog.learning import FILLED, labelled_of
+from slotwise.plans.catalog.learning import FILLED, LONGEST, labelled_of, longest_train
 from slotwise.plans.catalog.registry import SCORES, query, rounded
 from slotwise.plans.catalog.series import MEASURES
 from slotwise.plans.learning import evaluate
+from slotwise.session import stored
 
 COUNTS = """counts AS (
   SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM scores GROUP BY 1),
@@ -202,10 +203,10 @@ def _swap(col: str) -> str:
 
 @query(
     "permutation_importance",
-    f"""WITH {FILLED}, rows AS (
+    f"""WITH {FILLED}, {LONGEST}, rows AS (
       SELECT id, stage, click, view, purchase,
-        60 - row_number() OVER (PARTITION BY id ORDER BY slot DESC) AS step
-      FROM filled QUALIFY row_number() OVER (PARTITION BY id ORDER BY slot DESC) <= 60),
+        maxlen - row_number() OVER (PARTITION BY id ORDER BY slot DESC) AS step
+      FROM filled, longest QUALIFY row_number() OVER (PARTITION BY id ORDER BY slot DESC) <= maxlen),
     ids AS (SELECT id, row_number() OVER (ORDER BY (id * 7919 + 7) % 1000, id) AS base,
         row_number() OVER (ORDER BY (id * 7919 + 8) % 1000, id) AS place
       FROM (SELECT DISTINCT id FROM rows)),
@@ -213,8 +214,9 @@ def _swap(col: str) -> str:
     {" UNION ALL ".join(_swap(x) for x in MEASURES)}""",
 )
 def permutation_importance(spark, sf):
-    rows = labelled_of(spark, sf).fillna(0, subset=MEASURES)
+    rows = stored(labelled_of(spark, sf).fillna(0, subset=MEASURES))
+    longest = longest_train(rows)
     out = v.permutation_importance(
-        rows, "id", "slot", MEASURES, "stage", linear_score, maxlen=60, seed=7, fn="arithmetic"
+        rows, "id", "slot", MEASURES, "stage", linear_score, maxlen=longest, seed=7, fn="arithmetic"
     )
     return rounded(out, "mae")

@@ -16,6 +16,7 @@ from slotwise.plans.catalog.registry import (
     CHARTEVENTS,
     COHORT,
     DETAIL,
+    FIRST_COHORT,
     LAB_NAMES,
     LABELLED_LABS,
     LABELLED_VITALS,
@@ -36,10 +37,16 @@ KINDS = ["click", "view", "purchase"]
 
 
 def cohort_of(spark, sf) -> DataFrame:
+    """Eligible stays, before their stages inside the window are looked at."""
     detail = src.stay_detail(spark, sf)
     return p.select_cohort(detail, p.prior_positive(detail, src.stages(spark, sf)))
 
 
+def staged_cohort(spark, sf) -> DataFrame:
+    """The stays that later steps read, stored: eligible, staged in the window, and nowhere without a stage."""
+    return stored(p.staged_stays(stored(cohort_of(spark, sf)), src.stages(spark, sf)))
+
+
 @query(
     "events_in_window",
     f"""WITH {WINDOWS} SELECT w.user_id, e.event_id, e.ts, e.event_type, e.value
@@ -91,17 +98,17 @@ def prior_positive(spark, sf):
     return p.prior_positive(src.stay_detail(spark, sf), src.stages(spark, sf))
 
 
-@query("cohort_select", f"WITH {COHORT} SELECT * FROM cohort")
+@query("cohort_select", f"WITH {FIRST_COHORT} SELECT * FROM first_cohort")
 def cohort_select(spark, sf):
     return cohort_of(spark, sf)
 
 
 @query(
     "stage_series",
-    f"""WITH {COHORT} SELECT c.*, k.charttime, round(creat, 6) AS creat,
+    f"""WITH {FIRST_COHORT} SELECT c.*, k.charttime, round(creat, 6) AS creat,
       round(uo_rt_6hr, 6) AS uo_rt_6hr, round(uo_rt_12hr, 6) AS uo_rt_12hr,
       round(uo_rt_24hr, 6) AS uo_rt_24hr, aki_stage
-    FROM cohort c JOIN stages k ON k.stay_id = c.stay_id
+    FROM first_cohort c JOIN stages k ON k.stay_id = c.stay_id
       AND k.charttime BETWEEN c.icu_intime AND c.icu_outtime
     WHERE aki_stage IS NOT NULL""",
 )
@@ -116,7 +123,7 @@ IN_WINDOW = """FROM stages k WHERE k.stay_id = c.stay_id
 
 @query(
     "staged_stays",
-    f"""WITH {COHORT} SELECT c.* FROM cohort c
+    f"""WITH {FIRST_COHORT} SELECT c.* FROM first_cohort c
     WHERE EXISTS (SELECT 1 {IN_WINDOW})
       AND NOT EXISTS (SELECT 1 {IN_WINDOW} AND k.aki_stage IS NULL)""",
 )
@@ -134,7 +141,7 @@ def staged_stays(spark, sf):
 )
 def static_detail(spark, sf):
     return p.static_detail(
-        src.stay_detail(spark, sf), src.admissions(spark, sf), cohort_of(spark, sf)
+        src.stay_detail(spark, sf), src.admissions(spark, sf), staged_cohort(spark, sf)
     )
 
 
@@ -240,7 +247,7 @@ VITAL_PIVOT = f"""SELECT c.subject_id, c.hadm_id, c.stay_id, v.charttime,
 
 def lab_pivot(spark, sf, keep_unmatched=False, cohort=None):
     stays = src.unit_stays(src.stay_detail(spark, sf))
-    cohort = cohort or cohort_of(spark, sf)
+    cohort = cohort or staged_cohort(spark, sf)
     return f.pivot_labs(cohort, stays, src.labevents(spark, sf), keep_unmatched=keep_unmatched)
 
 
@@ -259,7 +266,7 @@ def pivot_labs_unmatched(spark, sf):
 
 
 def vital_pivot(spark, sf, cohort=None):
-    return f.pivot_vitals(cohort or cohort_of(spark, sf), src.chartevents(spark, sf))
+    return f.pivot_vitals(cohort or staged_cohort(spark, sf), src.chartevents(spark, sf))
 
 
 @query("pivot_vitals", f"WITH {COHORT}, {CHARTEVENTS}, {LABELLED_VITALS} {VITAL_PIVOT}")
@@ -324,7 +331,7 @@ CHART_FLAG = f"""CASE
 )
 def renal_intervals(spark, sf):
     return f.renal_intervals(
-        cohort_of(spark, sf),
+        staged_cohort(spark, sf),
         src.renal_chartevents(spark, sf),
         src.inputevents(spark, sf),
         src.datetimeevents(spark, sf),

@@ -8,11 +8,11 @@ from slotwise.dictionaries import RACE_GROUPS
 from slotwise.functions.ranking import shuffled_rank
 from slotwise.operators import encode as n
 from slotwise.operators import model as m
-from slotwise.operators.quality import positive_ratio
+from slotwise.operators.quality import max_group_size, positive_ratio
 from slotwise.operators.series import neighbour_features, shift_label
 from slotwise.plans import inputs as src
 from slotwise.plans import features as f
-from slotwise.plans.catalog.events import cohort_of, lab_pivot, vital_pivot
+from slotwise.plans.catalog.events import lab_pivot, staged_cohort, vital_pivot
 from slotwise.plans.catalog.registry import ADMISSIONS, COHORT, GRID, SERIES, query, rounded
 from slotwise.plans.catalog.series import LABELLED, MEASURES, grid_of
 from slotwise.plans.cohort import stage_series, static_detail
@@ -147,7 +147,7 @@ def static_features(spark, sf):
     return n.static_features(
         src.stay_detail(spark, sf),
         src.admissions(spark, sf),
-        cohort_of(spark, sf),
+        staged_cohort(spark, sf),
         "stay_id",
         "hadm_id",
         groups={"race": RACE_GROUPS},
@@ -198,24 +198,37 @@ def supervised(spark, sf):
     return rounded(data.rows, *MEASURES)
 
 
-MAXLEN = 40
-PADDED = f"""steps AS (
-  SELECT id, {MAXLEN} - row_number() OVER (PARTITION BY id ORDER BY slot DESC) AS step,
-    click, view, purchase, stage FROM filled),
+#: The longest series of the training part: the length that all sequences get.
+LONGEST = """longest AS (SELECT max(n)::INT AS maxlen FROM (
+  SELECT count(*) AS n FROM filled WHERE split = 'train' GROUP BY id))"""
+PADDED = f"""{LONGEST}, steps AS (
+  SELECT id, maxlen - row_number() OVER (PARTITION BY id ORDER BY slot DESC) AS step,
+    click, view, purchase, stage FROM filled, longest),
 padded_steps AS (
   SELECT i.id, p.step::INT AS step, coalesce(click, 0) AS click, coalesce(view, 0) AS view,
     coalesce(purchase, 0) AS purchase, coalesce(stage, 0)::INT AS label
-  FROM (SELECT DISTINCT id FROM filled) i CROSS JOIN range(0, {MAXLEN}) p(step)
+  FROM (SELECT DISTINCT id FROM filled) i CROSS JOIN (SELECT unnest(range(0, maxlen)) AS step FROM longest) p
   LEFT JOIN steps s ON s.id = i.id AND s.step = p.step)"""
 
 
+def longest_train(labelled) -> int:
+    """Steps of the longest training series."""
+    train = n.get_split(n.split_by_id(labelled, "id", fn="arithmetic"), "train")
+    return max_group_size(train, "id").first()["max_size"] or 0
+
+
+def _padded(spark, sf):
+    labelled = stored(labelled_of(spark, sf))
+    return n.pad_sequences(labelled, "id", "slot", MEASURES, longest_train(labelled), "stage")
+
+
 @query(
     "pad_sequences",
     f"""WITH {FILLED}, {PADDED} SELECT id, step, round(click, 6) AS click, round(view, 6) AS view,
       round(purchase, 6) AS purchase, label FROM padded_steps""",
 )
 def pad_sequences(spark, sf):
-    padded = n.pad_sequences(labelled_of(spark, sf), "id", "slot", MEASURES, MAXLEN, "stage")
+    padded = _padded(spark, sf)
     steps = padded.select("id", F.posexplode(F.arrays_zip("features", "labels")).alias("step", "z"))
     out = steps.select(
         "id",
@@ -232,7 +245,7 @@ def pad_sequences(spark, sf):
     SELECT id, step, (1 - label)::INT AS class_0, label AS class_1 FROM padded_steps""",
 )
 def one_hot_label(spark, sf):
-    padded = n.pad_sequences(labelled_of(spark, sf), "id", "slot", MEASURES, MAXLEN, "stage")
+    padded = _padded(spark, sf)
     pairs = padded.select("id", F.posexplode(n.one_hot_labels("labels")).alias("step", "pair"))
     return pairs.select(
         "id", "step", F.col("pair")[0].alias("class_0"), F.col("pair")[1].alias("class_1")
@@ -306,7 +319,7 @@ def cohort_to_supervised(spark, sf):
     One row per split with its size and the number of features.
     """
     detail = src.stay_detail(spark, sf)
-    cohort = stored(cohort_of(spark, sf))
+    cohort = staged_cohort(spark, sf)
     stages = stage_series(cohort, src.stages(spark, sf))
     series = stored(
         f.build_series(vital_pivot(spark, sf, cohort), lab_pivot(spark, sf, cohort=cohort), stages)

@@ -89,12 +89,20 @@ PRIOR = """prior AS (
   FROM detail d LEFT JOIN stages k ON d.stay_id = k.stay_id AND k.charttime < d.icu_intime
   WHERE k.aki_stage <> 0)"""
 
-COHORT = f"""{DETAIL}, {STAGES}, {PRIOR}, cohort AS (
+FIRST_COHORT = f"""{DETAIL}, {STAGES}, {PRIOR}, first_cohort AS (
   SELECT subject_id, hadm_id, stay_id, icu_intime, icu_outtime FROM detail d
   WHERE admission_age BETWEEN 18 AND 89 AND los_icu >= 2
     AND icu_intime IS NOT NULL AND icu_outtime IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM prior p WHERE p.stay_id = d.stay_id))"""
 
+#: What later steps read: stays left after those with an unstaged row, or with no row, in the window are deleted.
+COHORT = f"""{FIRST_COHORT}, in_window AS (
+  SELECT c.stay_id, k.aki_stage FROM first_cohort c JOIN stages k ON k.stay_id = c.stay_id
+    AND k.charttime >= c.icu_intime AND k.charttime <= c.icu_outtime),
+cohort AS (
+  SELECT * FROM first_cohort WHERE stay_id IN (SELECT stay_id FROM in_window WHERE aki_stage IS NOT NULL)
+    AND stay_id NOT IN (SELECT stay_id FROM in_window WHERE aki_stage IS NULL))"""
+
 ADMISSIONS = f"""admissions AS (
   SELECT DISTINCT user_id // 2 AS hadm_id,
     {sql_pick(src.ADMISSION_TYPES, '(user_id // 2)')} AS admission_type FROM events)"""

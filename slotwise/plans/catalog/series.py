@@ -15,8 +15,8 @@ from slotwise.plans import inputs as src
 from slotwise.plans.catalog.events import (
     LAB_PIVOT,
     VITAL_PIVOT,
-    cohort_of,
     lab_pivot,
+    staged_cohort,
     vital_pivot,
 )
 from slotwise.plans.catalog.registry import (
@@ -99,15 +99,14 @@ def _renamed(names):
     return ", ".join(f"{n}_mean AS {n}" for n in names)
 
 
-@query(
-    "build_series",
-    f"""WITH {COHORT}, {LABEVENTS}, {LABELLED_LABS}, {CHARTEVENTS}, {LABELLED_VITALS},
+def _build_sql(time: str) -> str:
+    return f"""WITH {COHORT}, {LABEVENTS}, {LABELLED_LABS}, {CHARTEVENTS}, {LABELLED_VITALS},
     lp AS ({LAB_PIVOT}), vp AS ({VITAL_PIVOT}),
     v AS (SELECT hadm_id, stay_id, charttime, {_renamed(VITALS_LEFT)} FROM vp
       WHERE {_some(VITALS_LEFT)}),
     l AS (SELECT hadm_id, stay_id, charttime, {_renamed(LABS_LEFT)} FROM lp
       WHERE {_some(LABS_LEFT)}),
-    st AS (SELECT c.hadm_id, c.stay_id, k.charttime, round(creat, 6) AS creat, uo_rt_6hr,
+    st AS (SELECT c.hadm_id, c.stay_id, {time} AS charttime, round(creat, 6) AS creat, uo_rt_6hr,
         uo_rt_12hr, uo_rt_24hr, aki_stage
       FROM cohort c JOIN stages k ON k.stay_id = c.stay_id
         AND k.charttime BETWEEN c.icu_intime AND c.icu_outtime WHERE aki_stage IS NOT NULL),
@@ -127,11 +126,23 @@ def _renamed(names):
     FROM v FULL JOIN l USING (hadm_id, stay_id, charttime)
       FULL JOIN glu USING (hadm_id, stay_id, charttime)
       FULL JOIN cre USING (hadm_id, stay_id, charttime)
-      FULL JOIN k USING (hadm_id, stay_id, charttime)""",
-)
+      FULL JOIN k USING (hadm_id, stay_id, charttime)"""
+
+
+@query("build_series", _build_sql("k.charttime"))
 def build_series(spark, sf):
-    cohort = stored(cohort_of(spark, sf))
-    stages = stage_series(cohort, src.stages(spark, sf))
+    return _built(spark, sf, "charttime")
+
+
+@query("build_series_repeated", _build_sql("date_trunc('day', k.charttime)"))
+def build_series_repeated(spark, sf):
+    """Stages by the day, so that one time has several stage rows."""
+    return _built(spark, sf, F.date_trunc("day", "charttime").cast("timestamp_ntz"))
+
+
+def _built(spark, sf, time):
+    cohort = staged_cohort(spark, sf)
+    stages = stage_series(cohort, src.stages(spark, sf)).withColumn("charttime", F.col(time) if isinstance(time, str) else time)
     wide = f.build_series(
         vital_pivot(spark, sf, cohort), lab_pivot(spark, sf, cohort=cohort), stages
     )
@@ -282,6 +293,27 @@ def flags(spark, sf):
     return flag_intervals(grid, src.intervals(spark, sf), "treated")
 
 
+#: A third of the ids lives a century later, another one two; every second id's intervals have no end.
+APART = "(id % 3)::INT * INTERVAL 36500 DAY"
+
+
+@query(
+    "flag_intervals_open",
+    f"""WITH {GRID}, {INTERVALS}, far AS (SELECT id, slot + {APART} AS slot FROM grid),
+    open AS (SELECT id, kind, starttime + {APART} AS starttime,
+      CASE WHEN id % 2 = 0 AND starttime <= endtime THEN TIMESTAMP '9999-01-01'
+        ELSE endtime + {APART} END AS endtime FROM intervals)
+    SELECT id, slot, {flag_sql('signup').replace('FROM intervals i', 'FROM open i').replace('grid.', 'far.')} AS treated FROM far""",
+)
+def flags_open(spark, sf):
+    apart = F.make_dt_interval((F.col("id") % 3 * 36500).cast("int"))
+    grid = grid_of(spark, sf).select("id", (F.col("slot") + apart).alias("slot"))
+    endless = (F.col("id") % 2 == 0) & (F.col("starttime") <= F.col("endtime"))
+    end = F.when(endless, F.lit("9999-01-01").cast("timestamp_ntz")).otherwise(F.col("endtime") + apart)
+    rows = src.intervals(spark, sf).select("id", (F.col("starttime") + apart).alias("starttime"), end.alias("endtime"))
+    return flag_intervals(stored(grid), rows, "treated")
+
+
 @query(
     "union_intervals",
     f"""WITH {INTERVALS} SELECT id, starttime, endtime FROM intervals WHERE kind = 'signup'

@@ -183,7 +183,9 @@ def order_intervals(inputevents: DataFrame, codes: Sequence[int] | None = None)
 
 
 def build_series(vitals: DataFrame, labs: DataFrame, stages: DataFrame) -> DataFrame:
-    """One wide irregular series from vitals, labs and stages, each unique per stay and time.
+    """One wide irregular series from vitals and labs, unique per stay and time, and stages.
+
+    A time may have several stage rows; each gives a row of the series, as in an outer merge.
 
     Glucose is fused from vitals and labs, creatinine from stages and labs.  Rows without any
     value are left out.  Each input is read once and all meet in one shuffle.
@@ -198,13 +200,13 @@ def build_series(vitals: DataFrame, labs: DataFrame, stages: DataFrame) -> DataF
     frames = [
         prepared(vitals, {"glucose": "_chart_glucose"}),
         prepared(labs, {"glucose": "_lab_glucose", "creatinine": "_lab_creatinine"}),
-        prepared(stages, {"creat": "_stage_creatinine"}),
     ]
+    staged = prepared(stages, {"creat": "_stage_creatinine"})
     fused = {
         "glucose": ["_chart_glucose", "_lab_glucose"],
         "creatinine": ["_stage_creatinine", "_lab_creatinine"],
     }
-    return align_series(frames, SERIES_KEYS, fused)
+    return align_series(frames, SERIES_KEYS, fused, [staged])
 
 
 def clean_resample(

@@ -55,12 +55,9 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fetched(df: DataFrame, most: int = 10_000) -> DataFrame:
+def fetched(df: DataFrame) -> DataFrame:
     """A small fitted table as a local relation, so that plans using it do not fit it again.
 
-    For results with one row per column, group or category; more than ``most`` rows is an error.
+    For results with one row per column of a table, which the schema bounds.
     """
-    table = df.limit(most + 1).toArrow()
-    if table.num_rows > most:
-        raise ValueError(f"a fitted table has more than {most} rows")
-    return df.sparkSession.createDataFrame(table)
+    return df.sparkSession.createDataFrame(df.toArrow())

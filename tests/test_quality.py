@@ -78,8 +78,9 @@ def test_one_hot_null_is_all_zeros(spark):
     assert rows_of(out, "id") == [(1, 1, 0), (2, 0, 0), (3, 0, 1)]
 
 
-def test_too_many_categories_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(n, "MAX_CATEGORIES", 2)
-    rows = spark.range(3).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="more than 2 categories"):
-        n.one_hot(rows)
+def test_one_hot_does_not_depend_on_the_columns_listed(spark):
+    rows = spark.range(1500).select("id", F.col("id").cast("string").alias("a"), F.lit("x").alias("b"))
+    assert len(n.find_categories(rows, ["a"])["a"]) == 1500
+    assert n.find_categories(rows, ["a"])["a"] == n.find_categories(rows, ["a", "b"])["a"]
+    long = n.one_hot_rows(rows, "id", ["a", "b"])
+    assert long.count() == 3000 and long.filter("feature = 'a_7'").first()["id"] == 7

@@ -31,11 +31,9 @@ def test_quantiles_equal_numpy(spark, name, values):
     assert np.allclose(quantiles(spark, values), np.quantile(values, PROBS), rtol=1e-12)
 
 
-def test_quantiles_with_rough_sketches_and_split_ranking(spark, monkeypatch):
-    """Wrong brackets are widened, and large brackets are ranked in parts."""
+def test_quantiles_with_rough_sketches(spark, monkeypatch):
+    """Wrong brackets are widened."""
     values = list(np.random.default_rng(4).normal(0, 5, 4000))
-    monkeypatch.setattr(r, "RANK_IN_ONE_TASK", 10)
-    assert np.allclose(quantiles(spark, values), np.quantile(values, PROBS), rtol=1e-12)
     narrow = r._bracket
 
     def shifted(v, targets, margin, accuracy):

@@ -109,11 +109,13 @@ def test_resample_slots_and_gaps(spark):
     ]
 
 
-def test_resample_stops_at_a_broken_timestamp(spark):
-    rows = spark.createDataFrame([(1, at(), 1.0, 0), (1, at(6 * 100), 1.0, 0)], SERIES)
-    grid = s.resample(rows, "id", "time", numeric=["a"], max_gap=50)
-    with pytest.raises(Exception, match="gap of more than 50 slots"):
-        grid.collect()
+def test_resample_fills_a_gap_of_a_thousand_years(spark):
+    slots = 1000 * 365 * 4
+    rows = spark.createDataFrame([(1, at(), 1.0, 0), (1, at(6 * slots), 2.0, 0)], SERIES)
+    grid = s.resample(rows, "id", "time", numeric=["a"])
+    got = grid.agg(F.count("*"), F.countDistinct("slot"), F.sum("a"), F.max("slot")).first()
+    assert tuple(got) == (slots + 1, slots + 1, 3.0, at(6 * slots))
+    assert [r["n_slots"] for r in s.long_gaps(rows, "id", "time", 1000).collect()] == [slots]
 
 
 def grid_of(spark, n, id=1):
