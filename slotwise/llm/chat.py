@@ -103,7 +103,7 @@ def format_chats(events: DataFrame, learn: str = "assistant") -> DataFrame:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """Turns and learned texts read from the rendered form: conv_id, turns (role, text), learned."""
+    """Turns and learned texts read from the rendered form: conv_id, formatted, mask, turns (role, text), learned."""
     parts = F.split("formatted", r"<\|im_end\|>\n", -1)
     split = chats.select("conv_id", "formatted", "mask", F.slice(parts, 1, F.size(parts) - 1).alias("parts"))
 
@@ -117,4 +117,4 @@ def read_back(chats: DataFrame) -> DataFrame:
         inside = span["start"] - span["turn_start"]
         return unescape(F.substr(part, inside.cast("int") + 1, (span["end"] - span["start"]).cast("int")))
 
-    return split.select("conv_id", "formatted", F.transform("parts", turn).alias("turns"), F.transform("mask", learned).alias("learned"))
+    return split.select("conv_id", "formatted", "mask", F.transform("parts", turn).alias("turns"), F.transform("mask", learned).alias("learned"))

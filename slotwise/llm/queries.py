@@ -105,7 +105,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(table(spark, sf_dir, "documents"))
     found = find_secrets(docs, train(labelled_samples(docs)))
     base = F.filter("secrets", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    def of_kind(k):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [of_kind(k) for k in range(4)]
     return found.select("doc_id", *counts[:3], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), counts[3])
 
 

@@ -25,6 +25,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 CLASSES = len(ALPHABET) + 1
 #: Documents whose strings label the samples, and mean log-likelihood ratio (nats) of a transition that reports.
 SAMPLE_DOCUMENTS, THRESHOLD = 2000, 0.6
+SMOOTHING = 10
 #: Matches whose offsets are summed up in one inner fold; keeps the work linear in the number of matches.
 _BLOCK = 256
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -35,25 +36,34 @@ def matches(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def spans(hits: Column, gaps: Column, kind: int, good: Column | None = None) -> Column:
     """(start, kind, end) of every match in code points, end exclusive; only those with ``good``, an array of booleans, true."""
     empty = F.array().cast(_SPANS)
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(hits, i))
-        own = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        kept = own if good is None else F.when(F.get(good, i), own).otherwise(empty)
-        return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
+    def folded(p: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(p["gaps"], i))
+            end = start + F.length(F.get(p["hits"], i))
+            own = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+            kept = own if good is None else F.when(F.get(p["good"], i), own).otherwise(empty)
+            return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
 
-    def block(acc: Column, first: Column) -> Column:
-        inside = F.sequence(first, F.least(first + _BLOCK, F.size(hits)) - 1)
-        part = F.aggregate(inside, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
-        return F.struct(part["at"].alias("at"), F.concat(acc["out"], F.array(part["out"])).alias("out"))
+        def block(acc: Column, first: Column) -> Column:
+            inside = F.sequence(first, F.least(first + _BLOCK, F.size(p["hits"])) - 1)
+            part = F.aggregate(inside, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+            return _bound(part, lambda q: F.struct(q["at"].alias("at"), F.concat(acc["out"], F.array(q["out"])).alias("out")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
-    blocks = F.sequence(F.lit(0), F.size(hits) - 1, F.lit(_BLOCK))
-    return F.when(F.size(hits) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(empty)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+        blocks = F.sequence(F.lit(0), F.size(p["hits"]) - 1, F.lit(_BLOCK))
+        return F.when(F.size(p["hits"]) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(empty)
+
+    parts = [hits.alias("hits"), gaps.alias("gaps")] + ([] if good is None else [good.alias("good")])
+    return _bound(F.struct(*parts), folded)
 
 
 def _class_of(char: Column) -> Column:
@@ -75,13 +85,16 @@ def transition_counts(samples: DataFrame) -> DataFrame:
 def train(samples: DataFrame) -> np.ndarray:
     """Log-likelihood ratio, random to ordinary, of every pair of character classes.
 
-    ``samples`` has ``value`` and ``label`` (1 random, 0 ordinary); other labels are left out.  Counts are
-    smoothed by one, so without samples all ratios are zero and nothing is reported.
+    ``samples`` has ``value`` and ``label`` (1 random, 0 ordinary); other labels are left out.  A character's
+    followers are smoothed by ``SMOOTHING`` times the share of each in all strings of the label, so that what
+    ordinary strings never hold counts against them.  Without samples all ratios are zero and nothing is reported.
     """
-    counts = np.ones((2, CLASSES, CLASSES))
+    counts = np.zeros((2, CLASSES, CLASSES))
     for label, pair, n in transition_counts(samples.where("label IN (0, 1)")).collect():
         counts[label].flat[pair] += n
-    share = np.log(counts / counts.sum(axis=2, keepdims=True))
+    alone = counts.sum(axis=1, keepdims=True) + 0.5
+    alone /= alone.sum(axis=2, keepdims=True)
+    share = np.log((counts + SMOOTHING * alone) / (counts.sum(axis=2, keepdims=True) + SMOOTHING))
     return (share[1] - share[0]).ravel()
 
 
@@ -105,10 +118,12 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame
 def _ratio(value: Column, ratios: np.ndarray) -> Column:
     """Mean log-likelihood ratio of a string's transitions."""
     table = F.lit(ratios)
-    pairs = lambda c: F.aggregate(
-        F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, F.get(c, i - 1) * CLASSES + F.get(c, i))
-    )
-    return pairs(_classes(value)) / (F.length(value) - 1)
+
+    def summed(c: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(c) - 1)
+        return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + F.get(table, F.get(c, i - 1) * CLASSES + F.get(c, i)))
+
+    return _bound(_classes(value), summed) / (F.length(value) - 1)
 
 
 def find_secrets(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", out: str = "secrets", threshold: float = THRESHOLD) -> DataFrame:
@@ -130,8 +145,12 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", ou
     rows = rows.withColumn(base, F.sort_array(fixed))
     random = F.transform(F.col(h3), lambda x: _ratio(x, ratios) > threshold)
     rows = rows.withColumn(extra, F.when(F.size(h3) > 0, spans(F.col(h3), F.col(g3), 3, random)).otherwise(F.array().cast(_SPANS)))
-    apart = F.filter(extra, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.withColumn(out, F.sort_array(F.concat(base, apart))).drop(*names)
+    touches = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    whole = _bound(
+        F.struct(F.col(base).alias("base"), F.col(extra).alias("extra")),
+        lambda p: F.concat(p["base"], F.filter(p["extra"], lambda s: ~F.exists(p["base"], lambda b: touches(s, b)))),
+    )
+    return rows.withColumn(out, F.sort_array(whole)).drop(*names)
 
 
 def joined(found: Column) -> Column:
