@@ -1,79 +1,114 @@
-"""Token ids of whole texts, with a bounded cache of the pieces between spaces.
+"""Token ids of whole texts, with a bounded cache of the pieces between safe cuts.
 
-Byte-pair encoding works within pre-tokens, and neither tokenizer lets a pre-token reach over a cut
-made here, so the ids of a text are those of its pieces one after the other.  Words repeat, so most
-pieces come from the cache; the others go to the tokenizer once per batch.
+Byte-pair encoding works within pre-tokens, and no pre-token of the two tokenizers reaches over a cut made
+here, so the ids of a text are those of its pieces one after the other.  Words repeat, so most pieces
+come from the cache; new words go to the tokenizer's model directly, all other new pieces through the whole
+tokenizer.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
 import pyarrow as pa
 
-#: Pieces held per worker; a full cache starts anew, so memory is bounded and results don't change.
-CACHE = 400_000
+#: Pieces held per worker, in two generations: when the younger one is full it becomes the older one, which
+#: goes.  Memory is bounded, frequent pieces stay, and results don't change.
+CACHE = 600_000
 #: A piece longer than this isn't held.
 HELD = 64
-#: Where a space may not be cut off: beside other white space, at an end, or next to a rare space-like sign.
-_UNSAFE = re.compile("\\s | \\s|^ | $|[\u0085᠎​-‍⁠﻿]")
+#: White space, and signs that only some count as white space or that break a cut.
+_ODD = re.compile("[\\s\u0085\u180e\u200b-\u200d\u2060\ufeff]")
+#: A word of letters, perhaps with a run of signs after it: two pre-tokens.
+_WORD = re.compile(r"( ?)([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
+#: Anything but letters whose lower case is one letter in any context and that never compose.
+_NOT_LATIN = re.compile("[^\u0000-\u012f\u0131-\u024f]")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The printable sign that byte-level models use for every byte: itself, or the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+class Pieces(dict):
+    """Ids of pieces; those not known yet are encoded.  A piece that can't stand alone has ``None``."""
+
+    def __init__(self, tokenizer, spaced: bool, limit: int):
+        super().__init__()
+        self.tokenizer, self.model, self.spaced, self.limit = tokenizer, tokenizer.model, spaced, limit
+        self.older: dict[str, bytes | None] = {}
+        self.signs = _byte_signs()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.older[piece] if piece in self.older else self._encoded(piece)
+        if len(piece) <= HELD:
+            if len(self) >= self.limit // 2:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def _encoded(self, piece: str) -> bytes | None:
+        if self.spaced and piece != "\n":
+            word = piece[1:] if piece[:1] == " " else piece
+            if not word or _ODD.search(word):
+                return None
+        m = _WORD.fullmatch(piece)
+        if m and not _NOT_LATIN.search(piece):
+            space, word, run = m.groups()
+            if run:
+                return self[space + word] + self[run]
+            return _bytes(t.id for t in self.model.tokenize(self._as_signs(piece if self.spaced else word.lower())))
+        return _bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _as_signs(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.signs)
+
+
+def _bytes(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.  ``spaced``: a piece takes the space before it."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    ``spaced``: a pre-token takes the space before it; otherwise white space is dropped and case ignored.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = cache
-        self.cache: dict[str, bytes] = {}
         kind = str(self.tokenizer.pre_tokenizer)
         self.spaced = kind.startswith("ByteLevel") and "add_prefix_space=False" in kind
+        self.known = Pieces(self.tokenizer, self.spaced, cache)
 
     def pieces(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.split(" ")
-        if _UNSAFE.search(text):
-            return self._safe(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    @staticmethod
-    def _safe(text: str) -> list[str]:
-        """Cuts only before a space between two visible characters, the text whole if it has odd signs."""
-        if re.search("[\u0085᠎​-‍⁠﻿]", text):
-            return [text]
-        return re.split(r"(?<=\S)(?= \S)", text)
+        """Cuts before spaces and around line breaks."""
+        if self.spaced:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return text.replace("\n", " ").split(" ")
+
+    def encode(self, text: str) -> bytes:
+        if self.spaced and "\0" in text:
+            return self._whole(text)
+        try:
+            return b"".join(map(self.known.__getitem__, self.pieces(text)))
+        except TypeError:  # a piece that can't stand alone: more than one space, or odd signs
+            return self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
+        """Cuts only before spaces between visible characters, with odd signs about not even there."""
+        parts = [text] if "\0" in text or re.search("[\u0085\u180e\u200b-\u200d\u2060\ufeff]", text) else re.split(r"(?<=\S)(?= \S)", text)
+        return b"".join(_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(self.pieces(text))
-            size += len(text)
-            if size > 4_000_000:
-                out += self._joined(held)
-                held, size = [], 0
-        return out + self._joined(held)
-
-    def _joined(self, texts: list[list[str]]) -> list[bytes]:
-        cache = self.cache
-        missing = list({p for pieces in texts for p in pieces if p not in cache})
-        if len(cache) + len(missing) > self.limit:
-            cache.clear()
-            missing = list({p for pieces in texts for p in pieces})
-        for i in range(0, len(missing), 10_000):
-            some = missing[i : i + 10_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[piece] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([cache[p] for p in pieces]) for pieces in texts]
-        for piece in missing:
-            if len(piece) > HELD:
-                del cache[piece]
-        return out
+        return [self.encode(text) for text in texts]
 
 
 _encoders: dict[str, Encoder] = {}
