@@ -70,21 +70,22 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
 
 
 def segment_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(anchor, digest, uid, start, end) of all segments of ``docs`` (uid, text binary)."""
+    """(anchor, digest, uid, start, end) of all segments of ``docs`` (uid, a pair of longs, and text binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts: list[list] = [[], [], [], [], []]
-            for uid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            parts: list[list] = [[], [], [], [], [], []]
+            for doc, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 text = text.as_py()
                 for anchors, starts, ends in segments(text, length, gram):
                     digests = [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    for column, x in zip(parts, (anchors, np.array(digests, np.uint64).view(np.int64), np.full(len(starts), uid), starts, ends), strict=True):
+                    for column, x in zip(parts, (anchors, np.array(digests, np.uint64).view(np.int64), np.full(len(starts), doc), np.full(len(starts), mark), starts, ends), strict=True):
                         column.append(x)
             empty = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(empty + x)) for x in parts], names=["anchor", "digest", "uid", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(empty + x)) for x in parts], names=["anchor", "digest", "doc", "mark", "start", "end"])
 
-    return docs.select("uid", "text").mapInArrow(run, "anchor long, digest long, uid long, start long, end long")
+    rows = docs.select("uid.doc", "uid.mark", "text").mapInArrow(run, "anchor long, digest long, doc long, mark long, start long, end long")
+    return rows.select("anchor", "digest", F.struct("doc", "mark").alias("uid"), "start", "end")
 
 
 def suffix_array(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +216,7 @@ def _ranges_of_windows(parts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
-    """(uid, spans) of ``docs`` (uid, text binary): ranges of bytes, not merged, that lie in repeated windows."""
+    """(uid, spans) of ``docs`` (uid, a pair of longs, and text binary): ranges of bytes, not merged, that lie in repeated windows."""
     rows = segment_rows(docs, length, gram)
     anchors = rows.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("differ")).where("n > 1").drop("n")
     members = stored(rows.join(anchors, "anchor"))
@@ -249,10 +250,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, spans, kept.
 
     ``spans`` are the maximal runs of removed bytes (start, end), ``kept`` the bytes left.  Texts are UTF-8, null
-    counts as empty; matches never cross documents, but a document may repeat itself.  ``docs`` must be a table read from
-    files: rows are numbered in reading order, which has to be the same each time.
+    counts as empty; matches never cross documents, but a document may repeat itself.  Rows are told apart by id and a hash
+    of the text, the same on each read; rows alike in both are copies of each other and treated alike.
     """
-    numbered = documents_of(docs).select("doc_id", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("binary").alias("text"))
+    rows = documents_of(docs)
+    uid = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("mark"))
+    numbered = rows.select("doc_id", uid.alias("uid"), F.col("text").cast("binary").alias("text"))
     found = repeated_bytes(numbered.select("uid", "text"), length, gram, large)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
