@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.columns import any_of, row_hash
 from slotwise.session import stored
 
-RANK_BUCKETS = 4096
+ROWS_PER_BUCKET = 100_000
 SKETCH_GROUPS = 64
 
 
@@ -230,20 +230,27 @@ def quantile(df: DataFrame, col: str, prob: float) -> DataFrame:
     return exact_quantiles(df, [col], [prob]).select(F.col("q0").alias("value"))
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Hash buckets for the rows of ``df``, so many that each fits a task whatever the table's size."""
+    return max(1, math.ceil(df.count() / ROWS_PER_BUCKET))
+
+
 def shuffled_rank(
     df: DataFrame,
     keys: Sequence[str],
     seed: int,
     by: Sequence[str] = (),
     rank: str = "rank",
-    buckets: int = RANK_BUCKETS,
+    buckets: int | None = None,
     fn: str = "xxhash64",
 ) -> DataFrame:
     """Number rows 0, 1, 2 ... in a reproducible random order.
 
     ``keys`` must identify a row (within ``by``).  Rows fall evenly into hash buckets, each
-    ranked on its own and placed after the buckets before it.
+    ranked on its own and placed after the buckets before it.  Without ``buckets`` their number follows
+    from a count of the rows.
     """
+    buckets = buckets or bucket_count(df)
     hashed = df.withColumn("_hash", row_hash([*by, *keys] if fn != "arithmetic" else keys, seed, fn))
     hashed = hashed.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

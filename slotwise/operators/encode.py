@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from slotwise.functions.columns import hash_bucket, named, row_hash
-from slotwise.functions.ranking import RANK_BUCKETS
+from slotwise.functions.ranking import bucket_count
 from slotwise.operators.cleaning import recode
 from slotwise.operators.events import enrich
 
@@ -115,15 +115,17 @@ def undersample(
     n: int,
     keys: Sequence[str],
     seed: int = 42,
-    buckets: int = RANK_BUCKETS,
+    buckets: int | None = None,
     fn: str = "xxhash64",
 ) -> DataFrame:
     """All positive rows and exactly ``n`` negative ones (all of them when there are fewer).
 
     Negatives are taken in order of the hash of ``keys``, which must identify a row.  The counts
     of the hash buckets show which buckets are taken whole; only the one that is taken in part
-    is ranked.  No sort and no limit over all negatives.
+    is ranked.  No sort and no limit over all negatives.  Without ``buckets`` their number follows from a
+    count of the rows, so that one bucket fits a task.
     """
+    buckets = buckets or bucket_count(df)
     positives = df.filter(F.col(label) > 0)
     negatives = df.filter(F.col(label) == 0).withColumn("_hash", row_hash(keys, seed, fn))
     width = buckets if fn != "arithmetic" else SPLIT_BUCKETS
@@ -135,8 +137,7 @@ def undersample(
         .withColumn("_left", F.lit(n) - F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter(F.col("_left") > 0)
     )
-    # At most `buckets` rows, whatever the size of the input.
-    reached = negatives.join(F.broadcast(counts), "_bucket")
+    reached = negatives.join(counts, "_bucket")
     whole = reached.filter(F.col("_n") <= F.col("_left")).select(*map(named, df.columns))
     inside = W.partitionBy("_bucket").orderBy("_hash", *keys)
     part = (
