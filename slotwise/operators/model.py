@@ -79,12 +79,21 @@ def score(model: Model, df: DataFrame, out: str = "p") -> DataFrame:
     return model.transform(df).select(*map(named, kept), probability.alias(out))
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted model to a folder that all executors reach, in place of an earlier one."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def select_by_auc(
-    models: Mapping[str, Model], val: DataFrame, label: str
+    models: Mapping[str, Model], val: DataFrame, label: str, path: str | None = None
 ) -> tuple[str, dict[str, float | None]]:
     """The name of the model with the largest validation ROC area, and all areas.
 
-    All models are scored and evaluated in one job.
+    All models are scored and evaluated in one job.  With ``path`` the winner is saved there.
     """
     scored = None
     for name, model in models.items():
@@ -93,4 +102,6 @@ def select_by_auc(
     rows = roc_auc(scored, label, "p", by=["model"]).collect()
     areas = {row["model"]: row["roc_auc"] for row in rows}
     best = max(models, key=lambda name: areas.get(name) or 0.0)
+    if path:
+        save_model(models[best], path)
     return best, areas

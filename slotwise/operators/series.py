@@ -73,7 +73,7 @@ def align_series(
         out = out.select("*", F.explode_outer(f"_rows_{i}").alias(f"_row_{i}"))
     columns = [F.col(c) for names in own[: len(frames)] for c in names]
     rows = [F.col(f"_row_{i}")[c].alias(c) for i in several for c in own[i]]
-    return out.select(*keys, *columns, *fused, *rows)
+    return out.select(*keys, *columns, *rows, *fused)
 
 
 def attach_static(series: DataFrame, static: DataFrame, key: str) -> DataFrame:

@@ -129,15 +129,17 @@ def separable(spark):
     return spark.createDataFrame(rows, "id bigint, slot timestamp_ntz, a double, b double, y int")
 
 
-def test_classifiers_rank_a_separable_set(spark):
+def test_classifiers_rank_a_separable_set(spark, tmp_path):
     df = n.split_by_id(separable(spark), "id", {"train": 0.7, "val": 0.3})
     train, val = n.get_split(df, "train").cache(), n.get_split(df, "val").cache()
     models = {
         "good": m.fit_step_classifier(train, ["a", "b"], "y", hidden=4, max_iter=30),
         "blind": m.fit_step_classifier(train, ["b"], "y", hidden=None, max_iter=10),
     }
-    best, areas = m.select_by_auc(models, val, "y")
+    best, areas = m.select_by_auc(models, val, "y", str(tmp_path / "best"))
     assert best == "good" and areas["good"] > 0.9
+    again = m.score(m.load_model(str(tmp_path / "best")), val).orderBy("id", "slot").collect()
+    assert again == m.score(models["good"], val).orderBy("id", "slot").collect()
     wide = m.neighbour_features(val, "id", "slot", ["a", "b"])
     near = m.fit_neighbour_classifier(train, "id", "slot", ["a", "b"], "y", max_iter=20)
     assert roc_auc(m.score(near, wide), "y", "p").first().roc_auc > 0.9

@@ -11,7 +11,9 @@ NAMES = [
     "renal_intervals", "fuse_measure", "align_series", "iqr_fences", "mask_outliers",
     "collapse_duplicates", "resample_6h", "flag_intervals", "attach_flags_static", "shift_label",
     "pad_sequences", "supervised_set", "los_filter", "info_integrity", "undersample", "roc_auc",
-    "evaluate", "roc_auc_by_group", "permutation_importance", "exact_quantiles",
+    "evaluate", "roc_auc_by_group", "permutation_importance", "exact_quantiles", "build_series",
+    "build_series_repeated", "flag_intervals_open", "events_in_window_unmatched",
+    "pivot_labs_unmatched",
 ]
 
 
