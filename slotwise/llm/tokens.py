@@ -42,6 +42,7 @@ class Pieces(dict):
         self.tokenizer, self.model, self.spaced, self.limit = tokenizer, tokenizer.model, spaced, limit
         self.older: dict[str, bytes | None] = {}
         self.signs = _byte_signs()
+        self.space = chr(self.signs[ord(" ")])
 
     def __missing__(self, piece: str) -> bytes | None:
         ids = self.older[piece] if piece in self.older else self._encoded(piece)
@@ -62,14 +63,16 @@ class Pieces(dict):
             space, word, run = m.groups()
             if run:
                 return self[space + word] + self[run]
-            return _bytes(t.id for t in self.model.tokenize(self._as_signs(piece if self.spaced else word.lower())))
+            return _bytes([t.id for t in self.model.tokenize(self._as_signs(piece if self.spaced else word.lower()))])
         return _bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def _as_signs(self, piece: str) -> str:
+        if piece.isascii():
+            return piece.replace(" ", self.space)
         return piece.encode().decode("latin-1").translate(self.signs)
 
 
-def _bytes(ids: Iterable[int]) -> bytes:
+def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
@@ -84,6 +87,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # pieces are held here; a second cache of rare words only costs
         kind = str(self.tokenizer.pre_tokenizer)
         self.spaced = kind.startswith("ByteLevel") and "add_prefix_space=False" in kind
         self.known = Pieces(self.tokenizer, self.spaced, cache)
