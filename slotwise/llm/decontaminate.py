@@ -1,6 +1,6 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed reads a stretch of ``SPAN`` tokens through a mask that ignores some positions, so a substituted
+A seed reads a short stretch of tokens through a mask that ignores some positions, so a substituted
 word spoils only the seeds that look at it.  Seeds of the benchmark's items are hashed once; a bitmap of
 them, whose size is a parameter, drops nearly all seeds of the documents as they are read, and the rest
 are joined with the items' seeds.  Each hit fixes an alignment of document and item; around the hits
@@ -10,7 +10,6 @@ whole tokens are compared, and stretches with enough agreeing tokens are reporte
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +29,35 @@ LEAST_TOKENS, SHARE = 12, 0.8
 #: Tokens of a document kept on either side of its seeds for the comparison.
 CONTEXT = 64
 BITS = 1 << 24
-_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Signs that tokens are compared without; what consists of them alone is no token.
+SIGNS = b".,;:!?\"'()[]|*"
+#: Odd 64-bit numbers, one per token that a seed reads and one for the mask.
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 7, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Tokens of documents whose seeds are made together.
+TOGETHER = 1 << 17
 
 
 def token_hashes(text: bytes) -> np.ndarray:
-    """XXH64 of every token: words between ASCII white space, A-Z as lower case, outer punctuation removed."""
-    words = text.lower().split()
-    return np.fromiter(map(_hashed, words), np.uint64, len(words))
+    """64-bit hash of every token: words between ASCII white space, A-Z as lower case, without the signs ``SIGNS``."""
+    words = text.lower().translate(None, SIGNS).split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-@lru_cache(1 << 17)
-def _hashed(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word.strip(b".,;:!?\"'()[]|*") or word, 7)
+def seeds(tokens: np.ndarray, whole: tuple[int, ...] = ()) -> list[tuple[int, np.ndarray]]:
+    """For every mask its span and the seed hashes at all positions, then those of plain stretches of the lengths ``whole``.
 
-
-def seeds(tokens: np.ndarray, whole: tuple[int, ...] = ()) -> list[np.ndarray]:
-    """For every mask the seed hashes at all its positions, then those of the plain stretches of the lengths ``whole``."""
+    A seed is the sum of the read tokens' hashes, each times a number of its place among them, and of one for the mask.
+    """
     n, out = len(tokens), []
     with np.errstate(over="ignore"):
+        scaled = [tokens * _FACTORS[k] for k in range(len(MASKS[0]))]
         for salt, mask in [*enumerate(MASKS), *((100 + length, "1" * length) for length in whole)]:
             if n >= len(mask):
-                out.append(_folded([tokens[i : n - len(mask) + 1 + i] for i, x in enumerate(mask) if x == "1"], salt))
+                read = [i for i, x in enumerate(mask) if x == "1"]
+                seed = np.full(n - len(mask) + 1, np.uint64(salt + 1) * _FACTORS[-1], np.uint64)
+                for k, i in enumerate(read):
+                    seed += scaled[k][i : n - len(mask) + 1 + i]
+                out.append((len(mask), seed ^ (seed >> np.uint64(31))))
     return out
 
 
@@ -59,14 +66,6 @@ def _whole(n: int) -> tuple[int, ...]:
     return (n,) if n < len(MASKS[0]) else ()
 
 
-def _folded(columns: list[np.ndarray], salt: int) -> np.ndarray:
-    out = np.full(len(columns[0]), salt, np.uint64)
-    for c in columns:
-        out = (out ^ c) * np.uint64(_MULTIPLIER)
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def benchmark_tokens(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, tokens) with the hashes of every token; items of fewer than ``SHORTEST`` are left out."""
 
@@ -87,7 +86,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for item, tokens in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own = np.asarray(tokens.values.to_numpy(), np.int64).view(np.uint64)
-                for s in seeds(own, _whole(len(own))):
+                for _, s in seeds(own, _whole(len(own))):
                     out += [(item, int(h), at) for at, h in enumerate(s.view(np.int64))]
             item, seed, at = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(seed, pa.int64()), pa.array(at, pa.int32())], names=["item", "seed", "item_at"])
@@ -96,8 +95,9 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
 
 def _places(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a seed."""
-    return np.mod(seed, np.uint64(bits)), np.mod(seed >> np.uint64(32), np.uint64(bits))
+    """The two bits of a seed; ``bits`` is a power of two."""
+    low = np.uint64(bits - 1)
+    return seed & low, (seed >> np.uint64(32)) & low
 
 
 def seed_bitmap(item_seed: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -118,11 +118,13 @@ def seed_bitmap(item_seed: DataFrame, bits: int = BITS) -> np.ndarray:
 
 def _known(seed: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     """Positions of the seeds that the filter holds."""
-    at = np.arange(len(seed))
-    for i in (0, 1):
-        place = _places(seed[at], 64 * len(bitmap))[i]
-        at = at[(bitmap[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
-    return at
+    one, two = _places(seed, 64 * len(bitmap))
+    at = np.flatnonzero(_set(one, bitmap))
+    return at[_set(two[at], bitmap)]
+
+
+def _set(place: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    return (bitmap[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
 def document_regions(docs: DataFrame, bitmap: np.ndarray, whole: tuple[int, ...] = (), context: int = CONTEXT) -> DataFrame:
@@ -133,30 +135,48 @@ def document_regions(docs: DataFrame, bitmap: np.ndarray, whole: tuple[int, ...]
     """
     none = np.zeros(0, np.uint64)
 
-    def stretches(tokens: np.ndarray) -> Iterator[tuple]:
-        ats, found = [none.astype(np.int64)], [none]
-        for s in seeds(tokens, whole):
-            hit = _known(s, bitmap)
+    def found(tokens: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every document, which ends at ``ends``, the places and seeds that the filter holds."""
+        ats, own = [none.astype(np.int64)], [none]
+        for span, seed in seeds(tokens, whole):
+            hit = _known(seed, bitmap)
+            hit = hit[hit + span <= ends[np.searchsorted(ends, hit, side="right")]]  # not over the end of a document
             ats.append(hit)
-            found.append(s[hit])
-        at = np.concatenate(ats)
+            own.append(seed[hit])
+        at, seed = np.concatenate(ats), np.concatenate(own)
+        order = np.argsort(at, kind="stable")
+        at, seed = at[order], seed[order]
+        cuts = np.searchsorted(at, ends[:-1])
+        return list(zip(np.split(at, cuts), np.split(seed, cuts), strict=True))
+
+    def stretches(tokens: np.ndarray, at: np.ndarray, seed: np.ndarray) -> Iterator[tuple]:
         if not len(at):
             yield 0, none, at, none
             return
-        order = np.argsort(at, kind="stable")
-        at, seed = at[order], np.concatenate(found)[order]
         cuts = np.flatnonzero(np.diff(at) > 2 * context) + 1
         for a, s in zip(np.split(at, cuts), np.split(seed, cuts), strict=True):
             first = max(0, int(a[0]) - context)
             yield first, tokens[first : int(a[-1]) + 8 + context], a - first, s
 
+    def together(b: pa.RecordBatch) -> Iterator[list[tuple]]:
+        held, size = [], 0
+        for doc_id, uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            held.append((doc_id, uid, token_hashes(text.as_py())))
+            size += len(held[-1][2])
+            if size >= TOGETHER:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for docs_of in (x for b in batches for x in together(b)):
+            ends = np.cumsum([len(x[2]) for x in docs_of])
             rows: list[tuple] = []
-            for doc_id, uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                for region, (first, tokens, a, s) in enumerate(stretches(token_hashes(text.as_py()))):
-                    rows.append((doc_id, uid, region, first, tokens.view(np.int64), a.astype(np.int32), s.view(np.int64)))
-            doc_id, uid, region, first, *lists = zip(*rows, strict=True) if rows else [()] * 7
+            for (doc_id, uid, tokens), end, (at, seed) in zip(docs_of, ends, found(np.concatenate([x[2] for x in docs_of]), ends), strict=True):
+                for region, (first, own, a, s) in enumerate(stretches(tokens, at - (end - len(tokens)), seed)):
+                    rows.append((doc_id, uid, region, first, own.view(np.int64), a.astype(np.int32), s.view(np.int64)))
+            doc_id, uid, region, first, *lists = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_id, pa.int64()), pa.array(uid, pa.int64()), pa.array(region, pa.int32()), pa.array(first, pa.int32())]
                 + [list_column(np.concatenate([np.zeros(0, t), *x]), map(len, x)) for x, t in zip(lists, (np.int64, np.int32, np.int64), strict=True)],
