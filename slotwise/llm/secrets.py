@@ -98,6 +98,22 @@ def train(samples: DataFrame) -> np.ndarray:
     return (share[1] - share[0]).ravel()
 
 
+def _sampled(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct rows of (doc_id, text): those with the smallest hashes.
+
+    Only ids and hashes are sorted, and only those below four times the hash that is expected to be the
+    last one taken; the texts are then picked by a join with at most ``most`` keys.
+    """
+    mark, span = F.xxhash64("doc_id", "text"), 1 << 30
+    keys = rows.select(F.pmod(mark, F.lit(span)).alias("place"), mark.alias("mark"))
+    count = rows.count()
+    if count > 4 * most:
+        keys = keys.where(F.col("place") < span * 4 * most // count + 1)
+    taken = keys.distinct().orderBy("place", "mark").limit(most).select("mark")
+    found = rows.withColumn("mark", mark).join(F.broadcast(taken), "mark")
+    return found.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text")
+
+
 def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Labelled strings (value, label) from a bounded sample of ``docs`` (doc_id, text).
 
@@ -105,7 +121,7 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame
     and joints label ordinary strings (0), without the matches of the fixed patterns.  These matches' values,
     and strings made from digests of the words in three alphabets, label random ones (1).
     """
-    some = docs.select("doc_id", text_of("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
+    some = _sampled(docs.select("doc_id", text_of("text").alias("text")), most)
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = some.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9_/-]{4,}"), F.lit(0))).alias("value"))
     known = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 1), (ACCESS, 0), (HEX, 0))])
