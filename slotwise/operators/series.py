@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.functions.columns import named, slot_after, slot_of, slots_between
+from slotwise.session import stored
 
 #: Slots that one row is exploded to at a time; longer gaps take two levels.
 GAP_BLOCK = 1000
@@ -32,7 +33,7 @@ def align_series(
     fused: Mapping[str, Sequence[str]] | None = None,
     repeated: Sequence[DataFrame] = (),
 ) -> DataFrame:
-    """Full outer merge of several series on the same keys, in one shuffle.
+    """Full outer merge of several series on the same keys.
 
     The series share no column names but the keys.  They are stacked and grouped once, rather than
     merged one after the other, so each of them is computed once.  ``frames`` must be unique per
@@ -42,6 +43,10 @@ def align_series(
     ``fused`` maps a new column to the columns it is fused from: each distinct value of them
     gives a row, as if they had been united by ``fuse_measure`` and merged.  Rows with a null key
     are left out.
+
+    Only one row per key is grouped.  Repeated rows and fused values stay rows and are joined to it
+    one series after the other, each result stored, so run-time skew handling can split a key with
+    very many of them.  Without either, the merge is one shuffle and nothing is stored.
     """
     fused = dict(fused or {})
     sources = {c for names in fused.values() for c in names}
@@ -52,28 +57,34 @@ def align_series(
     ]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
     several = range(len(frames), len(own))
+    if fused or repeated:
+        merged = stored(merged)
     out = merged.groupBy(*keys).agg(
         *[F.max(c).alias(c) for names in own[: len(frames)] for c in names],
         *[
-            F.array_distinct(F.concat(*[F.collect_set(c) for c in names])).alias(f"_all_{name}")
+            reduce(lambda a, b: a + b, [F.count(c) for c in names]).alias(f"_n_{name}")
             for name, names in fused.items()
         ],
-        *[
-            F.collect_list(F.when(F.col("_series") == i, F.struct(*own[i]))).alias(f"_rows_{i}")
-            for i in several
-        ],
-        *[F.count_if(F.col("_series") == i).alias(f"_n_{i}") for i in range(len(frames))],
+        *[F.count_if(F.col("_series") == i).alias(f"_n_{i}") for i in range(len(own))],
     )
     once = reduce(lambda a, b: a & b, [F.col(f"_n_{i}") < 2 for i in range(len(frames))], F.lit(True))
     failure = F.raise_error(F.lit("a series repeats a key: name it in `repeated`")).cast("boolean")
     out = out.filter(F.when(once, F.lit(True)).otherwise(failure))
-    for name in fused:
-        out = out.select("*", F.explode_outer(f"_all_{name}").alias(name)).drop(f"_all_{name}")
-    for i in several:
-        out = out.select("*", F.explode_outer(f"_rows_{i}").alias(f"_row_{i}"))
-    columns = [F.col(c) for names in own[: len(frames)] for c in names]
-    rows = [F.col(f"_row_{i}")[c].alias(c) for i in several for c in own[i]]
-    return out.select(*keys, *columns, *rows, *fused)
+    columns = [c for names in own for c in names]
+    many = [
+        (f"_n_{name}", fuse_measure([(merged, c) for c in names], keys, name))
+        for name, names in fused.items()
+    ]
+    many += [
+        (f"_n_{i}", merged.filter(F.col("_series") == i).select(*keys, *own[i])) for i in several
+    ]
+    if many:
+        single = out = stored(out)
+    for count, rows in many:
+        # keys the series lacks get a row of nulls, so an inner join, which can split either side, keeps all
+        missing = single.filter(F.col(count) == 0).select(*keys)
+        out = stored(out.join(rows.unionByName(missing, allowMissingColumns=True), list(keys)))
+    return out.select(*keys, *columns, *fused)
 
 
 def attach_static(series: DataFrame, static: DataFrame, key: str) -> DataFrame:

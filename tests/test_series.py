@@ -51,6 +51,20 @@ def test_aligned_series_equals_chained_outer_joins(spark):
     assert sorted(map(repr, chained.collect())) == sorted(map(repr, stacked.collect()))
 
 
+def test_rows_of_one_key_are_never_gathered(spark, monkeypatch):
+    for name in ("collect_list", "collect_set"):
+        monkeypatch.setattr(F, name, lambda *_: pytest.fail("rows of a key gathered in one value"))
+    keys = ["id", "time"]
+    a = spark.createDataFrame([(1, at(), 1.0)], "id bigint, time timestamp_ntz, a double")
+    hot = spark.range(2000).selectExpr(
+        "id % 2 AS id", "timestamp_ntz'2024-01-01' AS time", "id * 1.0D AS m", "id % 5 * 1.0D AS x"
+    )
+    out = s.align_series([a], keys, {"f": ["x"]}, [hot])
+    # each key has its repeated rows times its distinct fused values
+    assert out.count() == 2 * 1000 * 5
+    assert set(map(tuple, out.select("id", "a").distinct().collect())) == {(0, None), (1, 1.0)}
+
+
 def test_build_series_drops_empty_rows_and_fuses(spark):
     key = "subject_id bigint, hadm_id bigint, stay_id bigint, charttime timestamp_ntz"
     vitals = spark.createDataFrame(
