@@ -312,22 +312,19 @@ def select_by_auc(spark, sf):
     return scored.select(F.lit(best).alias("model"), "id", "slot", "stage", "p")
 
 
-@query("cohort_to_supervised")
-def cohort_to_supervised(spark, sf):
-    """The whole way: cohort, measurements, grid, treatment flags, static attributes, labels.
-
-    One row per split with its size and the number of features.
-    """
+def flagged_stays(spark, sf):
+    """The cohort's grid with the flags of all five treatments and static attributes."""
     detail = src.stay_detail(spark, sf)
     cohort = staged_cohort(spark, sf)
     stages = stage_series(cohort, src.stages(spark, sf))
     series = stored(
         f.build_series(vital_pivot(spark, sf, cohort), lab_pivot(spark, sf, cohort=cohort), stages)
     )
-    grid, kept = f.clean_resample(series, min_coverage=0.3, min_integrity=0.2)
+    grid, _ = f.clean_resample(series, min_coverage=0.3, min_integrity=0.2)
     treatments = {
         "ventilation": src.intervals(spark, sf, "error").withColumnRenamed("id", "stay_id"),
         "sedative": f.order_intervals(src.inputevents(spark, sf)),
+        "vasopressor": src.vasopressors(spark, sf),
         "rrt": f.renal_intervals(
             cohort,
             src.renal_chartevents(spark, sf),
@@ -335,10 +332,19 @@ def cohort_to_supervised(spark, sf):
             src.datetimeevents(spark, sf),
             src.procedureevents(spark, sf),
         ),
+        "crrt": src.continuous_renal(spark, sf),
     }
     static = f.encode_static(static_detail(detail, src.admissions(spark, sf), cohort))
-    wide = f.attach_flags_static(grid, treatments, static)
-    data = supervised_set(wide)
+    return f.attach_flags_static(grid, treatments, static)
+
+
+@query("cohort_to_supervised")
+def cohort_to_supervised(spark, sf):
+    """The whole way: cohort, measurements, grid, treatment flags, static attributes, labels.
+
+    One row per split with its size and the number of features.
+    """
+    data = supervised_set(flagged_stays(spark, sf))
     return data.rows.groupBy("split").agg(
         F.count("*").alias("n_rows"),
         F.count_distinct("stay_id").alias("n_ids"),

@@ -185,6 +185,16 @@ def intervals(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     )
 
 
+def vasopressors(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of vasopressors by stay."""
+    return intervals(spark, sf, "purchase").withColumnRenamed("id", "stay_id")
+
+
+def continuous_renal(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of continuous renal replacement (crrt) by stay."""
+    return intervals(spark, sf, "view").withColumnRenamed("id", "stay_id")
+
+
 def hourly_series(spark: SparkSession, sf: str) -> DataFrame:
     """Wide series with repeated (id, time) rows: one row per event, time cut to the hour."""
     kind, v = F.col("event_type"), F.col("value")

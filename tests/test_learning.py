@@ -1,5 +1,7 @@
 """Splits, samples, scaling, padding, classifiers."""
 
+from datetime import timedelta
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -143,3 +145,23 @@ def test_classifiers_rank_a_separable_set(spark, tmp_path):
     wide = m.neighbour_features(val, "id", "slot", ["a", "b"])
     near = m.fit_neighbour_classifier(train, "id", "slot", ["a", "b"], "y", max_iter=20)
     assert roc_auc(m.score(near, wide), "y", "p").first().roc_auc > 0.9
+
+
+def test_the_whole_way_flags_all_five_treatments(spark):
+    from slotwise.plans import inputs as src
+    from slotwise.plans.catalog.learning import flagged_stays
+
+    folder = "/root/testdata/sf0.001"
+    flagged = flagged_stays(spark, folder)
+    assert {"ventilation", "sedative", "vasopressor", "rrt", "crrt"} <= set(flagged.columns)
+    rows = flagged.select("stay_id", "charttime", "vasopressor", "crrt").collect()
+    for at_, table in ((2, src.vasopressors(spark, folder)), (3, src.continuous_renal(spark, folder))):
+        own = {}
+        for i, start, end in table.select("stay_id", "starttime", "endtime").collect():
+            own.setdefault(i, []).append((start, end))
+        for row in rows:
+            slot = row.charttime
+            last = slot + timedelta(hours=6) - timedelta(seconds=1)
+            want = any(a <= slot <= b or slot <= a <= last or slot <= b <= last for a, b in own.get(row.stay_id, []))
+            assert row[at_] == int(want)
+        assert 0 < sum(r[at_] for r in rows) < len(rows)
