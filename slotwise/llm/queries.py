@@ -185,3 +185,51 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slotwise.llm.exact_dups import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), size AS (
+        SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS n,
+            xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                lambda c: list_transform(range(0, 8), lambda i: ((ascii(c) >> i) & 1)::UBIGINT)))),
+                lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295::UBIGINT)::BIGINT % 4 AS h
+        FROM turns GROUP BY conv_id
+    ), plan AS (
+        SELECT s.conv_id, s.base, s.h, least(s.h, coalesce(b.n, 0)) AS taken FROM size s LEFT JOIN size b ON b.conv_id = s.base
+    ), rebuilt AS (
+        SELECT p.conv_id, t.pos, t.role, t.text FROM plan p JOIN turns t ON t.conv_id = p.base AND t.pos <= p.h
+        UNION ALL SELECT p.conv_id, t.pos - p.h + p.taken, t.role, t.text FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND t.pos > p.h
+    ), step AS (
+        SELECT conv_id, pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+            md5(string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS k
+        FROM rebuilt UNION ALL SELECT conv_id, 0, 0, '' FROM size
+    ), node AS (
+        SELECT k, any_value(pos) AS depth, min(conv_id) AS id, count(*) AS n, any_value(words) AS words FROM step GROUP BY k
+    ), child AS (
+        SELECT DISTINCT a.k AS up, b.k AS down FROM step a JOIN step b ON a.conv_id = b.conv_id AND b.pos = a.pos + 1
+    ), kids AS (
+        SELECT up AS k, count(*) AS n_children FROM child GROUP BY up
+    ), below AS (
+        SELECT DISTINCT a.k AS top, b.k AS k FROM step a JOIN step b ON a.conv_id = b.conv_id AND b.pos >= a.pos
+    ), sums AS (
+        SELECT top AS k, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n - 1) * words) AS saved
+        FROM below JOIN node USING (k) LEFT JOIN kids USING (k) GROUP BY top
+    ), ends AS (
+        SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha
+        FROM (SELECT conv_id, max_by(k, pos) AS k FROM step GROUP BY conv_id) GROUP BY k
+    )
+    SELECT node.id AS conv_id, node.depth::BIGINT AS depth, parent.id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+        n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+    FROM node JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k) LEFT JOIN child ON child.down = node.k LEFT JOIN node parent ON parent.k = child.up
+    """
+)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slotwise.llm.prefix_trie import share_heads, trie_nodes, turn_rows
+
+    return trie_nodes(share_heads(turn_rows(table(spark, sf_dir, "conversations"))))
