@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slotwise.session import shared_folder, stored
 
-__all__ = ["documents_of", "fold_of", "fresh", "list_column", "partitions_of", "path_for", "stored", "text_of", "with_uid"]
+__all__ = ["documents_of", "fold_of", "fresh", "list_column", "partitions_of", "path_for", "stored", "streamed_sha256", "text_of", "with_uid"]
 
 
 def text_of(col: str | Column = "text") -> Column:
@@ -66,3 +67,30 @@ def list_column(values: np.ndarray, lengths: Iterable[int]) -> pa.ListArray:
     """An Arrow list column from concatenated values."""
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def streamed_sha256(parts: DataFrame, key: str, order: str, part: str, name: str, between: str = ",") -> DataFrame:
+    """(key, name): SHA-256 (hex) of the texts ``part`` of a key in ``order``, joined by ``between``; they stream through a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+
+        def made(pairs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([d for _, d in pairs], pa.string())], names=[key, name])
+
+        for b in batches:
+            done = []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if state is None or k != now:
+                    if state is not None:
+                        done.append((now, state.hexdigest()))
+                    now, state = k, hashlib.sha256()
+                else:
+                    state.update(between.encode())
+                state.update(text.encode())
+            yield made(done)
+        if state is not None:
+            yield made([(now, state.hexdigest())])
+
+    rows = parts.repartition(partitions_of(parts.sparkSession), key).sortWithinPartitions(key, order)
+    return rows.select(F.col(key).cast("string").alias(key), part).mapInArrow(run, f"{key} string, {name} string")

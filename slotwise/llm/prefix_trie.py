@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import partitions_of, stored, text_of
+from slotwise.llm.common import stored, streamed_sha256, text_of
 
 #: Turns in a bucket of prefix shards, and the most that conversations of one shard have unless they are one.
 SHARD_TURNS = 4096
@@ -195,33 +195,6 @@ def in_shards(classes: DataFrame, shard_turns: int) -> DataFrame:
     return out
 
 
-def streamed_sha256(parts: DataFrame, key: str, order: str, part: str, name: str) -> DataFrame:
-    """(key, name): SHA-256 (hex) of the texts ``part`` of a key in ``order``, comma-joined; they stream through a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
-
-        def made(pairs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([d for _, d in pairs], pa.string())], names=[key, name])
-
-        for b in batches:
-            done = []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if state is None or k != now:
-                    if state is not None:
-                        done.append((now, state.hexdigest()))
-                    now, state = k, hashlib.sha256()
-                else:
-                    state.update(b",")
-                state.update(text.encode())
-            yield made(done)
-        if state is not None:
-            yield made([(now, state.hexdigest())])
-
-    rows = parts.repartition(partitions_of(parts.sparkSession), key).sortWithinPartitions(key, order)
-    return rows.select(F.col(key).cast("string").alias(key), part).mapInArrow(run, f"{key} string, {name} string")
-
-
 def member_digests(members: DataFrame) -> DataFrame:
     """(seq, ends_sha256) of (seq, conv_id): SHA-256 of the ids in decimal, ascending, comma-joined."""
     parts = members.groupBy("seq", F.shiftright("conv_id", PART_BITS).alias("part")).agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))

@@ -233,3 +233,66 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slotwise.llm.prefix_trie import share_heads, trie_nodes, turn_rows
 
     return trie_nodes(share_heads(turn_rows(table(spark, sf_dir, "conversations"))))
+
+
+@query(
+    r"""
+    WITH RECURSIVE keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+    ), kinds AS (
+        SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(k, ''),
+            lambda c: list_transform(range(0, 8), lambda i: ((ascii(c) >> i) & 1)::UBIGINT)))),
+            lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295::UBIGINT) % 20 AS kind
+        FROM keyed
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM kinds, range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+    ), placed AS (
+        SELECT coalesce(conv_id::VARCHAR, '') AS conv, *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM damaged
+    ), rows AS (
+        SELECT *, left(role, 1) AS initial, coalesce(lag(left(role, 1)) OVER w || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal,
+            CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+        FROM placed WINDOW w AS (PARTITION BY conv ORDER BY pos)
+    ), best AS (
+        SELECT DISTINCT conv, 0::BIGINT AS pos, {'c': 0::BIGINT, 'a': '', 'r': ''} AS s0, {'c': 1000000000::BIGINT, 'a': '', 'r': ''} AS s1,
+            {'c': 3::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'} AS s2, {'c': 6::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s3 FROM rows
+        UNION ALL
+        SELECT conv, pos + 1, t0, t1, u2, list_sort([t3, {'c': u2.c + 3, 'a': u2.a || 'I', 'r': u2.r || chr(10) || 'assistant:'}])[1]
+        FROM (
+            SELECT *, list_sort([t2] || list_transform([t0, t1, t3], lambda s: {'c': s.c + 3, 'a': s.a || 'I', 'r': s.r || chr(10) || 'user:'}))[1] AS u2
+            FROM (
+                SELECT b.conv, b.pos,
+                    {'c': s0.c + 4, 'a': s0.a || 'D', 'r': s0.r} AS t0,
+                    list_sort([{'c': s1.c + 4, 'a': s1.a || 'D', 'r': s1.r}, {'c': s0.c + CASE WHEN initial = 's' THEN more ELSE 1000000000 END, 'a': s0.a || 'K', 'r': s0.r || line}])[1] AS t1,
+                    list_sort([{'c': s2.c + 4, 'a': s2.a || 'D', 'r': s2.r}] || list_transform([s0, s1, s3], lambda s:
+                        {'c': s.c + more + CASE WHEN initial = 'u' THEN 0 ELSE 3 END, 'a': s.a || CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END,
+                         'r': s.r || CASE WHEN initial = 'u' THEN line ELSE chr(10) || 'user:' || text END}))[1] AS t2,
+                    list_sort([{'c': s3.c + 4, 'a': s3.a || 'D', 'r': s3.r},
+                        {'c': s2.c + more + CASE WHEN initial = 'a' THEN 0 ELSE 3 END, 'a': s2.a || CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END,
+                         'r': s2.r || CASE WHEN initial = 'a' THEN line ELSE chr(10) || 'assistant:' || text END}])[1] AS t3
+                FROM best b JOIN (
+                    SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 3 ELSE 1000000000 END AS more, chr(10) || role || ':' || text AS line FROM rows
+                ) r ON r.conv = b.conv AND r.pos = b.pos
+            )
+        )
+    ), whole AS (
+        SELECT conv, list_sort([arg_max(s0, pos), arg_max(s3, pos)])[1] AS s FROM best GROUP BY conv
+    ), counts AS (
+        SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+            count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+        FROM rows GROUP BY conv
+    )
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(s.c, 0)::BIGINT AS cost,
+        coalesce(s.a, '') AS audit, sha256(coalesce(substr(s.r, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS conv FROM conversations) LEFT JOIN counts USING (conv) LEFT JOIN whole USING (conv)
+    """
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slotwise.llm.repair import damage, repair
+
+    turns = table(spark, sf_dir, "conversations")
+    return repair(damage(turns), turns)

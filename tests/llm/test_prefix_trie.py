@@ -7,7 +7,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.llm.prefix_trie import in_shards, pack, sequences, share_heads, streamed_sha256, traverse, trie_nodes, turn_rows
+from slotwise.llm.common import streamed_sha256
+from slotwise.llm.prefix_trie import in_shards, pack, sequences, share_heads, traverse, trie_nodes, turn_rows
 
 SCHEMA = "conv_id long, turn long, role string, text string, pos long, key string, seq string"
 
