@@ -6,8 +6,22 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.columns import binarize, sigmoid
 from slotwise.operators import evaluate as v
+from slotwise.operators import model as m
+from slotwise.operators.series import neighbour_features
 from slotwise.plans import inputs as src
-from slotwise.plans.catalog.learning import FILLED, LONGEST, labelled_of, longest_train
+from slotwise.plans.catalog.learning import (
+    FILLED,
+    FIT_NEAR,
+    LONGEST,
+    NEAR,
+    NEIGHBOURS,
+    STEPS,
+    _fit_near,
+    _fitted,
+    _scored_sql,
+    labelled_of,
+    longest_train,
+)
 from slotwise.plans.catalog.registry import SCORES, query, rounded
 from slotwise.plans.catalog.series import MEASURES
 from slotwise.plans.learning import evaluate
@@ -156,6 +170,29 @@ def evaluated(spark, sf):
     return rounded(out, *names, digits=8)
 
 
+FITTED = f"""{STEPS}, {NEIGHBOURS}, {FIT_NEAR}, scores AS (
+  SELECT id, slot AS time, {_scored_sql('near_fit', NEAR)} AS p, stage AS y FROM wide WHERE split <> 'train')"""
+
+
+@query(
+    "fit_score_evaluate",
+    f"""WITH RECURSIVE {CONFUSION.replace(SCORES, CURVE).replace(SCORES, FITTED)}, {PR_POINTS}
+    SELECT * REPLACE (CASE WHEN tp + fp = 0 OR tn + fn = 0 THEN 0 ELSE mcc END AS mcc, CASE WHEN tp + fp = 0 THEN 0 ELSE precision END AS precision) FROM (
+    SELECT {RATES}, (SELECT round({ROC_AUC}, 8) FROM run) AS roc_auc,
+      round({PR_AUC}, 8) AS pr_auc, round(b.threshold, 8) AS best_threshold,
+      round(b.tpr, 8) AS best_tpr, round(b.fpr, 8) AS best_fpr
+    FROM cm, {BEST} b)""",
+)
+def fit_score_evaluate(spark, sf):
+    """From the labelled grid to the measures of what was held out: fit, score, evaluate."""
+    data, model = _fitted(spark, sf, _fit_near)
+    held_out = data.rows.filter(F.col("split") != "train")
+    scored = m.score(model, neighbour_features(held_out, "id", "slot", MEASURES))
+    out = evaluate(stored(scored.select("id", F.col("stage").alias("y"), "p")))
+    names = [*RATE_NAMES, "roc_auc", "pr_auc", "best_threshold", "best_tpr", "best_fpr"]
+    return rounded(out, *names, digits=8)
+
+
 @query("flatten_positive", f"WITH {SCORES} SELECT id, 1 AS class, y, p FROM scores")
 def flatten_positive(spark, sf):
     return v.flatten_pairs(src.scores(spark, sf), "id", "y", "p")

@@ -276,40 +276,102 @@ def sequence_shapes(spark, sf):
     )
 
 
+def _fit_sql(name: str, source: str, feats: list[str], l2: float = 1.0, sweeps: int = 60) -> str:
+    """Weights of the logistic optimum by Newton steps in one coordinate after the other."""
+    d = len(feats) + 1
+    return f"""{name}_x AS (SELECT [1.0::DOUBLE, {", ".join(f"{c}::DOUBLE" for c in feats)}] AS x, stage AS y FROM {source}),
+{name} AS (
+  SELECT 0 AS k, list_transform(range(0, {d}), lambda i: 0.0::DOUBLE) AS w
+  UNION ALL SELECT k + 1, list_transform(range(0, {d}), lambda i: w[i + 1] - CASE WHEN i = k % {d} THEN step ELSE 0 END)
+  FROM (
+    SELECT k, any_value(w) AS w, (sum((p - y) * x[k % {d} + 1]) + any_value(ridge * w[k % {d} + 1]))
+      / (sum(p * (1 - p) * x[k % {d} + 1] ** 2) + any_value(ridge)) AS step
+    FROM (SELECT k, w, x, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p,
+        CASE WHEN k % {d} = 0 THEN 0 ELSE {l2} END AS ridge
+      FROM {name}, {name}_x WHERE k < {d * sweeps}) GROUP BY k)),
+{name}_w AS (SELECT w FROM {name} WHERE k = {d * sweeps})"""
+
+
+def _scored_sql(name: str, feats: list[str]) -> str:
+    return f"1 / (1 + exp(-list_dot_product((SELECT w FROM {name}_w), [1.0::DOUBLE, {', '.join(feats)}])))"
+
+
+def _scaled_exact(col: str) -> str:
+    stat = f"FROM stats WHERE feature = '{col}'"
+    return f"({col} - (SELECT mean {stat})) / (SELECT CASE WHEN scale > 0 THEN scale ELSE 1 END {stat}) AS {col}"
+
+
+STEPS = f"""{FILLED}, {SCALER}, scaled AS (
+  SELECT id, slot, stage, split, {", ".join(_scaled_exact(x) for x in MEASURES)} FROM filled)"""
+NEAR = m.neighbour_names(MEASURES, (1, 0, -1))
+AROUND = ", ".join(f"lag({x}, 1, 0) OVER o AS {x}_lag1, lead({x}, 1, 0) OVER o AS {x}_lead1" for x in MEASURES)
+NEIGHBOURS = f"wide AS (SELECT *, {AROUND} FROM scaled WINDOW o AS (PARTITION BY id ORDER BY slot))"
+FIT_STEP = f"step_train AS (SELECT * FROM scaled WHERE split = 'train'), {_fit_sql('step_fit', 'step_train', MEASURES)}"
+FIT_NEAR = f"near_train AS (SELECT * FROM wide WHERE split = 'train'), {_fit_sql('near_fit', 'near_train', NEAR)}"
+
+
 def _fitted(spark, sf, fit):
-    data = supervised_set(grid_of(spark, sf), "id", "slot", "stage", MEASURES)
+    data = supervised_set(grid_of(spark, sf), "id", "slot", "stage", MEASURES, fn="arithmetic")
     return data, fit(data.split("train"))
 
 
-@query("step_classifier")
+def _fit_step(train):
+    return m.fit_step_classifier(train, MEASURES, "stage", hidden=None)
+
+
+def _fit_near(train):
+    return m.fit_neighbour_classifier(train, "id", "slot", MEASURES, "stage")
+
+
+@query(
+    "step_classifier",
+    f"""WITH RECURSIVE {STEPS}, {FIT_STEP}
+    SELECT id, slot, stage, round({_scored_sql('step_fit', MEASURES)}, 6) AS p FROM scaled WHERE split = 'test'""",
+)
 def step_classifier(spark, sf):
-    data, model = _fitted(
-        spark, sf, lambda t: m.fit_step_classifier(t, MEASURES, "stage", hidden=8, max_iter=20)
-    )
+    data, model = _fitted(spark, sf, _fit_step)
     return rounded(m.score(model, data.split("test")).select("id", "slot", "stage", "p"), "p")
 
 
-@query("neighbour_classifier")
+@query(
+    "neighbour_classifier",
+    f"""WITH RECURSIVE {STEPS}, {NEIGHBOURS}, {FIT_NEAR}
+    SELECT id, slot, stage, round({_scored_sql('near_fit', NEAR)}, 6) AS p FROM wide WHERE split = 'test'""",
+)
 def neighbour_classifier(spark, sf):
-    data, model = _fitted(
-        spark, sf,
-        lambda t: m.fit_neighbour_classifier(t, "id", "slot", MEASURES, "stage", max_iter=20),
-    )
+    data, model = _fitted(spark, sf, _fit_near)
     wide = neighbour_features(data.split("test"), "id", "slot", MEASURES)
     return rounded(m.score(model, wide).select("id", "slot", "stage", "p"), "p")
 
 
-@query("select_by_auc")
+def _auc_sql(p: str) -> str:
+    """Area by mid-ranks over the validation split."""
+    return f"""(SELECT (sum(mid) FILTER (WHERE stage = 1) - sum(stage)::DOUBLE * (sum(stage) + 1) / 2)
+      / nullif(sum(stage)::DOUBLE * sum(1 - stage), 0) FROM (
+        SELECT stage, rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0::DOUBLE AS mid
+        FROM both_scored WHERE split = 'val'))"""
+
+
+@query(
+    "select_by_auc",
+    f"""WITH RECURSIVE {STEPS}, {NEIGHBOURS}, {FIT_STEP}, {FIT_NEAR}, both_scored AS (
+      SELECT id, slot, stage, split, {_scored_sql('step_fit', MEASURES)} AS step, {_scored_sql('near_fit', NEAR)} AS near FROM wide),
+    areas AS (SELECT coalesce({_auc_sql('step')}, 0) AS step_area, coalesce({_auc_sql('near')}, 0) AS near_area)
+    SELECT CASE WHEN near_area > step_area THEN 'near' ELSE 'step' END AS model, id, slot, stage,
+      round(CASE WHEN near_area > step_area THEN near ELSE step END, 6) AS p
+    FROM both_scored, areas WHERE split = 'test'""",
+)
 def select_by_auc(spark, sf):
-    data = supervised_set(grid_of(spark, sf), "id", "slot", "stage", MEASURES)
-    train = data.split("train")
-    models = {
-        "logistic": m.fit_step_classifier(train, MEASURES, "stage", hidden=None, max_iter=10),
-        "perceptron": m.fit_step_classifier(train, MEASURES, "stage", hidden=4, max_iter=10),
-    }
-    best, _ = m.select_by_auc(models, data.split("val"), "stage")
-    scored = m.score(models[best], data.split("test"))
-    return scored.select(F.lit(best).alias("model"), "id", "slot", "stage", "p")
+    data, step = _fitted(spark, sf, _fit_step)
+
+    def wide(split):
+        return neighbour_features(data.split(split), "id", "slot", MEASURES)
+
+    models = {"step": step, "near": _fit_near(data.split("train"))}
+    best, _ = m.select_by_auc(models, wide("val"), "stage")
+    scored = m.score(models[best], wide("test"))
+    out = scored.select(F.lit(best).alias("model"), "id", "slot", "stage", "p")
+    return rounded(out, "p")
 
 
 def flagged_stays(spark, sf):

@@ -3,10 +3,12 @@
 from datetime import timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from slotwise.operators import encode as n
 from slotwise.operators import model as m
+from slotwise.operators.logistic import fit_logistic, newton_sums
 from slotwise.operators.evaluate import roc_auc
 from slotwise.plans.learning import supervised_set
 from tests.helpers import at, rows_of
@@ -140,7 +142,7 @@ def test_classifiers_rank_a_separable_set(spark, tmp_path):
     }
     best, areas = m.select_by_auc(models, val, "y", str(tmp_path / "best"))
     assert best == "good" and areas["good"] > 0.9
-    again = m.score(m.load_model(str(tmp_path / "best")), val).orderBy("id", "slot").collect()
+    again = m.score(m.load_model(spark, str(tmp_path / "best"), False), val).orderBy("id", "slot").collect()
     assert again == m.score(models["good"], val).orderBy("id", "slot").collect()
     wide = m.neighbour_features(val, "id", "slot", ["a", "b"])
     near = m.fit_neighbour_classifier(train, "id", "slot", ["a", "b"], "y", max_iter=20)
@@ -165,3 +167,50 @@ def test_the_whole_way_flags_all_five_treatments(spark):
             want = any(a <= slot <= b or slot <= a <= last or slot <= b <= last for a, b in own.get(row.stay_id, []))
             assert row[at_] == int(want)
         assert 0 < sum(r[at_] for r in rows) < len(rows)
+
+
+def gradient_in_sql(rows, model, label, l2):
+    """Largest gradient component of the loss at the model's weights, computed by DuckDB."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("rows", rows)
+    x = "[1.0::DOUBLE, " + ", ".join(f'"{c}"' for c in model.features) + "]"
+    parts = con.execute(
+        f"""WITH s AS (SELECT {x} AS x, {label} AS y, 1 / (1 + exp(-list_dot_product(?::DOUBLE[], {x}))) AS p FROM rows)
+        SELECT {", ".join(f"sum((p - y) * x[{i + 1}])" for i in range(len(model.weights)))} FROM s""",
+        [model.weights],
+    ).fetchone()
+    return max(abs(g + (l2 * w if i else 0)) for i, (g, w) in enumerate(zip(parts, model.weights)))
+
+
+@pytest.mark.parametrize("l2", [0.0, 1.0, 25.0])
+def test_gradient_vanishes_at_the_fitted_weights(spark, l2):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), *map(float, x), int(x[0] - x[1] * x[2] + 1.5 * rng.normal() > 0.4)) for i, x in enumerate(rng.normal(size=(3000, 4)) * [1, 30, 0.1, 5])]
+    df = spark.createDataFrame(rows, "id bigint, `a.b` double, b double, c double, d double, y int").repartition(7).cache()
+    model = fit_logistic(df, ["a.b", "b", "c", "d"], "y", l2)
+    assert gradient_in_sql(df.toPandas(), model, "y", l2) < 1e-6 and model.gradient < 1e-9
+    assert model.steps < 30
+    again = fit_logistic(df.repartition(3), ["a.b", "b", "c", "d"], "y", l2)
+    assert np.allclose(model.weights, again.weights, rtol=1e-9)
+
+
+def test_logistic_edges(spark, tmp_path):
+    empty = spark.createDataFrame([], "a double, y int")
+    assert fit_logistic(empty, ["a"], "y").weights == [0.0, 0.0]
+    same = spark.createDataFrame([(1.0, 1.0, 1), (2.0, 2.0, 0), (3.0, 3.0, 1)] * 5, "a double, b double, y int")
+    twin = fit_logistic(same, ["a", "b"], "y", l2=0.0)  # equal columns share the weight
+    assert abs(twin.weights[1] - twin.weights[2]) < 1e-9
+    with pytest.raises(Exception, match="must not be null"):
+        fit_logistic(spark.createDataFrame([(None, 1), (1.0, 0)], "a double, y int"), ["a"], "y")
+    m.save_model(spark, twin, str(tmp_path / "w"))
+    assert m.load_model(spark, str(tmp_path / "w"), True) == twin
+    apart = fit_logistic(spark.createDataFrame([(float(i), int(i > 5)) for i in range(10)], "a double, y int"), ["a"], "y", l2=0.0, max_iter=8)
+    assert apart.steps <= 8 and apart.weights[1] > 0
+
+
+def test_one_pass_sends_sums_only(spark):
+    df = spark.range(100_000).selectExpr("rand(1) as a", "cast(rand(2) > 0.5 as int) as y")
+    sums = newton_sums(df, ["a"], "y", np.zeros(2), 0.0)
+    assert sums.rows == 100_000 and sums.gram.shape == (2, 2) and abs(sums.loss - 100_000 * np.log(2)) < 1e-6
