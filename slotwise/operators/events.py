@@ -7,10 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.functions.columns import any_of, slot_after, slot_floor, slots_between
 from slotwise.session import stored
 
-from slotwise.functions.columns import any_of
-
 
 def _joined(left: DataFrame, right: DataFrame, on: Sequence[str], residual, how: str) -> DataFrame:
     """Equi join on shared key names plus a residual condition; the right keys are dropped."""
@@ -21,6 +20,41 @@ def _joined(left: DataFrame, right: DataFrame, on: Sequence[str], residual, how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in on])
 
 
+#: Windows and events of one key meet in slices of this width.
+SLICE = "7 days"
+
+
+def _in_slices(
+    stays: DataFrame,
+    events: DataFrame,
+    on: Sequence[str],
+    time: str,
+    first: Column | None,
+    last: str,
+    residual,
+    width: str,
+) -> DataFrame:
+    """Pairs of a stay and an event with equal keys whose time lies in the slices from ``first`` to ``last``.
+
+    An event lies in one slice; a window is entered in each slice it touches, clipped to the time
+    that events cover.  The join is by key and slice, so the windows and events of one key are
+    spread over the tasks and no slice pairs more than its own rows.
+    """
+    covered = events.agg(F.min(time).alias("low"), F.max(time).alias("high"))
+    low, high = covered.select("low").scalar(), covered.select("high").scalar()
+    begin = low if first is None else F.greatest(first, low)
+    windows = stays.withColumns({"_from": begin, "_to": F.least(F.col(last), high)})
+    if first is not None:
+        windows = windows.filter(first.isNotNull())
+    windows = windows.filter(F.col(last).isNotNull() & (F.col("_from") <= F.col("_to")))
+    start, end = slot_floor(F.col("_from"), width), slot_floor(F.col("_to"), width)
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), slots_between(start, end, width).cast("long")))
+    windows = windows.withColumns({"_from": start, "_k": steps})
+    windows = windows.withColumn("_slice", slot_after(F.col("_from"), F.col("_k"), width)).drop("_from", "_to", "_k")
+    sliced = events.withColumn("_slice", slot_floor(F.col(time), width))
+    return _joined(windows, sliced, [*on, "_slice"], lambda r: residual(windows, r), "inner").drop("_slice")
+
+
 def events_in_window(
     stays: DataFrame,
     events: DataFrame,
@@ -29,19 +63,22 @@ def events_in_window(
     start: str = "start",
     end: str = "end",
     keep_unmatched: bool = False,
+    slice: str = SLICE,
 ) -> DataFrame:
     """Events of each stay between its ``start`` and ``end``, both included.
 
-    The key is an equality, the window a residual condition of the same join, so there is no
-    nested loop.  No side is hinted: a small cohort is broadcast when its size is known to be
-    small, a large one is merged and its skewed keys are split at run time.  ``keep_unmatched``
-    adds stays without events (with null event columns): what was matched is stored, and the stays
-    missing from it are added, so that no outer join has to keep a hot entity's events together.
+    Key and time slice are an equality, the window a residual condition of the same join, so there is
+    no nested loop, and a key with many windows and many events is cut into its slices.  No
+    side is hinted: a small cohort is broadcast when its size is known to be small, a large one is
+    merged and its skewed slices are split at run time.  ``keep_unmatched`` adds stays without
+    events (with null event columns): what was matched is stored, and the stays missing from it
+    are added, so that no outer join has to keep a hot entity's events together.
     """
     on = [on] if isinstance(on, str) else list(on)
     events = events.dropna(subset=[*on, time])
-    found = _joined(
-        stays, events, on, lambda r: r[time].between(stays[start], stays[end]), "inner"
+    found = _in_slices(
+        stays, events, on, time, F.col(start), end,
+        lambda w, r: r[time].between(w[start], w[end]), slice,
     )
     if not keep_unmatched:
         return found
@@ -57,11 +94,14 @@ def events_before(
     on: str | Sequence[str],
     time: str = "time",
     start: str = "start",
+    slice: str = SLICE,
 ) -> DataFrame:
-    """Events of each stay strictly before its ``start``."""
+    """Events of each stay strictly before its ``start``, met in time slices as in ``events_in_window``."""
     on = [on] if isinstance(on, str) else list(on)
     events = events.dropna(subset=[*on, time])
-    return _joined(stays, events, on, lambda r: r[time] < stays[start], "inner")
+    return _in_slices(
+        stays, events, on, time, None, start, lambda w, r: r[time] < w[start], slice
+    )
 
 
 def events_for_entity(

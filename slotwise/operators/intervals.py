@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.functions.columns import slot_after, slot_floor, slots_between
+from slotwise.functions.columns import named, slot_after, slot_floor
 
 
 def union_intervals(frames: Sequence[DataFrame]) -> DataFrame:
@@ -20,7 +20,7 @@ def union_intervals(frames: Sequence[DataFrame]) -> DataFrame:
 def slot_ranges(
     intervals: DataFrame, id: str, start: str, end: str, width: str, tail: str
 ) -> DataFrame:
-    """The first and last slot each interval touches, without repeats: ``id, first, last``.
+    """The first and last slot each interval touches: ``id, first, last``.
 
     Touching means that the slot's start lies in the closed interval, or that an end of the
     interval lies in the closed range from the slot's start to ``tail`` before the next slot.
@@ -47,22 +47,11 @@ def slot_ranges(
         run(F.when(counts("_e", "_es"), end_slot), end_slot),
     )
     runs = F.when(F.col("_s") <= F.col("_e"), forward).otherwise(by_ends)
-    return (
-        rows.select(id, F.inline(runs))
-        .filter(F.col("first") <= F.col("last"))
-        .distinct()
-    )
+    return rows.select(id, F.inline(runs)).filter(F.col("first") <= F.col("last"))
 
 
-def merged_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Overlapping runs ``first .. last`` of the same keys as one."""
-    distinct = runs.groupBy(*keys, "first").agg(F.max("last").alias("last"))
-    order = W.partitionBy(*keys).orderBy("first")
-    before = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col("first") > before), F.col("first"))
-    opened = F.max("_opens").over(order.rowsBetween(W.unboundedPreceding, 0))
-    marked = distinct.withColumn("_opens", opens).withColumn("_run", opened)
-    return marked.groupBy(*keys, "_run").agg(F.max("last").alias("last")).withColumnRenamed("_run", "first")
+#: Slots that are swept together; the sums of whole blocks are carried on.
+SWEEP_BLOCK = 256
 
 
 def flag_treatments(
@@ -74,40 +63,59 @@ def flag_treatments(
     tail: str = "1 second",
     start: str = "starttime",
     end: str = "endtime",
+    block: int = SWEEP_BLOCK,
 ) -> DataFrame:
     """Add one column per treatment: 1 where one of its intervals touches the slot, else 0.
 
-    Intervals are reduced to distinct runs of slots, runs are expanded to slots, and slots are
-    matched by equality, all treatments in one join: no range join, and a heavily treated id does
-    not sit in one task, because repeats are removed before the shuffle and the keys include the
-    slot.  Runs are clipped to the id's own first and last slot, and runs that overlap are
-    merged before they are expanded, so no id gives more rows than its slots times the treatments.
-    The grid is read twice; store it first when it is costly.
+    A sweep: the run of slots that an interval touches opens at its first slot and closes after its last, and
+    a slot is touched while more runs have opened than closed.  A run is two rows however long
+    it is; rows of one id and slot are summed before the shuffle.  An id's time is cut into
+    blocks of ``block`` slots, swept by different tasks: each starts with the sums of all
+    blocks before it, which are one row per id and block.  The grid is read twice; store it first
+    when it is costly.
     """
-    span = grid.groupBy(id).agg(F.min(slot).alias("_low"), F.max(slot).alias("_high"))
+    names = list(treatments)
+    wide = f"{block * _amount(width)[0]} {_amount(width)[1]}"
     runs = union_intervals(
         [
             slot_ranges(table, id, start, end, width, tail).withColumn("_name", F.lit(name))
             for name, table in treatments.items()
         ]
     )
-    clipped = (
-        runs.join(span, id)
-        .select(
-            id, "_name", F.greatest("first", "_low").alias("first"), F.least("last", "_high").alias("last")
-        )
-        .filter(F.col("first") <= F.col("last"))
+    ends = F.array(
+        F.struct(F.col("first").alias(slot), F.lit(1).alias("_step")),
+        F.struct(slot_after(F.col("last"), F.lit(1), width).alias(slot), F.lit(-1).alias("_step")),
+    )
+    steps = (
+        runs.select(id, "_name", F.inline(ends))
+        .groupBy(id, slot)
+        .agg(*[F.sum(F.when(F.col("_name") == n, F.col("_step")).otherwise(0)).alias(f"_d{i}") for i, n in enumerate(names)])
     )
-    clipped = merged_runs(clipped, [id, "_name"])
-    steps = F.sequence(F.lit(0), slots_between(F.col("first"), F.col("last"), width))
-    touched = (
-        clipped.select(id, "_name", "first", F.explode(steps).alias("_k"))
-        .groupBy(id, slot_after(F.col("first"), F.col("_k"), width).alias(slot))
-        .agg(*[F.max((F.col("_name") == n).cast("int")).alias(n) for n in treatments])
+    deltas = [f"_d{i}" for i in range(len(names))]
+    at = slot_floor(F.col(slot), wide)
+    # a run opened before an id's first block, or a block without steps, still carries its sums
+    blocks = steps.select(id, at.alias("_block"), *deltas).unionByName(
+        grid.select(id, at.alias("_block")).distinct(), allowMissingColumns=True
     )
-    return grid.join(touched, [id, slot], "left").withColumns(
-        {n: F.coalesce(F.col(n), F.lit(0)) for n in treatments}
+    sums = blocks.groupBy(id, "_block").agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in deltas])
+    before = W.partitionBy(id).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(id, "_block", *[F.coalesce(F.sum(d).over(before), F.lit(0)).alias(f"_c{d}") for d in deltas])
+    rows = grid.withColumn("_grid", F.lit(True)).unionByName(steps, allowMissingColumns=True)
+    inside = W.partitionBy(id, "_block").orderBy(slot).rangeBetween(W.unboundedPreceding, W.currentRow)
+    swept = rows.withColumn("_block", at).withColumns(
+        {f"_s{d}": F.coalesce(F.sum(d).over(inside), F.lit(0)) for d in deltas}
     )
+    swept = swept.filter(F.col("_grid")).join(carried, [id, "_block"], "left")
+    flags = [
+        (F.col(f"_s{d}") + F.coalesce(f"_c{d}", F.lit(0)) > 0).cast("int").alias(n) for n, d in zip(names, deltas, strict=True)
+    ]
+    return swept.select(*map(named, grid.columns), *flags)
+
+
+def _amount(width: str) -> tuple[int, str]:
+    """The number and the unit of an interval such as ``6 hours``."""
+    number, unit = width.split()
+    return int(number), unit
 
 
 def flag_intervals(
