@@ -16,15 +16,13 @@ import pyarrow as pa
 
 #: Pieces held per worker, in two generations: when the younger one is full it becomes the older one, which
 #: goes.  Memory is bounded, frequent pieces stay, and results don't change.
-CACHE = 600_000
+CACHE = 900_000
 #: A piece longer than this isn't held.
 HELD = 64
 #: White space, and signs that only some count as white space or that break a cut.
 _ODD = re.compile("[\\s\u0085\u180e\u200b-\u200d\u2060\ufeff]")
-#: A word of letters, perhaps with a run of signs after it: two pre-tokens.
-_WORD = re.compile(r"( ?)([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
-#: Anything but letters whose lower case is one letter in any context and that never compose.
-_NOT_LATIN = re.compile("[^\u0000-\u012f\u0131-\u024f]")
+#: A word of letters, perhaps with a run of signs after it: two pre-tokens.  The letters' lower case is one letter in any context, and they never compose.
+_WORD = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-^`{-~]*)")
 
 
 def _byte_signs() -> dict[int, int]:
@@ -54,16 +52,16 @@ class Pieces(dict):
         return ids
 
     def _encoded(self, piece: str) -> bytes | None:
-        if self.spaced and piece != "\n":
-            word = piece[1:] if piece[:1] == " " else piece
-            if not word or _ODD.search(word):
-                return None
         m = _WORD.fullmatch(piece)
-        if m and not _NOT_LATIN.search(piece):
+        if m:
             space, word, run = m.groups()
             if run:
                 return self[space + word] + self[run]
             return _bytes([t.id for t in self.model.tokenize(self._as_signs(piece if self.spaced else word.lower()))])
+        if self.spaced and piece != "\n":
+            word = piece[1:] if piece[:1] == " " else piece
+            if not word or _ODD.search(word):
+                return None
         return _bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def _as_signs(self, piece: str) -> str:
@@ -86,7 +84,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # pieces are held here; a second cache of rare words only costs
         kind = str(self.tokenizer.pre_tokenizer)
@@ -100,6 +98,9 @@ class Encoder:
         return text.replace("\n", " ").split(" ")
 
     def encode(self, text: str) -> bytes:
+        for mark in self.marks:
+            if mark in text:  # stands for an id of its own, wherever it is
+                return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.spaced and "\0" in text:
             return self._whole(text)
         try:
