@@ -22,10 +22,9 @@ from slotwise.llm.common import fresh, list_column, stored, text_of, with_uid
 #: Masks of the seeds: 1 reads a token, 0 ignores it.  Each reads six.  Whatever two tokens of twelve are
 #: substituted, one of the masks reads only equal ones.
 MASKS = ("111111", "1111101", "1111011", "1110111", "1101111", "1011111", "11100111")
-#: Items of fewer tokens say too little and are left out; those too short for masks are read whole.
-SHORTEST = 5
-#: A stretch counts from this many aligned tokens with this share of equal ones.  Shorter items must match whole.
-LEAST_TOKENS, SHARE = 12, 0.8
+#: A stretch counts from this many aligned tokens with this share of equal ones.  Shorter items must match from end to
+#: end but for one substituted token in ``SPOILED``; they are cut into one block more than that, one of which stays whole.
+LEAST_TOKENS, SHARE, SPOILED = 12, 0.8, 5
 #: Tokens of a document kept on either side of its seeds for the comparison.
 CONTEXT = 64
 BITS = 1 << 24
@@ -61,37 +60,51 @@ def seeds(tokens: np.ndarray, whole: tuple[int, ...] = ()) -> list[tuple[int, np
     return out
 
 
-def _whole(n: int) -> tuple[int, ...]:
-    """The lengths at which an item of ``n`` tokens is read whole."""
-    return (n,) if n < len(MASKS[0]) else ()
+def short_blocks(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the blocks of an item of ``n`` tokens that is too short for masks; some block is equal in every match."""
+    blocks = n // SPOILED + 1
+    cuts = [i * n // blocks for i in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]  # noqa: B905  one is shorter
 
 
 def benchmark_tokens(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, tokens) with the hashes of every token; items of fewer than ``SHORTEST`` are left out."""
+    """(item_id, tokens) with the hashes of every token; items without tokens are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [token_hashes(x.as_py()).view(np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), list_column(np.concatenate(own), map(len, own))], names=["item_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), list_column(np.concatenate([np.zeros(0, np.int64), *own]), map(len, own))], names=["item_id", "tokens"])
 
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "item_id long, tokens array<long>").where(F.size("tokens") >= SHORTEST)
+    return rows.mapInArrow(run, "item_id long, tokens array<long>").where(F.size("tokens") > 0)
+
+
+def item_classes(items: DataFrame) -> DataFrame:
+    """(tokens, substitutions, n_items): how many items there are of each length below ``LEAST_TOKENS`` and how many tokens may differ; null is all longer ones."""
+    n = F.size("tokens")
+    own = benchmark_tokens(items).select(F.when(n < LEAST_TOKENS, n).alias("tokens"))
+    return own.groupBy("tokens").agg(F.floor(F.first("tokens") / SPOILED).cast("int").alias("substitutions"), F.count("*").alias("n_items"))
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(item, seed, item_at) of (item, tokens)."""
+    """(item, seed, item_at, n) of (item, tokens); ``n`` is the item's number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for item, tokens in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own = np.asarray(tokens.values.to_numpy(), np.int64).view(np.uint64)
-                for _, s in seeds(own, _whole(len(own))):
-                    out += [(item, int(h), at) for at, h in enumerate(s.view(np.int64))]
-            item, seed, at = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(seed, pa.int64()), pa.array(at, pa.int32())], names=["item", "seed", "item_at"])
+                n = len(own)
+                if n >= LEAST_TOKENS:
+                    for _, s in seeds(own):
+                        out += [(item, int(h), at, n) for at, h in enumerate(s.view(np.int64))]
+                else:
+                    for at, length in short_blocks(n):
+                        out.append((item, int(seeds(own[at : at + length], (length,))[-1][1].view(np.int64)[0]), at, n))
+            item, seed, at, n = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(seed, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["item", "seed", "item_at", "n"])
 
-    return items.mapInArrow(run, "item long, seed long, item_at int")
+    return items.mapInArrow(run, "item long, seed long, item_at int, n int")
 
 
 def _places(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,10 +238,14 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST_TOKENS, share
     names = items.select("item_id", F.xxhash64("tokens").alias("item"), "tokens")
     distinct = stored(names.groupBy("item").agg(F.first("tokens").alias("tokens")))
     seeded = stored(item_seeds(distinct))
-    short = distinct.where(F.size("tokens") < len(MASKS[0])).select(F.size("tokens")).distinct().collect()
-    regions = stored(document_regions(docs, seed_bitmap(seeded, bits), tuple(sorted(r[0] for r in short))))
-    looked = regions.select("uid", "region", F.explode(F.arrays_zip("ats", "seeds")).alias("s")).select("uid", "region", "s.ats", F.col("s.seeds").alias("seed"))
-    hits = looked.join(seeded, "seed").select("uid", "region", "item", (F.col("ats") - F.col("item_at")).alias("shift")).distinct()
+    short = distinct.where(F.size("tokens") < LEAST_TOKENS).select(F.size("tokens")).distinct().collect()
+    lengths = {length for r in short for _, length in short_blocks(r[0])}
+    regions = stored(document_regions(docs, seed_bitmap(seeded, bits), tuple(sorted(lengths))))
+    looked = regions.select("uid", "region", "first", F.explode(F.arrays_zip("ats", "seeds")).alias("s")).select("uid", "region", "first", "s.ats", F.col("s.seeds").alias("seed"))
+    met = looked.join(seeded, "seed")
+    # an item that allows no substitution is its own seed: the hit says all
+    plain = met.where(F.col("n") < SPOILED).select("uid", "item", (F.col("first") + F.col("ats")).alias("doc_at"), F.lit(0).alias("item_at"), F.col("n").alias("n_tokens"), F.col("n").alias("n_equal"))
+    hits = met.where(F.col("n") >= SPOILED).select("uid", "region", "item", (F.col("ats") - F.col("item_at")).alias("shift")).distinct()
     pairs = hits.join(regions.select("uid", "region", "first", "tokens"), ["uid", "region"]).join(distinct.withColumnRenamed("tokens", "item_tokens"), "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,22 +258,26 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST_TOKENS, share
                 if hi <= lo:
                     continue
                 equal = own[lo + shift : hi + shift] == test[lo:hi]
-                for s, e in best_stretches(equal, min(least, len(test)), share if len(test) >= least else 1.0 - 1e-9):
-                    out.append((uid, item, first + shift + lo + s, lo + s, e - s, int(equal[s:e].sum())))
+                if len(test) >= LEAST_TOKENS:
+                    for s, e in best_stretches(equal, least, share):
+                        out.append((uid, item, first + shift + lo + s, lo + s, e - s, int(equal[s:e].sum())))
+                elif hi - lo == len(test) and equal.sum() >= len(test) - len(test) // SPOILED:
+                    out.append((uid, item, first + shift, 0, len(test), int(equal.sum())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
 
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     columns = ["uid", "item", "doc_at", "item_at", "n_tokens", "n_equal"]
     found = pairs.select("uid", "item", "shift", "first", "tokens", "item_tokens").mapInArrow(verify, "uid long, item long, doc_at int, item_at int, n_tokens int, n_equal int")
-    found = found.distinct().join(names.select("item_id", "item"), "item").drop("item")
+    found = found.union(plain).distinct().join(names.select("item_id", "item"), "item").drop("item")
     return found, regions.where("region = 0").select("doc_id", "uid")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, contaminated, n_items, item_ids, spans.
 
-    ``item_ids`` ascend and are comma-joined; ``spans`` lists token ranges start:end of the overlaps, merged where the
+    An item of fewer than 12 tokens must be there from end to end, with at most one token in five substituted; of longer ones
+    a stretch of 12 tokens with four fifths equal counts.  ``item_ids`` ascend and are comma-joined; ``spans`` lists token ranges start:end of the overlaps, merged where the
     same stretch meets several items.  Documents and items that are null or empty overlap with nothing.
     """
     found, numbered = overlaps(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), items, **options)
