@@ -11,8 +11,9 @@ from slotwise.llm.common import stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); ``root`` is the smallest node reachable.
 
-    Each round joins every edge with the smallest neighbour of its end, so a node with very many edges
-    is pre-aggregated and its join can be split.  Rounds are stored: the lineage stays short and
+    Each round joins every edge with the smallest neighbour of its end: a node with very many edges
+    is pre-aggregated; the smallest neighbours are stored, so that the join's inputs are plain scans and a hot node
+    can be split at run time.  Rounds are stored: the lineage stays short and
     survives lost executors.  Self loops give a node that is its own root; no edges give no rows.
     """
     both = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
@@ -34,11 +35,11 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stored(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return around.join(least, "u").where("v > u OR v = u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them.  Edges point from a to b <= a."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m")))
     return edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct()

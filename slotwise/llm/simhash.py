@@ -99,7 +99,7 @@ def _components(marks: DataFrame, block: int) -> DataFrame:
     classes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = stored(fingerprint_roots(classes, block))
     rooted = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(least, "root").select("fp", "component_id", "root")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marks.join(named, "fp").select("doc_id", "uid", hexed, "component_id", "root")
