@@ -27,6 +27,8 @@ from slotwise.llm.common import documents_of, partitions_of, stored
 LENGTH, GRAM, LARGE = 200, 32, 2000
 #: Grams whose hashes are worked on together; their places fit the low bits of a packed hash.
 PORTION = 1 << 16
+#: Three ranks below this fit one number.
+TRIPLED = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,11 +106,14 @@ def suffix_array(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     for i in range(7):
         key = (key << 9) | padded[i : i + n]
     ranks.append(np.unique(key, return_inverse=True)[1])
+    times = 3 if n < TRIPLED else 2  # ranks put side by side in one number
     while widths[-1] <= sizes.max():
         w, r = widths[-1], ranks[-1]
-        ahead = np.concatenate([r[w:], np.full(min(w, n), -1)])[:n] + 1
-        ranks.append(np.unique(r * (n + 2) + ahead, return_inverse=True)[1])
-        widths.append(2 * w)
+        key = r
+        for i in range(1, times):
+            key = key * (n + 2) + np.concatenate([r[i * w :], np.full(min(i * w, n), -1)])[:n] + 1
+        ranks.append(np.unique(key, return_inverse=True)[1])
+        widths.append(times * w)
     counts = np.maximum(0, sizes - length + 1)
     part = np.repeat(np.arange(len(parts)), counts)
     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -116,7 +121,7 @@ def suffix_array(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(ranks[-1][place], kind="stable")
     part, start, place = part[order], start[order], place[order]
     a, b, common = place[:-1].copy(), place[1:].copy(), np.zeros(len(place), np.int64)
-    for w, r in [*zip(reversed(widths), reversed(ranks), strict=True), *[(1, signs)] * 6]:
+    for w, r in [*(x for x in zip(reversed(widths), reversed(ranks), strict=True) for _ in range(times - 1)), *[(1, signs)] * 6]:
         same = (a < n) & (b < n)
         same[same] = r[a[same]] == r[b[same]]
         common[1:][same] += w
@@ -217,8 +222,8 @@ def _ranges_of_windows(parts: DataFrame, length: int) -> DataFrame:
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
     """(uid, spans) of ``docs`` (uid, a pair of longs, and text binary): ranges of bytes, not merged, that lie in repeated windows."""
-    rows = segment_rows(docs, length, gram)
-    anchors = rows.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("differ")).where("n > 1").drop("n")
+    rows = stored(segment_rows(docs, length, gram))
+    anchors = stored(rows.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("differ")).where("n > 1").drop("n"))
     members = stored(rows.join(anchors, "anchor"))
     kinds = members.where("differ").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("uid", "start", "end")).alias("one"))
     kinds = stored(kinds.select("anchor", "digest", "n", "one.*"))
@@ -251,12 +256,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
 
     ``spans`` are the maximal runs of removed bytes (start, end), ``kept`` the bytes left.  Texts are UTF-8, null
     counts as empty; matches never cross documents, but a document may repeat itself.  Rows are told apart by id and a hash
-    of the text, the same on each read; rows alike in both are copies of each other and treated alike.
+    of the text, the same on each read; rows alike in both are copies of each other: one of them is searched, and all
+    lose the whole text if it has ``length`` bytes.
     """
     rows = documents_of(docs)
     uid = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("mark"))
     numbered = rows.select("doc_id", uid.alias("uid"), F.col("text").cast("binary").alias("text"))
-    found = repeated_bytes(numbered.select("uid", "text"), length, gram, large)
+    again = stored(numbered.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid"))
+    single = numbered.join(again, "uid", "left_anti").select("uid", "text")
+    one_each = numbered.join(again, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text"))
+    found = repeated_bytes(single.union(one_each), length, gram, large)
+    whole = again.withColumn("whole", F.lit(True))
+    numbered = numbered.join(whole, "uid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,5 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
                 [b.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pairs), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"]
             )
 
-    joined = numbered.join(found, "uid", "left").select("doc_id", "text", "spans")
+    size = F.octet_length("text").cast("long")
+    every = F.when(F.col("whole") & (size >= length), F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end"))))
+    joined = numbered.join(found, "uid", "left").select("doc_id", "text", F.coalesce(every, "spans").alias("spans"))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
