@@ -234,7 +234,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     sizes = stored(kinds.groupBy("anchor").count().where(F.col("count") > large).select("anchor"))
     ranges = _ranges_of_groups(parts.join(sizes, "anchor", "left_anti"), length).union(_ranges_of_windows(parts.join(sizes, "anchor"), length))
     copied = kinds.where("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("from"), (F.col("end") - F.col("start")).alias("to"))
-    merged = ranges.union(copied).groupBy("anchor", "digest").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    merged = stored(ranges.union(copied).groupBy("anchor", "digest").agg(F.collect_list(F.struct("from", "to")).alias("ranges")))
     whole = members.where("NOT differ").select("uid", "start", "end")
     some = members.where("differ").join(merged, ["anchor", "digest"]).select("uid", "start", F.explode("ranges").alias("r"))
     spans = whole.union(some.select("uid", (F.col("start") + F.col("r.from")).alias("start"), (F.col("start") + F.col("r.to")).alias("end")))
