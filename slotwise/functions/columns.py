@@ -91,14 +91,24 @@ def row_hash(keys: Sequence[str | Column], seed: int, fn: str = "xxhash64") -> C
     """A reproducible pseudo-random number per key.
 
     ``arithmetic`` takes one integer key and can be repeated on any SQL engine;
-    ``xxhash64`` mixes far better and is the default.
+    ``xxhash64`` mixes far better and is the default.  ``multiplicative`` also takes one integer key
+    (below 2**31 in size), has 32 bits and can be repeated in SQL.
     """
+    if fn == "multiplicative":
+        (key,) = keys
+        return F.pmod(_col(key) * F.lit(2654435761) + F.lit(seed), F.lit(1 << 32)).cast("bigint")
     if fn == "arithmetic":
         (key,) = keys
         return F.pmod(_col(key) * F.lit(7919) + F.lit(seed), F.lit(1000)).cast("bigint")
     return F.xxhash64(*[_col(k) for k in keys], F.lit(seed))
 
 
+def hash_range(hash: str | Column, fn: str = "xxhash64") -> Column:
+    """One of 65,536 ranges of a row hash (1,000 for ``arithmetic``), ascending with the hash."""
+    dropped = {"arithmetic": 0, "multiplicative": 16, "xxhash64": 48}[fn]
+    return F.shiftright(_col(hash), dropped).cast("int")
+
+
 def hash_bucket(
     keys: Sequence[str | Column], seed: int, buckets: int, fn: str = "xxhash64"
 ) -> Column:

@@ -14,7 +14,11 @@ from slotwise.functions.columns import any_of, named, quoted
 
 
 def harmonize_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Rename legacy columns where they occur."""
+    """Rename legacy columns where they occur; an error if a new name would then occur twice."""
+    after = [mapping.get(c, c) for c in df.columns]
+    twice = sorted({c for c in after if after.count(c) > 1 and c in mapping.values()})
+    if twice:
+        raise ValueError(f"old and new names both occur: {twice}")
     return df.withColumnsRenamed({old: new for old, new in mapping.items() if old in df.columns})
 
 

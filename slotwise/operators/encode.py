@@ -10,8 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from slotwise.functions.columns import hash_bucket, named, row_hash
-from slotwise.functions.ranking import bucket_count
+from slotwise.functions.columns import hash_bucket, hash_range, named, row_hash
 from slotwise.operators.cleaning import recode
 from slotwise.operators.events import enrich
 
@@ -19,14 +18,22 @@ SPLIT_BUCKETS = 1000
 SPLITS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
-def find_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+#: Values that may become columns, over all columns that are encoded together.
+MOST_CATEGORIES = 10_000
+
+
+def find_categories(
+    df: DataFrame, cols: Sequence[str], most: int = MOST_CATEGORIES
+) -> dict[str, list[str]]:
     """The distinct non-null values of each column, sorted.
 
-    They become column names, so columns with many values are better put in the long form of
-    ``one_hot_rows``.
+    They become column names: more than ``most`` of them are an error, found without fetching more than
+    that, since columns with many values belong in the long form of ``one_hot_rows``.
     """
     pairs = [F.struct(F.lit(c).alias("col"), named(c).alias("value")) for c in cols]
-    rows = df.select(F.inline(F.array(*pairs))).dropna().distinct().collect()
+    rows = df.select(F.inline(F.array(*pairs))).dropna().distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} values in {list(cols)}; use one_hot_rows or name the categories")
     return {c: sorted(row["value"] for row in rows if row["col"] == c) for c in cols}
 
 
@@ -115,31 +122,28 @@ def undersample(
     n: int,
     keys: Sequence[str],
     seed: int = 42,
-    buckets: int | None = None,
     fn: str = "xxhash64",
 ) -> DataFrame:
-    """All positive rows and exactly ``n`` negative ones (all of them when there are fewer).
+    """All positive rows and the ``n`` negative ones with the smallest hashes (all when there are fewer).
 
-    Negatives are taken in order of the hash of ``keys``, which must identify a row.  The counts
-    of the hash buckets show which buckets are taken whole; only the one that is taken in part
-    is ranked.  No sort and no limit over all negatives.  Without ``buckets`` their number follows from a
-    count of the rows, so that one bucket fits a task.
+    The hash of ``keys``, which must identify a row, decides; the keys break ties.  One pass counts the
+    negatives by ranges of the hash, summed in each task; the ranges below the threshold are
+    taken whole in the second pass, and only the range that is taken in part is ranked, one of 65,536.
+    No sort and no limit over all negatives, and no count of the rows beforehand.
     """
-    buckets = buckets or bucket_count(df)
     positives = df.filter(F.col(label) > 0)
     negatives = df.filter(F.col(label) == 0).withColumn("_hash", row_hash(keys, seed, fn))
-    width = buckets if fn != "arithmetic" else SPLIT_BUCKETS
-    negatives = negatives.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(width)).cast("int"))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    negatives = negatives.withColumn("_range", hash_range("_hash", fn))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     counts = (
-        negatives.groupBy("_bucket")
+        negatives.groupBy("_range")
         .agg(F.count("*").alias("_n"))
         .withColumn("_left", F.lit(n) - F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter(F.col("_left") > 0)
     )
-    reached = negatives.join(counts, "_bucket")
+    reached = negatives.join(counts, "_range")
     whole = reached.filter(F.col("_n") <= F.col("_left")).select(*map(named, df.columns))
-    inside = W.partitionBy("_bucket").orderBy("_hash", *keys)
+    inside = W.partitionBy("_range").orderBy("_hash", *keys)
     part = (
         reached.filter(F.col("_n") > F.col("_left"))
         .withColumn("_rank", F.row_number().over(inside))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from slotwise.functions.columns import days_between
+from slotwise.functions.columns import days_between, named
 from slotwise.functions.ranking import exact_quantiles, quantile
 from slotwise.operators.cleaning import keep_ids
 from slotwise.session import stored
@@ -201,3 +205,80 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         {"q0": "q25", "q1": "q50", "q2": "q75"}
     )
     return rows.join(quartiles, "feature")
+
+
+#: Values of a column that a task's summary holds, at first and at most.
+SUMMARY, LARGEST_SUMMARY = 4096, 1 << 18
+
+
+def frequent_values(df: DataFrame, cols: Sequence[str], capacity: int = SUMMARY) -> DataFrame:
+    """A mergeable summary of frequent values: ``feature, value, least``, and the error of each feature with a null value.
+
+    Misra-Gries: a task holds ``capacity`` counters for each column; when they overflow, the
+    smallest count that frees half of them is taken off all.  Sums of the tasks' counts and errors keep the
+    promise: a value's true number lies between ``least`` and ``least`` plus the error, and a value that is
+    missing occurs at most that often.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Counter] = [Counter() for _ in cols]
+        errors = [0] * len(cols)
+        for b in batches:
+            for i in range(len(cols)):
+                counts = pc.value_counts(b.column(i).drop_null())
+                held[i].update(dict(zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True)))
+                if len(held[i]) > capacity:
+                    cut = sorted(held[i].values(), reverse=True)[capacity // 2]
+                    errors[i] += cut
+                    held[i] = Counter({v: n - cut for v, n in held[i].items() if n > cut})
+        rows = [(c, v, n) for c, own in zip(cols, held, strict=True) for v, n in own.items()]
+        rows += [(c, None, e) for c, e in zip(cols, errors, strict=True)]
+        kinds = (pa.string(), pa.string(), pa.int64())
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["feature", "value", "least"])
+
+    texts = df.select(*[named(c).cast("string") for c in cols])
+    sent = texts.mapInArrow(run, "feature string, value string, least long")
+    return sent.groupBy("feature", "value").agg(F.sum("least").alias("least"))
+
+
+def top_values(df: DataFrame, cols: Sequence[str], k: int = 10, capacity: int = SUMMARY) -> DataFrame:
+    """The ``k`` most frequent values of each column: ``feature, rank, value, n``; ties by value, nulls left out.
+
+    The first pass makes a summary, the second counts exactly what the summary cannot rule out.  If the error is
+    so large that an unseen value might belong to the result, the summary is made again with eight times the
+    counters; a column whose values are all rare is counted by value in the end, with partial sums.
+    ``df`` is read twice or more: store it first when it is costly.
+    """
+    cols, out = list(cols), None
+
+    def ranked(names: list[str], wanted: DataFrame | None) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), named(c).cast("string").alias("value")) for c in names])
+        values = df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+        values = values if wanted is None else values.join(wanted, ["feature", "value"])
+        counted = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
+        place = W.partitionBy("feature").orderBy(F.desc("n"), "value")
+        counted = counted.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+        return counted.select("feature", "rank", "value", "n")
+
+    while cols:
+        if capacity > LARGEST_SUMMARY:
+            sure, part = cols, ranked(cols, None)
+        else:
+            summary = stored(frequent_values(df, cols, capacity))
+            error = {r["feature"]: r["least"] for r in summary.filter(F.col("value").isNull()).collect()}
+            known = summary.filter(F.col("value").isNotNull())
+            by_least = W.partitionBy("feature").orderBy(F.desc("least"))
+            kth = known.withColumn("_r", F.row_number().over(by_least)).filter(F.col("_r") <= k)
+            kth = kth.filter(F.col("_r") == k).collect()
+            bound = {r["feature"]: r["least"] for r in kth}
+            sure = [c for c in cols if not error.get(c) or error[c] < bound.get(c, 0)]
+            part = None
+            if sure:
+                floors = [F.lit(x) for c in sure for x in (c, bound.get(c, 0) - error.get(c, 0))]
+                may = known.filter(F.col("feature").isin(sure) & (F.col("least") >= F.create_map(*floors)[F.col("feature")]))
+                part = ranked(sure, stored(may.select("feature", "value")))
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+        cols, capacity = [c for c in cols if c not in sure], capacity * 8
+    return out

@@ -74,6 +74,21 @@ def undersample(spark, sf):
     return n.undersample(rows, "y", 100, ["event_id"], fn="arithmetic")
 
 
+@query(
+    "undersample_by_hash",
+    """WITH l AS (SELECT event_id, user_id, (value > 100)::INT AS y, (event_id * 2654435761 + 42) % 4294967296 AS h FROM events)
+    SELECT event_id, user_id, y FROM l WHERE y = 1
+    UNION ALL SELECT event_id, user_id, y FROM (
+      SELECT *, row_number() OVER (ORDER BY h, event_id) AS r FROM l WHERE y = 0)
+      WHERE r <= 500""",
+)
+def undersample_by_hash(spark, sf):
+    rows = src.events(spark, sf).select(
+        "event_id", "user_id", (F.col("value") > 100).cast("int").alias("y")
+    )
+    return n.undersample(rows, "y", 500, ["event_id"], fn="multiplicative")
+
+
 @query(
     "undersample_fraction",
     """WITH l AS (SELECT event_id, user_id, (value > 100)::INT AS y FROM events)

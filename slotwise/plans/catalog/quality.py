@@ -217,3 +217,21 @@ def positive_ratio(spark, sf):
 )
 def max_group_size(spark, sf):
     return q.max_group_size(src.events(spark, sf), "user_id")
+
+
+TOPPED = ["event_type", "user_id", "session_id"]
+
+
+def _top_sql(col: str) -> str:
+    return f"""SELECT '{col}' AS feature, row_number() OVER (ORDER BY count(*) DESC, {col}::VARCHAR)::INT AS rank,
+      {col}::VARCHAR AS value, count(*) AS n FROM typed WHERE {col} IS NOT NULL GROUP BY {col} QUALIFY rank <= 5"""
+
+
+@query(
+    "profile_top",
+    "WITH typed AS (SELECT event_type, user_id, user_id // 7 AS session_id FROM events) "
+    + " UNION ALL ".join(f"SELECT * FROM ({_top_sql(x)})" for x in TOPPED),
+)
+def profile_top(spark, sf):
+    rows = src.events(spark, sf).withColumn("session_id", F.floor(F.col("user_id") / 7).cast("long"))
+    return q.top_values(rows, TOPPED, k=5)

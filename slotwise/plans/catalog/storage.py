@@ -20,7 +20,15 @@ from slotwise.plans.catalog.learning import FILLED, labelled_of
 from slotwise.plans.catalog.registry import SERIES, query, rounded
 from slotwise.plans.catalog.series import MEASURES
 from slotwise.session import shared_folder
-from slotwise.sources import materialize, read_table, read_tsv, run_record, write_tsv
+from slotwise.sources import (
+    append_report,
+    materialize,
+    read_report,
+    read_table,
+    read_tsv,
+    run_record,
+    write_tsv,
+)
 
 
 def scratch(spark) -> str:
@@ -105,3 +113,21 @@ def in_order(spark, sf):
 @query("distinct_rows", "SELECT DISTINCT user_id, event_type FROM events")
 def distinct_rows(spark, sf):
     return src.events(spark, sf).select("user_id", "event_type").distinct()
+
+
+@query(
+    "report_log",
+    """SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_ids, 'all' AS run_id FROM events GROUP BY 1
+    UNION ALL SELECT event_type, count(*), count(DISTINCT user_id), 'high' FROM events WHERE value > 50 GROUP BY 1""",
+)
+def report_log(spark, sf):
+    """Two runs of a report, the first of them retried, read back as one table."""
+    path = scratch(spark)
+
+    def report(rows):
+        return rows.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_ids"))
+
+    events = src.events(spark, sf)
+    for rows, run in ((events, "all"), (events.filter("value > 50"), "high"), (events, "all")):
+        append_report(report(rows), path, run)
+    return read_report(spark, path)

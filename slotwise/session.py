@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,27 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders of the scopes that are open, the innermost last.
+_scopes: list[str] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """A scope that owns the tables stored inside it and deletes them when it ends, also after an error.
+
+    What is needed afterwards has to be written elsewhere before: a result that still reads a stored
+    table can't be computed once the scope is over.
+    """
+    folder = f"{shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and return a scan of it.
 
@@ -50,7 +73,8 @@ def stored(df: DataFrame) -> DataFrame:
     columns it needs, and has a known size, from which the planner decides on broadcasts.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    folder = _scopes[-1] if _scopes else shared_folder(spark)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

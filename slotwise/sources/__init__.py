@@ -1,7 +1,9 @@
 from slotwise.sources.tables import (
+    append_report,
     materialize,
     nan_to_null,
     read_jdbc,
+    read_report,
     read_table,
     read_tsv,
     run_record,
@@ -10,6 +12,6 @@ from slotwise.sources.tables import (
 )
 
 __all__ = [
-    "materialize", "nan_to_null", "read_jdbc", "read_table", "read_tsv", "run_record",
+    "append_report", "materialize", "nan_to_null", "read_jdbc", "read_report", "read_table", "read_tsv", "run_record",
     "write_report", "write_tsv",
 ]

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 TSV_OPTIONS = {
@@ -115,6 +115,25 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.format(fmt).save(path)
 
 
+def append_report(df: DataFrame, path: str, run_id: str) -> None:
+    """Add the rows of one run to a report table, in place of what the same run wrote before.
+
+    The run is a partition of its own, so a repeated or retried write replaces only that, and
+    readers see all runs.  Spark's committer moves the files when all tasks are done.
+    """
+    rows = df.withColumn("run_id", F.lit(run_id))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
+
+
+def read_report(spark: SparkSession, path: str, runs: Sequence[str] | None = None) -> DataFrame:
+    """Rows of all runs, or of some of them, with ``run_id``; other runs' files are not read."""
+    spark_schema = spark.read.parquet(path).schema
+    fields = [f for f in spark_schema.fields if f.name != "run_id"]
+    rows = spark.read.schema(StructType([*fields, StructField("run_id", StringType())])).parquet(path)
+    return rows if runs is None else rows.filter(F.col("run_id").isin(list(runs)))
+
+
 def run_record(
     df: DataFrame, id: str, label: str, features: Sequence[str], params: Mapping[str, Any]
 ) -> DataFrame:

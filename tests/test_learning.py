@@ -36,10 +36,10 @@ def test_no_entity_in_two_splits_and_shares_hold(spark):
 
 def test_undersample_takes_exactly_n(spark):
     rows = spark.range(5000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
-    out = n.undersample(rows, "y", 1000, ["id"], buckets=8)
+    out = n.undersample(rows, "y", 1000, ["id"])
     assert out.filter("y = 1").count() == 500
     assert out.filter("y = 0").count() == 1000 and out.distinct().count() == 1500
-    again = n.undersample(rows.repartition(11), "y", 1000, ["id"], buckets=8)
+    again = n.undersample(rows.repartition(11), "y", 1000, ["id"])
     assert again.exceptAll(out).count() == 0
     assert n.undersample(rows, "y", 10**6, ["id"]).count() == 5000
     assert n.undersample(rows, "y", 0, ["id"]).count() == 500
@@ -214,3 +214,27 @@ def test_one_pass_sends_sums_only(spark):
     df = spark.range(100_000).selectExpr("rand(1) as a", "cast(rand(2) > 0.5 as int) as y")
     sums = newton_sums(df, ["a"], "y", np.zeros(2), 0.0)
     assert sums.rows == 100_000 and sums.gram.shape == (2, 2) and abs(sums.loss - 100_000 * np.log(2)) < 1e-6
+
+
+def test_undersample_takes_the_smallest_hashes(spark):
+    rows = spark.range(5000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
+    for fn in ("xxhash64", "multiplicative"):
+        taken = n.undersample(rows, "y", 700, ["id"], fn=fn).filter("y = 0")
+        hashed = rows.filter("y = 0").withColumn("h", n.row_hash(["id"], 42, fn)).orderBy("h", "id").limit(700)
+        assert {r["id"] for r in taken.collect()} == {r["id"] for r in hashed.collect()}
+
+
+def test_too_many_categories_are_an_error(spark):
+    rows = spark.range(50).selectExpr("cast(id as string) as free")
+    with pytest.raises(ValueError, match="one_hot_rows"):
+        n.find_categories(rows, ["free"], most=49)
+    assert len(n.find_categories(rows, ["free"], most=50)["free"]) == 50
+
+
+def test_harmonized_names_occur_once(spark):
+    from slotwise.operators.cleaning import harmonize_columns
+
+    both = spark.createDataFrame([(1, 2)], "old int, new int")
+    with pytest.raises(ValueError, match="new"):
+        harmonize_columns(both, {"old": "new"})
+    assert harmonize_columns(both, {"old": "third", "absent": "new"}).columns == ["third", "new"]

@@ -84,3 +84,24 @@ def test_one_hot_does_not_depend_on_the_columns_listed(spark):
     assert n.find_categories(rows, ["a"])["a"] == n.find_categories(rows, ["a", "b"])["a"]
     long = n.one_hot_rows(rows, "id", ["a", "b"])
     assert long.count() == 3000 and long.filter("feature = 'a_7'").first()["id"] == 7
+
+
+def test_top_values_are_exact_whatever_the_summary_holds(spark):
+    import random
+    from collections import Counter
+
+    from slotwise.operators.quality import frequent_values, top_values
+
+    random.seed(4)
+    rows = [(str(int(random.paretovariate(0.6))), i, "a" if i % 3 else None, None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "heavy string, unique long, few string, none string").repartition(5)
+    for capacity in (4, 64, 4096):
+        got = [tuple(r) for r in top_values(df, ["heavy", "few", "none"], 6, capacity).orderBy("feature", "rank").collect()]
+        heavy = sorted(Counter(r[0] for r in rows).items(), key=lambda x: (-x[1], x[0]))[:6]
+        assert got == [("few", 1, "a", 4000)] + [("heavy", i + 1, v, n) for i, (v, n) in enumerate(heavy)]
+        summary = {(r["feature"], r["value"]): r["least"] for r in frequent_values(df, ["heavy"], capacity).collect()}
+        error = summary.pop(("heavy", None))
+        for v, n in Counter(r[0] for r in rows).items():
+            assert summary.get(("heavy", v), 0) <= n <= summary.get(("heavy", v), 0) + error
+    unique = top_values(df, ["unique"], 2, 1 << 16).orderBy("rank").collect()
+    assert [(r["value"], r["n"]) for r in unique] == [("0", 1), ("1", 1)]

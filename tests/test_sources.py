@@ -1,5 +1,6 @@
 """Files, tables, run records."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from slotwise.dictionaries import LEGACY_NAMES
@@ -88,3 +89,37 @@ def test_stored_tables_live_in_the_shared_folder(spark):
     assert scan.count() == 10
     folder = shared_folder(spark).rsplit("/", 1)[-1]
     assert all(f"/{folder}/table-" in name for name in scan.inputFiles())
+
+
+def files_under(folder):
+    from pathlib import Path
+
+    return [p for p in Path(folder.removeprefix("file:")).rglob("*") if p.is_file()]
+
+
+def test_workspace_deletes_what_was_stored_in_it(spark):
+    from slotwise.session import stored, workspace
+
+    with workspace(spark) as folder:
+        assert stored(spark.range(5)).count() == 5 and files_under(folder)
+        with workspace(spark) as inner:
+            stored(spark.range(3))
+        assert not files_under(inner) and files_under(folder)
+    assert not files_under(folder)
+    with pytest.raises(RuntimeError), workspace(spark) as failed:
+        stored(spark.range(5))
+        raise RuntimeError
+    assert not files_under(failed)
+    outside = stored(spark.range(2))
+    assert outside.count() == 2
+
+
+def test_report_of_a_run_replaces_itself_only(spark, tmp_path):
+    from slotwise.sources import append_report, read_report
+
+    path = str(tmp_path / "report")
+    append_report(spark.range(4), path, "a")
+    append_report(spark.range(2), path, "b")
+    append_report(spark.range(3), path, "a")
+    assert read_report(spark, path).groupBy("run_id").count().orderBy("run_id").collect() == [("a", 3), ("b", 2)]
+    assert read_report(spark, path, ["b"]).count() == 2
