@@ -36,17 +36,14 @@ def _in_slices(
 ) -> DataFrame:
     """Pairs of a stay and an event with equal keys whose time lies in the slices from ``first`` to ``last``.
 
-    An event lies in one slice; a window is entered in each slice it touches, clipped to the time
-    that events cover.  The join is by key and slice, so the windows and events of one key are
-    spread over the tasks and no slice pairs more than its own rows.
+    An event lies in one slice; a window is entered in each slice it touches (a hundred years are
+    5,218 weeks).  Without ``first`` it begins with the earliest event.  The join is by key and
+    slice, so the windows and events of one key are spread over the tasks and no slice pairs
+    more than its own rows.
     """
-    covered = events.agg(F.min(time).alias("low"), F.max(time).alias("high"))
-    low, high = covered.select("low").scalar(), covered.select("high").scalar()
-    begin = low if first is None else F.greatest(first, low)
-    windows = stays.withColumns({"_from": begin, "_to": F.least(F.col(last), high)})
-    if first is not None:
-        windows = windows.filter(first.isNotNull())
-    windows = windows.filter(F.col(last).isNotNull() & (F.col("_from") <= F.col("_to")))
+    begin = events.agg(F.min(time)).scalar() if first is None else first
+    windows = stays.withColumns({"_from": begin, "_to": F.col(last)})
+    windows = windows.filter(F.col("_from") <= F.col("_to"))
     start, end = slot_floor(F.col("_from"), width), slot_floor(F.col("_to"), width)
     steps = F.explode(F.sequence(F.lit(0).cast("long"), slots_between(start, end, width).cast("long")))
     windows = windows.withColumns({"_from": start, "_k": steps})
