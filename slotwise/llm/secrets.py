@@ -182,6 +182,13 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
         fresh = (s["start"] >= acc["at"]) | (acc["at"] == 0)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(before, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
 
+    def block(acc: Column, first: Column) -> Column:
+        """Texts and marks of some spans: arrays that grow are short ones."""
+        begun = F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+        inner = F.aggregate(F.slice(found, first + 1, F.lit(_BLOCK)), begun, step)
+        return _bound(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
+
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, done)).otherwise(text)
+    blocks = F.sequence(F.lit(0), F.size(found) - 1, F.lit(_BLOCK))
+    return F.when(F.size(found) > 0, F.aggregate(blocks, start, block, done)).otherwise(text)
