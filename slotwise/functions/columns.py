@@ -52,6 +52,11 @@ def slot_after(first: Column, steps: Column, width: str) -> Column:
     return F.timestamp_add("MICROSECOND", steps * _micros_of(width), first)
 
 
+def slot_number(time: Column, width: str) -> Column:
+    """Number of the slot that contains ``time``, counted from the epoch; neighbouring slots differ by one."""
+    return slots_between(_epoch(), time.cast("timestamp_ntz"), width)
+
+
 def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 

@@ -62,13 +62,14 @@ def fit_neighbour_classifier(
     lags: Sequence[int] = (1, 0, -1),
     max_iter: int = 50,
     l2: float = 1.0,
+    width: str | None = None,
 ) -> LogisticModel:
-    """A logistic model of the previous, current and next step.
+    """A logistic model of the previous, current and next step; ``width`` as for ``neighbour_features``.
 
     Without dropout and inner activation, a width-3 convolution followed by a dense layer is one
     linear map of these three steps.
     """
-    wide = neighbour_features(df, id, time, feats, lags)
+    wide = neighbour_features(df, id, time, feats, lags, width=width)
     cols = neighbour_names(feats, lags)
     return fit_logistic(wide, cols, label, l2, max_iter)
 

@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.functions.columns import named, slot_after, slot_of, slots_between
+from slotwise.functions.columns import named, slot_after, slot_number, slot_of, slots_between
 from slotwise.session import stored
 
 #: Slots that one row is exploded to at a time; longer gaps take two levels.
 GAP_BLOCK = 1000
 
+#: Slots of one id that a window group holds, besides the few copied from its neighbours.
+SLOT_BLOCK = 1000
+
 
 def fuse_measure(
     sources: Sequence[tuple[DataFrame, str]], keys: Sequence[str], out: str
@@ -128,12 +131,11 @@ def resample(
     Numeric columns take the mean of a slot and discrete ones the largest value.  With
     ``fill_gaps`` the empty slots between an id's first and last one appear with nulls.
 
-    Rows are reduced to slots before they are shuffled.  Gaps are then filled by looking at the
-    next occupied slot of the same id, so the rows of a group are at most the slots of an id's
-    time span, however many raw rows the id has.  Gaps of any length are
-    filled, first by blocks of slots and then inside each block; ``long_gaps`` reports them.
+    Rows are reduced to slots before they are shuffled.  The grid itself is laid out from each id's
+    first and last slot, by blocks of slots and then inside each block, and the occupied slots are joined
+    to it by id and slot, so neither an id with very many rows nor a gap of any length meets in one
+    task; ``long_gaps`` reports such gaps.
     """
-    measures = [*numeric, *discrete]
     slots = (
         df.filter(F.col(id).isNotNull())
         .groupBy(id, slot_of(time, width).alias(slot))
@@ -141,18 +143,15 @@ def resample(
     )
     if not fill_gaps:
         return slots
-    following = F.lead(slot).over(W.partitionBy(id).orderBy(slot))
-    steps = F.coalesce(slots_between(F.col(slot), F.col("_next"), width), F.lit(1))
-    gaps = slots.withColumn("_next", following).withColumn("_steps", steps)
-    block = F.explode(F.sequence(F.lit(0), (F.col("_steps") - 1).cast("long"), F.lit(GAP_BLOCK))).alias("_first")
-    blocks = gaps.select(id, slot, *measures, "_steps", block)
-    last = F.least(F.col("_first") + GAP_BLOCK, F.col("_steps")) - 1
-    filled = blocks.select(id, slot, *measures, F.explode(F.sequence(F.col("_first"), last)).alias("_k"))
-    return filled.select(
-        id,
-        slot_after(F.col(slot), F.col("_k"), width).alias(slot),
-        *[F.when(F.col("_k") == 0, F.col(c)).alias(c) for c in measures],
-    )
+    spans = slots.groupBy(id).agg(F.min(slot).alias("_start"), F.max(slot).alias("_end"))
+    last = slots_between(F.col("_start"), F.col("_end"), width).alias("_last")
+    spans = spans.filter(F.col("_start").isNotNull()).select(id, "_start", last)
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(GAP_BLOCK).cast("long")))
+    blocks = spans.select("*", block.alias("_first")).repartition(id, "_first")
+    step = F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + GAP_BLOCK - 1, F.col("_last"))))
+    grid = blocks.select(id, "_start", step.alias("_k"))
+    grid = grid.select(id, slot_after(F.col("_start"), F.col("_k"), width).alias(slot))
+    return grid.join(slots, [id, slot], "left").select(id, slot, *numeric, *discrete)
 
 
 def long_gaps(df: DataFrame, id: str, time: str, slots: int, width: str = "6 hours") -> DataFrame:
@@ -172,6 +171,7 @@ def shift_label(
     steps: int = 8,
     binary: bool = True,
     horizon: str | None = None,
+    width: str | None = None,
 ) -> DataFrame:
     """Replace the label by the one ``steps`` rows ahead of the same id.
 
@@ -180,11 +180,16 @@ def shift_label(
     time.  With ``horizon`` the label must lie exactly that far ahead in time, and rows for
     which that slot is missing are dropped.
 
-    The input must be a slot grid (one row per id and slot, as ``resample`` makes): a group is
-    then bounded by the slots of an id's time span.
+    The input must be a slot grid (one row per id and slot, as ``resample`` makes).  With ``width``, the
+    width of its slots, the label must lie exactly ``steps`` slots ahead, which is the same on a
+    gap-free grid, and an id's slots are cut into blocks for many tasks.  Without it rows are counted
+    and an id's whole grid is one group.  Rows without a time have no label ahead.
     """
     current = F.coalesce(F.col(label), F.lit(0))
-    if horizon is None:
+    if horizon is None and width is not None:
+        shifted = _beside(df, id, time, width, {"_ahead": steps}, current.alias("value"))
+        shifted = shifted.filter(F.col("_ahead").isNotNull()).withColumn(label, F.col("_ahead.value"))
+    elif horizon is None:
         order = W.partitionBy(id).orderBy(time)
         shifted = df.withColumn(label, F.lead(current, steps).over(order))
         shifted = shifted.filter(F.col(label).isNotNull())
@@ -204,6 +209,7 @@ def neighbour_features(
     cols: Sequence[str],
     lags: Sequence[int] = (1, 0, -1),
     default: float = 0.0,
+    width: str | None = None,
 ) -> DataFrame:
     """Add the values of neighbouring steps as columns ``<c>_lag<k>`` / ``<c>_lead<k>``.
 
@@ -211,23 +217,57 @@ def neighbour_features(
     (previous, current, next) is what a centred convolution of width 3 sees, and it leaks one
     future slot into each row.  ``lags=(0, 1, 2)`` is the causal form.
 
-    The input must be a slot grid, as for ``shift_label``.
+    The input must be a slot grid, as for ``shift_label``, and ``width`` is the width of its slots: with it,
+    steps are slots and an id's slots are cut into blocks for many tasks.
     """
+    wanted = [k for k in lags if k != 0]
     order = W.partitionBy(id).orderBy(time)
 
-    def neighbour(c: str, k: int) -> Column:
-        value = named(c)
-        shifted = F.lag(value, k, default) if k > 0 else F.lead(value, -k, default)
-        return shifted.over(order)
-
-    return df.withColumns(
-        {
-            f"{c}_{'lag' if k > 0 else 'lead'}{abs(k)}": neighbour(c, k)
-            for c in cols
-            for k in lags
-            if k != 0
-        }
-    )
+    def title(c: str, k: int) -> str:
+        return f"{c}_{'lag' if k > 0 else 'lead'}{abs(k)}"
+
+    if width is None:
+        def neighbour(c: str, k: int) -> Column:
+            value = named(c)
+            shifted = F.lag(value, k, default) if k > 0 else F.lead(value, -k, default)
+            return shifted.over(order)
+
+        return df.withColumns({title(c, k): neighbour(c, k) for c in cols for k in wanted})
+
+    values = [named(c).alias(f"v{i}") for i, c in enumerate(cols)]
+    rows = _beside(df, id, time, width, {f"_at{j}": -k for j, k in enumerate(wanted)}, *values)
+
+    def found(i: int, j: int) -> Column:
+        outside = F.lit(default).cast(df.select(named(cols[i])).schema[0].dataType)
+        return F.when(F.col(f"_at{j}").isNull(), outside).otherwise(F.col(f"_at{j}.v{i}"))
+
+    added = {title(c, k): found(i, j) for i, c in enumerate(cols) for j, k in enumerate(wanted)}
+    return rows.withColumns(added).drop(*[f"_at{j}" for j in range(len(wanted))])
+
+
+def _beside(
+    df: DataFrame, id: str, time: str, width: str, offsets: Mapping[str, int], *values: Column
+) -> DataFrame:
+    """Add one column per offset: ``values`` of the same id's row that many slots ahead (behind, where
+    negative), as a struct that is null when there is no such row.
+
+    An id's slots are cut into blocks of ``SLOT_BLOCK``.  A row goes to its own block and to those of the rows
+    that look at it, so each block finds all it needs in one task and only rows near a border are copied.
+    """
+    rows = df.withColumn("_slot", slot_number(F.col(time), width))
+
+    def block(ahead: int) -> Column:
+        return F.floor((F.col("_slot") - ahead) / SLOT_BLOCK)
+
+    homes = F.array_distinct(F.array(block(0), *[block(k) for k in offsets.values()]))
+    copies = rows.withColumn("_values", F.struct("_slot", *values)).withColumn("_block", F.explode(homes))
+    order = W.partitionBy(id, "_block").orderBy("_slot")
+    seen = {
+        name: F.when(F.col("_slot").isNotNull(), F.first("_values").over(order.rangeBetween(k, k)))
+        for name, k in offsets.items()
+    }
+    own = copies.withColumns(seen).filter(F.col("_block").eqNullSafe(block(0)))
+    return own.select(*map(named, df.columns), *offsets)
 
 
 def presented(df: DataFrame, id: str, time: str) -> DataFrame:

@@ -187,7 +187,7 @@ def fit_score_evaluate(spark, sf):
     """From the labelled grid to the measures of what was held out: fit, score, evaluate."""
     data, model = _fitted(spark, sf, _fit_near)
     held_out = data.rows.filter(F.col("split") != "train")
-    scored = m.score(model, neighbour_features(held_out, "id", "slot", MEASURES))
+    scored = m.score(model, neighbour_features(held_out, "id", "slot", MEASURES, width="6 hours"))
     out = evaluate(stored(scored.select("id", F.col("stage").alias("y"), "p")))
     names = [*RATE_NAMES, "roc_auc", "pr_auc", "best_threshold", "best_tpr", "best_fpr"]
     return rounded(out, *names, digits=8)

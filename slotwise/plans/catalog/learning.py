@@ -27,7 +27,7 @@ FILLED = f"""{GRID}, {LABELLED}, filled AS (
 
 
 def labelled_of(spark, sf):
-    return shift_label(grid_of(spark, sf), "id", "slot", "stage", 8)
+    return shift_label(grid_of(spark, sf), "id", "slot", "stage", 8, width="6 hours")
 
 
 @query(
@@ -209,7 +209,9 @@ def _scaled(col: str) -> str:
     SELECT id, slot, stage, split, {", ".join(_scaled(x) for x in MEASURES)} FROM filled""",
 )
 def supervised(spark, sf):
-    data = supervised_set(grid_of(spark, sf), "id", "slot", "stage", MEASURES, fn="arithmetic")
+    data = supervised_set(
+        grid_of(spark, sf), "id", "slot", "stage", MEASURES, fn="arithmetic", width="6 hours"
+    )
     return rounded(data.rows, *MEASURES)
 
 
@@ -275,7 +277,9 @@ def one_hot_label(spark, sf):
       count(DISTINCT id) AS n_ids FROM filled, longest GROUP BY 1, 2, 3, 4""",
 )
 def sequence_shapes(spark, sf):
-    data = supervised_set(grid_of(spark, sf), "id", "slot", "stage", MEASURES, fn="arithmetic")
+    data = supervised_set(
+        grid_of(spark, sf), "id", "slot", "stage", MEASURES, fn="arithmetic", width="6 hours"
+    )
     parts = [
         data.sequences(name).select(
             F.lit(name).alias("split"),
@@ -326,7 +330,9 @@ FIT_NEAR = f"near_train AS (SELECT * FROM wide WHERE split = 'train'), {_fit_sql
 
 
 def _fitted(spark, sf, fit):
-    data = supervised_set(grid_of(spark, sf), "id", "slot", "stage", MEASURES, fn="arithmetic")
+    data = supervised_set(
+        grid_of(spark, sf), "id", "slot", "stage", MEASURES, fn="arithmetic", width="6 hours"
+    )
     return data, fit(data.split("train"))
 
 
@@ -335,7 +341,7 @@ def _fit_step(train):
 
 
 def _fit_near(train):
-    return m.fit_neighbour_classifier(train, "id", "slot", MEASURES, "stage")
+    return m.fit_neighbour_classifier(train, "id", "slot", MEASURES, "stage", width="6 hours")
 
 
 @query(
@@ -355,7 +361,7 @@ def step_classifier(spark, sf):
 )
 def neighbour_classifier(spark, sf):
     data, model = _fitted(spark, sf, _fit_near)
-    wide = neighbour_features(data.split("test"), "id", "slot", MEASURES)
+    wide = neighbour_features(data.split("test"), "id", "slot", MEASURES, width="6 hours")
     return rounded(m.score(model, wide).select("id", "slot", "stage", "p"), "p")
 
 
@@ -380,7 +386,7 @@ def select_by_auc(spark, sf):
     data, step = _fitted(spark, sf, _fit_step)
 
     def wide(split):
-        return neighbour_features(data.split(split), "id", "slot", MEASURES)
+        return neighbour_features(data.split(split), "id", "slot", MEASURES, width="6 hours")
 
     models = {"step": step, "near": _fit_near(data.split("train"))}
     best, _ = m.select_by_auc(models, wide("val"), "stage")
@@ -421,7 +427,7 @@ def cohort_to_supervised(spark, sf):
 
     One row per split with its size and the number of features.
     """
-    data = supervised_set(flagged_stays(spark, sf))
+    data = supervised_set(flagged_stays(spark, sf), width="6 hours")
     return data.rows.groupBy("split").agg(
         F.count("*").alias("n_rows"),
         F.count_distinct("stay_id").alias("n_ids"),

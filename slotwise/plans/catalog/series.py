@@ -364,7 +364,7 @@ LABELLED = """labelled AS (
 
 @query("shift_label", f"WITH {GRID}, {LABELLED} SELECT {GRID_COLS} FROM labelled")
 def shift_label(spark, sf):
-    return rounded(s.shift_label(grid_of(spark, sf), "id", "slot", "stage", 8), *MEASURES)
+    return rounded(s.shift_label(grid_of(spark, sf), "id", "slot", "stage", 8, width="6 hours"), *MEASURES)
 
 
 @query(
@@ -388,7 +388,7 @@ def shift_label_by_time(spark, sf):
 )
 def neighbour_features(spark, sf):
     grid = grid_of(spark, sf).select("id", "slot", "click")
-    out = s.neighbour_features(grid, "id", "slot", ["click"])
+    out = s.neighbour_features(grid, "id", "slot", ["click"], width="6 hours")
     return rounded(out, "click", "click_lag1", "click_lead1")
 
 
@@ -401,7 +401,7 @@ def neighbour_features(spark, sf):
 )
 def neighbour_features_causal(spark, sf):
     grid = grid_of(spark, sf).select("id", "slot", "click")
-    out = s.neighbour_features(grid, "id", "slot", ["click"], lags=(0, 1, 2))
+    out = s.neighbour_features(grid, "id", "slot", ["click"], lags=(0, 1, 2), width="6 hours")
     return rounded(out, "click", "click_lag1", "click_lag2")
 
 

@@ -61,14 +61,19 @@ def supervised_set(
     seed: int = 8888,
     include_padding: bool = True,
     fn: str = "xxhash64",
+    width: str | None = None,
 ) -> SupervisedSet:
     """Shift the label, fill gaps with zero, split by entity and scale by the training split.
 
+    ``width`` is the width of the grid's slots; with it labels are shifted by blocks of slots, so that one
+    long entity uses many tasks.
+
     The labelled rows are stored once; the statistics, the longest series and every later use
     read that table.
     """
     feats = list(features or feature_columns(grid, [id, time, label]))
-    labelled = shift_label(grid.select(id, time, label, *map(quoted, feats)), id, time, label, steps)
+    narrow = grid.select(id, time, label, *map(quoted, feats))
+    labelled = shift_label(narrow, id, time, label, steps, width=width)
     filled = impute_constant(labelled, 0, feats)
     split = stored(split_by_id(filled, id, weights, seed, fn))
     train = get_split(split, "train")

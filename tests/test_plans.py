@@ -74,13 +74,25 @@ def test_alignment_is_one_shuffle(spark):
     assert len(shuffles(plan_of(s.align_series(frames, keys)))) == 1
 
 
-def test_grid_label_and_neighbours_share_one_partitioning(spark):
+def windows_of(plan: str) -> list[str]:
+    """Partition columns of each window of a plan, without the numbers of expressions."""
+    return [re.sub(r"#\d+L?", "", w) for w in re.findall(r"Window \[.*\], \[([^\]]*)\], \[[^\]]*\]", plan)]
+
+
+def test_no_window_by_the_id_alone(spark):
     grid = s.resample(src.series(spark, FOLDER), "id", "time", numeric=["click"], discrete=["stage"])
-    labelled = s.shift_label(grid, "id", "slot", "stage")
-    wide = s.neighbour_features(labelled, "id", "slot", ["click"])
-    found = shuffles(plan_of(wide))
-    # one for the slots, after a partial aggregation, and one by id for all three windows
-    assert len(found) == 2 and sum("grouping" in f for f in found) == 1
+    assert windows_of(plan_of(grid)) == []
+    labelled = s.shift_label(grid, "id", "slot", "stage", width="6 hours")
+    wide = s.neighbour_features(labelled, "id", "slot", ["click"], width="6 hours")
+    assert windows_of(plan_of(wide)) == ["id, _block"] * 2
+    whole = s.shift_label(grid, "id", "slot", "stage")
+    assert windows_of(plan_of(whole)) == ["id"]
+
+
+def test_label_and_neighbours_shuffle_once_each(spark):
+    grid = spark.read.parquet(f"{FOLDER}/events.parquet").selectExpr("user_id AS id", "ts AS slot", "value AS stage")
+    assert len(shuffles(plan_of(s.shift_label(grid, "id", "slot", "stage", width="6 hours")))) == 1
+    assert len(shuffles(plan_of(s.neighbour_features(grid, "id", "slot", ["stage"], width="6 hours")))) == 1
 
 
 def test_last_steps_are_cut_before_the_shuffle(spark):

@@ -221,6 +221,39 @@ def test_neighbours_keep_nulls_inside_and_default_outside(spark):
     assert rows_of(out) == [(at(), 0.0, None), (at(6), 1.0, 3.0), (at(12), None, 0.0)]
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_blocks_of_slots_give_what_whole_series_give(spark, monkeypatch, block):
+    monkeypatch.setattr(s, "SLOT_BLOCK", block)
+    rng = random.Random(block)
+    rows = [
+        (id, at(6 * (i - 9)), rng.choice([None, float(i)]), rng.choice([None, 0, 1, 2]))
+        for id, n in ((1, 40), (2, 1), (3, 8), (None, 12)) for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, SERIES).repartition(4)
+    whole = s.shift_label(df, "id", "time", "stage", binary=False)
+    cut = s.shift_label(df, "id", "time", "stage", binary=False, width="6 hours")
+    assert rows_of(cut.na.fill(-1)) == rows_of(whole.na.fill(-1)) and cut.columns == whole.columns
+    lags = (2, 1, 0, -1, -11)
+    whole = s.neighbour_features(df, "id", "time", ["a", "stage"], lags)
+    cut = s.neighbour_features(df, "id", "time", ["a", "stage"], lags, width="6 hours")
+    assert rows_of(cut.na.fill(-1)) == rows_of(whole.na.fill(-1)) and cut.columns == whole.columns
+    assert cut.dtypes == whole.dtypes
+
+
+def test_steps_are_slots_when_the_width_is_known(spark):
+    rows = [(1, at(), 1.0, 1), (1, at(12), 3.0, 3), (1, at(18), 4.0, 0), (1, None, 9.0, 2)]
+    df = spark.createDataFrame(rows, SERIES)
+    shifted = s.shift_label(df, "id", "time", "stage", 2, binary=False, width="6 hours")
+    assert rows_of(shifted) == [(1, at(), 1.0, 3)]
+    near = s.neighbour_features(df, "id", "time", ["a"], width="6 hours").filter("time IS NOT NULL")
+    assert rows_of(near.select("time", "a_lag1", "a_lead1")) == [
+        (at(), 0.0, 0.0), (at(12), 0.0, 4.0), (at(18), 3.0, 0.0),
+    ]
+    empty = df.limit(0)
+    assert s.shift_label(empty, "id", "time", "stage", width="6 hours").count() == 0
+    assert s.resample(empty, "id", "time", numeric=["a"]).count() == 0
+
+
 def test_aggregates(spark):
     rows = spark.createDataFrame(
         [(1, at(2), 4.0, 0), (1, at(1), None, 0), (1, at(3), 0.0, 2), (2, at(), 0.0, 0)], SERIES
