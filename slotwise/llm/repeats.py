@@ -27,6 +27,8 @@ from slotwise.llm.common import documents_of, partitions_of, stored
 LENGTH, GRAM, LARGE = 200, 32, 2000
 #: Grams whose hashes are worked on together; their places fit the low bits of a packed hash.
 PORTION = 1 << 16
+#: Texts whose segments are gathered before they leave a task, and segments of one suffix array (whole anchors).
+ROWS, SEGMENTS = 500, 1500
 #: Three ranks below this fit one number.
 TRIPLED = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +77,7 @@ def segment_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     """(anchor, digest, uid, start, end) of all segments of ``docs`` (uid, a pair of longs, and text binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             parts: list[list] = [[], [], [], [], [], []]
             for doc, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 text = text.as_py()
@@ -188,7 +190,7 @@ def _ranges_of_groups(parts: DataFrame, length: int) -> DataFrame:
     """(anchor, digest, from, to) of the repeats among different segments of one anchor; ``parts`` has anchor, digest, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in whole_groups(batches, 1, 4000):
+        for table, _ in whole_groups(batches, 1, SEGMENTS):
             found = repeated_ranges(table.column(2).to_pylist(), length)
             rows = np.repeat(np.arange(table.num_rows), [len(x) for x in found])
             flat = [r for x in found for r in x]
