@@ -27,8 +27,8 @@ from slotwise.llm.common import documents_of, partitions_of, stored
 LENGTH, GRAM, LARGE = 200, 32, 2000
 #: Grams whose hashes are worked on together; their places fit the low bits of a packed hash.
 PORTION = 1 << 16
-#: Texts whose segments are gathered before they leave a task, and segments of one suffix array (whole anchors).
-ROWS, SEGMENTS = 500, 1500
+#: Texts whose segments or remains are gathered before they leave a task, and segments of one suffix array (whole anchors).
+ROWS, SEGMENTS = 500, 1000
 #: Three ranks below this fit one number.
 TRIPLED = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -99,22 +99,22 @@ def suffix_array(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     """
     sizes = np.array([len(p) for p in parts])
     firsts = np.cumsum(sizes + 1) - sizes - 1
-    signs = np.zeros(int(sizes.sum()) + len(parts), np.int64)  # 0 ends a part
+    signs = np.zeros(int(sizes.sum()) + len(parts), np.int16)  # 0 ends a part
     for p, at in zip(parts, firsts, strict=True):
         signs[at : at + len(p)] = np.frombuffer(p, np.uint8)
         signs[at : at + len(p)] += 1
     n, widths, ranks = len(signs), [7], []
-    padded, key = np.concatenate([signs, np.zeros(7, np.int64)]), np.zeros(n, np.int64)
+    padded, key = np.concatenate([signs, np.zeros(7, np.int16)]), np.zeros(n, np.int64)
     for i in range(7):
         key = (key << 9) | padded[i : i + n]
-    ranks.append(np.unique(key, return_inverse=True)[1])
+    ranks.append(np.unique(key, return_inverse=True)[1].astype(np.int32))
     times = 3 if n < TRIPLED else 2  # ranks put side by side in one number
     while widths[-1] <= sizes.max():
         w, r = widths[-1], ranks[-1]
-        key = r
+        key = r.astype(np.int64)
         for i in range(1, times):
-            key = key * (n + 2) + np.concatenate([r[i * w :], np.full(min(i * w, n), -1)])[:n] + 1
-        ranks.append(np.unique(key, return_inverse=True)[1])
+            key = key * (n + 2) + np.concatenate([r[i * w :], np.full(min(i * w, n), -1, np.int32)])[:n] + 1
+        ranks.append(np.unique(key, return_inverse=True)[1].astype(np.int32))
         widths.append(times * w)
     counts = np.maximum(0, sizes - length + 1)
     part = np.repeat(np.arange(len(parts)), counts)
@@ -272,7 +272,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     numbered = numbered.join(whole, "uid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS)):
             spans_of, kept, sizes, starts, ends, counts = b.column(2), [], [], [], [], []
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py()
