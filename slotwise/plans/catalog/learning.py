@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from slotwise.dictionaries import RACE_GROUPS
@@ -14,7 +16,15 @@ from slotwise.plans import inputs as src
 from slotwise.plans import features as f
 from slotwise.plans.catalog.events import lab_pivot, staged_cohort, vital_pivot
 from slotwise.plans.catalog.registry import ADMISSIONS, COHORT, GRID, SERIES, query, rounded
-from slotwise.plans.catalog.series import LABELLED, MEASURES, grid_of
+from slotwise.plans.catalog.series import (
+    BUILT,
+    LABELLED,
+    LABS_LEFT,
+    MEASURES,
+    VITALS_LEFT,
+    build_ctes,
+    grid_of,
+)
 from slotwise.plans.cohort import stage_series, static_detail
 from slotwise.plans.learning import supervised_set
 from slotwise.session import stored
@@ -421,13 +431,60 @@ def flagged_stays(spark, sf):
     return f.attach_flags_static(grid, treatments, static)
 
 
-@query("cohort_to_supervised")
+#: Measures of the cohort's wide series.
+WHOLE = [*VITALS_LEFT, *LABS_LEFT, "glucose", "creatinine", "uo_rt_6hr", "uo_rt_12hr", "uo_rt_24hr"]
+
+
+def _exact(sql: str) -> str:
+    """Shared SQL without its rounding, as the steps in between don't round."""
+    return re.sub(r"round\((.+?), 6\)", r"\1", sql)
+
+
+def _inside_fences(col: str) -> str:
+    q1, q3 = (f"(SELECT quantile_cont({col}, {p}) FROM built)" for p in (0.25, 0.75))
+    spread = f"1.5 * ({q3} - {q1})"
+    return f"CASE WHEN {col} < {q1} - {spread} OR {col} > {q3} + {spread} THEN NULL ELSE {col} END AS {col}"
+
+
+#: The way from the cohort to the labelled grid.  Treatment flags and static columns add no row and drop none.
+LABELLED_STAYS = f"""{_exact(build_ctes("k.charttime"))}, built AS ({_exact(BUILT)}),
+masked AS (SELECT stay_id, charttime, aki_stage, {", ".join(map(_inside_fences, WHOLE))} FROM built),
+merged AS (
+  SELECT stay_id, charttime, max(aki_stage) AS stage, {", ".join(f"avg({x}) AS {x}" for x in WHOLE)}
+  FROM masked GROUP BY 1, 2 HAVING coalesce({", ".join(f"max({x})" for x in WHOLE)}, max(aki_stage)) IS NOT NULL),
+los AS (SELECT stay_id, epoch_us(max(charttime) - min(charttime)) / 86400000000 AS los FROM merged GROUP BY 1),
+inside AS (SELECT stay_id FROM los WHERE los > 2 AND los <= (SELECT quantile_cont(los, 0.95) FROM los)),
+presence AS (
+  SELECT stay_id, unnest([{", ".join(f"'{x}'" for x in WHOLE)}]) AS feature,
+    unnest([{", ".join(f"(count({x}) > 0)::INT" for x in WHOLE)}]) AS seen
+  FROM merged WHERE stay_id IN (SELECT stay_id FROM inside) GROUP BY 1),
+covered AS (SELECT feature FROM presence GROUP BY 1 HAVING avg(seen) >= 0.3),
+complete AS (
+  SELECT stay_id FROM presence WHERE feature IN (SELECT feature FROM covered) GROUP BY 1 HAVING avg(seen) >= 0.2),
+occupied AS (
+  SELECT stay_id AS id, time_bucket(INTERVAL '6 hours', charttime) AS slot, max(stage) AS stage
+  FROM merged WHERE stay_id IN (SELECT stay_id FROM complete) GROUP BY 1, 2),
+slots AS (
+  SELECT id, unnest(generate_series(min(slot), max(slot), INTERVAL 6 HOUR)) AS slot FROM occupied GROUP BY id),
+grid AS (SELECT slots.id, slots.slot, stage FROM slots LEFT JOIN occupied USING (id, slot)), {LABELLED}"""
+
+
+@query(
+    "cohort_to_supervised",
+    f"""WITH {LABELLED_STAYS}, {ADMISSIONS}, attributes AS (
+      SELECT gender, race, admission_type FROM detail LEFT JOIN admissions USING (hadm_id)
+      WHERE stay_id IN (SELECT stay_id FROM cohort))
+    SELECT {SPLIT} AS split, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(stage)::BIGINT AS n_positive,
+      ((SELECT count(*) FROM covered) + 5 + 1 + (SELECT count(DISTINCT gender) + count(DISTINCT race)
+        + count(DISTINCT admission_type) FROM attributes))::INT AS n_features
+    FROM labelled GROUP BY 1""",
+)
 def cohort_to_supervised(spark, sf):
     """The whole way: cohort, measurements, grid, treatment flags, static attributes, labels.
 
     One row per split with its size and the number of features.
     """
-    data = supervised_set(flagged_stays(spark, sf), width="6 hours")
+    data = supervised_set(flagged_stays(spark, sf), fn="arithmetic", width="6 hours")
     return data.rows.groupBy("split").agg(
         F.count("*").alias("n_rows"),
         F.count_distinct("stay_id").alias("n_ids"),

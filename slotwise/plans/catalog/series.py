@@ -99,8 +99,9 @@ def _renamed(names):
     return ", ".join(f"{n}_mean AS {n}" for n in names)
 
 
-def _build_sql(time: str) -> str:
-    return f"""WITH {COHORT}, {LABEVENTS}, {LABELLED_LABS}, {CHARTEVENTS}, {LABELLED_VITALS},
+def build_ctes(time: str) -> str:
+    """The frames that make up the wide series of the cohort."""
+    return f"""{COHORT}, {LABEVENTS}, {LABELLED_LABS}, {CHARTEVENTS}, {LABELLED_VITALS},
     lp AS ({LAB_PIVOT}), vp AS ({VITAL_PIVOT}),
     v AS (SELECT hadm_id, stay_id, charttime, {_renamed(VITALS_LEFT)} FROM vp
       WHERE {_some(VITALS_LEFT)}),
@@ -119,8 +120,10 @@ def _build_sql(time: str) -> str:
       UNION SELECT hadm_id, stay_id, charttime, creatinine_mean FROM lp
       WHERE creatinine_mean IS NOT NULL),
     k AS (SELECT hadm_id, stay_id, charttime, uo_rt_6hr, uo_rt_12hr, uo_rt_24hr, aki_stage
-      FROM st)
-    SELECT hadm_id, stay_id, charttime, {", ".join(VITALS_LEFT + LABS_LEFT)},
+      FROM st)"""
+
+
+BUILT = f"""SELECT hadm_id, stay_id, charttime, {", ".join(VITALS_LEFT + LABS_LEFT)},
       glucose, creatinine, round(uo_rt_6hr, 6) AS uo_rt_6hr, round(uo_rt_12hr, 6) AS uo_rt_12hr,
       round(uo_rt_24hr, 6) AS uo_rt_24hr, aki_stage
     FROM v FULL JOIN l USING (hadm_id, stay_id, charttime)
@@ -129,6 +132,10 @@ def _build_sql(time: str) -> str:
       FULL JOIN k USING (hadm_id, stay_id, charttime)"""
 
 
+def _build_sql(time: str) -> str:
+    return f"WITH {build_ctes(time)} {BUILT}"
+
+
 @query("build_series", _build_sql("k.charttime"))
 def build_series(spark, sf):
     return _built(spark, sf, "charttime")
