@@ -222,8 +222,8 @@ def _ranges_of_windows(parts: DataFrame, length: int) -> DataFrame:
     return windows.join(common, "mark").select("anchor", "digest", "from", (F.col("from") + length).alias("to"))
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
-    """(uid, spans) of ``docs`` (uid, a pair of longs, and text binary): ranges of bytes, not merged, that lie in repeated windows."""
+def _anchored(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments whose anchor occurs again, the different ones among them with their numbers, and the bytes of those."""
     rows = stored(segment_rows(docs, length, gram))
     anchors = stored(rows.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("differ")).where("n > 1").drop("n"))
     members = stored(rows.join(anchors, "anchor"))
@@ -232,7 +232,73 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     wanted = kinds.groupBy("uid").agg(F.collect_list(F.struct("anchor", "digest", "start", "end")).alias("of"))
     texts = docs.join(wanted, "uid").select(F.explode("of").alias("s"), "text")
     parts = texts.select("s.anchor", "s.digest", F.substring("text", (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int")).alias("bytes"))
-    parts = stored(parts)
+    return members, kinds, stored(parts)
+
+
+def _single_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (doc_id, uid, text binary), the uids of rows alike in id and text, and one (uid, text) of each uid."""
+    uid = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("mark"))
+    numbered = documents_of(docs).select("doc_id", uid.alias("uid"), F.col("text").cast("binary").alias("text"))
+    again = stored(numbered.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid"))
+    single = numbered.join(again, "uid", "left_anti").select("uid", "text")
+    one_each = numbered.join(again, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text"))
+    return numbered, again, single.union(one_each)
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The groups of maximal repeats with all their occurrences: repeat, n_bytes, doc_id, start, one row for each occurrence.
+
+    ``repeat`` is a hash of the repeated bytes.  Repeats are maximal inside the segments of one anchor, so one
+    that is longer than a segment comes as several, which overlap.  Every string of ``length`` bytes that
+    occurs twice lies in a group with the same occurrences.  Suffix arrays hold different segments once; copies of them are
+    joined to the groups afterwards, so that a group of any size is rows, not a list.  Rows alike in id and
+    text count as one; null texts are empty and, like all texts below ``length`` bytes, have no row.  An anchor's
+    different segments are worked on in one task here, however many there are.
+    """
+    _, _, texts = _single_rows(docs)
+    members, kinds, parts = _anchored(texts, length, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in whole_groups(batches, 1, SEGMENTS):
+            own = table.column(2).to_pylist()
+            part, start, found = _maximal(own, length)
+            at = 0
+            while at < len(found):
+                rows: list[tuple[int, int, int, int]] = []
+                while at < len(found) and len(rows) < PORTION:
+                    depth, i, j = found[at]
+                    first = own[part[i]][start[i] : start[i] + depth]
+                    mark = xxhash.xxh3_64_intdigest(first) - (1 << 63)
+                    rows += [(int(p), mark, depth, int(x)) for p, x in zip(part[i : j + 1], start[i : j + 1], strict=True)]
+                    at += 1
+                place, mark, depth, x = (np.array(column, np.int64) for column in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(table.column(i).to_numpy()[place]) for i in (0, 1)], pa.array(mark), pa.array(depth), pa.array(x)],
+                    names=["anchor", "digest", "repeat", "n_bytes", "from"],
+                )
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [xxhash.xxh3_64_intdigest(x.as_py()) - (1 << 63) for x in b.column(2)]
+            sizes = [len(x.as_py()) for x in b.column(2)]
+            columns = [b.column(0), b.column(1), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array([0] * b.num_rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "digest", "repeat", "n_bytes", "from"])
+
+    schema = "anchor long, digest long, repeat long, n_bytes long, from long"
+    dealt = parts.repartition(partitions_of(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
+    among = dealt.select("anchor", "digest", "bytes").mapInArrow(run, schema)
+    copied = parts.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"])
+    copied = copied.select("anchor", "digest", "bytes").mapInArrow(whole, schema)
+    groups = stored(among.union(copied).distinct())
+    met = members.where("differ").join(groups, ["anchor", "digest"])
+    met = met.select("repeat", "n_bytes", "uid", (F.col("start") + F.col("from")).alias("start"))
+    alike = members.where("NOT differ").select(F.col("digest").bitwiseXOR(F.lit(-(1 << 63))).alias("repeat"), (F.col("end") - F.col("start")).alias("n_bytes"), "uid", "start")
+    return met.union(alike).select("repeat", "n_bytes", F.col("uid.doc").alias("doc_id"), "start")
+
+
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
+    """(uid, spans) of ``docs`` (uid, a pair of longs, and text binary): ranges of bytes, not merged, that lie in repeated windows."""
+    members, kinds, parts = _anchored(docs, length, gram)
     sizes = stored(kinds.groupBy("anchor").count().where(F.col("count") > large).select("anchor"))
     ranges = _ranges_of_groups(parts.join(sizes, "anchor", "left_anti"), length).union(_ranges_of_windows(parts.join(sizes, "anchor"), length))
     copied = kinds.where("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("from"), (F.col("end") - F.col("start")).alias("to"))
@@ -261,13 +327,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     of the text, the same on each read; rows alike in both are copies of each other: one of them is searched, and all
     lose the whole text if it has ``length`` bytes.
     """
-    rows = documents_of(docs)
-    uid = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("mark"))
-    numbered = rows.select("doc_id", uid.alias("uid"), F.col("text").cast("binary").alias("text"))
-    again = stored(numbered.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid"))
-    single = numbered.join(again, "uid", "left_anti").select("uid", "text")
-    one_each = numbered.join(again, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text"))
-    found = repeated_bytes(single.union(one_each), length, gram, large)
+    numbered, again, texts = _single_rows(docs)
+    found = repeated_bytes(texts, length, gram, large)
     whole = again.withColumn("whole", F.lit(True))
     numbered = numbered.join(whole, "uid", "left")
 
