@@ -20,8 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of all that links join; a link is a Jaccard similarity of 0.8 of five-word shingles."""
-    from slotwise.llm.minhash import keep_dissimilar
+    """The document with the smallest id of all that links join; a link is a Jaccard similarity of 0.8 of five-word shingles.
+
+    Candidates are found by SimHash segments and Hamming balls.
+    """
+    from slotwise.llm.wide_simhash import keep_dissimilar
 
     return keep_dissimilar(docs)
 

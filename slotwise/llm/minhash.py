@@ -10,7 +10,7 @@ comparison, so only buckets which still hold several components are compared in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -168,7 +168,12 @@ def similar_roots(heads: DataFrame, texts: DataFrame, block: int = BLOCK) -> Dat
     place = ["band", "key"]
     spread = heads.select("uid", F.posexplode("keys").alias(*place))
     shared = stored(spread.groupBy(*place).agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    members = stored(spread.join(shared, place))
+    return rooted_in(stored(spread.join(shared, place)), texts, block)
+
+
+def rooted_in(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(uid, root) for all that exact similarity joins within a bucket, of ``members`` (band, key, uid, b); ``b`` is the bucket's smallest."""
+    place = ["band", "key"]
     stars = stored(members.where("uid <> b").select(F.col("uid").alias("a"), "b").distinct())
     roots = stored(connected_components(stored(similar_pairs(stars, texts))).withColumnRenamed("node", "uid"))
     rooted = stored(members.select(*place, "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
@@ -186,16 +191,25 @@ def keep_dissimilar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     All columns are kept.  Among rows of one id the first stored stays; rows without an id come last.  Texts without
     words are copies of each other.
     """
+    return dissimilar_rows(docs, sketches, lambda heads, texts: similar_roots(heads, texts, block))
+
+
+def dissimilar_rows(docs: DataFrame, sketched: Callable[[DataFrame], DataFrame], rooted: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` without near-duplicates, as in ``keep_dissimilar``.
+
+    ``sketched`` gives (doc_id, uid, d0, d1, ...) of (doc_id, uid, text); ``rooted`` the (uid, root) of the similar ones
+    among its rows, one per digest, and their texts.
+    """
     (uid,) = fresh(docs, "uid")
     numbered = with_uid(docs, uid)
     plain = numbered.select("doc_id", "text", F.col(uid).alias("uid"))
-    marks = stored(sketches(plain))
+    marks = stored(sketched(plain))
     digest = ["d0", "d1"]
     classes = stored(marks.groupBy(*digest).agg(F.min("uid").alias("uid")))
-    heads = marks.select("uid", "keys").join(classes.select("uid"), "uid", "left_semi")
+    heads = marks.drop("doc_id", *digest).join(classes.select("uid"), "uid", "left_semi")
     texts = plain.select("uid", text_of("text").cast("binary").alias("text"))
-    roots = stored(similar_roots(heads, texts, block))
-    rooted = classes.join(roots, "uid", "left").select(*digest, F.coalesce("root", "uid").alias("root"))
-    rows = marks.select("doc_id", "uid", *digest).join(rooted, digest)
+    roots = stored(rooted(heads, texts))
+    named = classes.join(roots, "uid", "left").select(*digest, F.coalesce("root", "uid").alias("root"))
+    rows = marks.select("doc_id", "uid", *digest).join(named, digest)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("first"))
     return numbered.join(first.select(F.col("first.uid").alias(uid)), uid, "left_semi").drop(uid)
