@@ -37,17 +37,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, start, part = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
+        enc, start, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for b in batches:
             ids_of, texts_of = b.column(0), b.column(1)
             for first, texts in slices(texts_of):
-                ids = [x + end for x in enc.ids(texts)]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
+                own, counts = enc.joined(texts)
+                counts = counts + 1
+                ids, last = np.empty(len(own) + len(texts), "<u4"), np.zeros(len(own) + len(texts), bool)
+                last[np.cumsum(counts) - 1] = True
+                ids[last], ids[~last] = end_id, own
                 starts = start + np.cumsum(counts) - counts
                 start += int(counts.sum())
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), ids_of.slice(first, n), pa.array(starts), pa.array(counts), list_column(np.frombuffer(b"".join(ids), "<i4"), counts)],
+                    [pa.array(np.full(n, part, np.int32)), ids_of.slice(first, n), pa.array(starts), pa.array(counts), list_column(ids.view("<i4"), counts)],
                     schema=_ARROW,
                 )
 

@@ -12,7 +12,9 @@ import re
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces held per worker, in two generations: when the younger one is full it becomes the older one, which
 #: goes.  Memory is bounded, frequent pieces stay, and results don't change.
@@ -116,6 +118,29 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [self.encode(text) for text in texts]
 
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and their number for each text; each different piece is looked up once."""
+        whole = {i: self.encode(t) for i, t in enumerate(texts) if any(m in t for m in self.marks) or (self.spaced and "\0" in t)}
+        cut = ["" if i in whole else t for i, t in enumerate(texts)]
+        if self.spaced:
+            cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in cut]
+        else:
+            cut = [t.replace("\n", " ") for t in cut]
+        split = pc.split_pattern(pa.array(cut, pa.large_string()), "\0" if self.spaced else " ")
+        pieces, bounds = split.values.dictionary_encode(), split.offsets.to_numpy()
+        known = list(map(self.known.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False)))
+        at, odd = pieces.indices.to_numpy(), np.array([x is None for x in known], bool)
+        for i in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[at]), "right") - 1).tolist():
+            whole[i] = self._whole(texts[i])
+        size = np.array([len(x or b"") // 4 for x in known], np.int64)
+        pool, first, sizes = np.frombuffer(b"".join(x or b"" for x in known), "<u4"), np.cumsum(size) - size, size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids, edges = pool[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])], ends[bounds]
+        if whole:
+            parts = [np.frombuffer(whole[i], "<u4") if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, np.diff(edges)
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -34,6 +34,28 @@ def test_encoder_equals_the_tokenizer(path):
         assert list(np.frombuffer(ids, "<u4")) == reference.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_texts_encoded_together_look_each_piece_up_once(path):
+    random.seed(6)
+    signs = list("abcDÉ ß.,!'_ \n\t123日é\u200b\0")
+    texts = [*ODD, *["".join(random.choice(signs) for _ in range(random.randint(0, 60))) for _ in range(600)], *["some words here"] * 300]
+    encoder = Encoder(path, cache=40)
+    want = [encoder.encode(t) for t in texts]
+    for a, b in [(0, len(texts)), (len(texts) - 300, len(texts)), (0, 1), (0, 0)]:
+        ids, counts = encoder.joined(texts[a:b])
+        assert [x.tobytes() for x in np.split(ids, np.cumsum(counts))[:-1]] == want[a:b]
+    looked = []
+
+    class Watched(type(encoder.known)):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder.known = Watched(encoder.tokenizer, encoder.spaced, 40)
+    encoder.joined(["some words here"] * 300)
+    assert len(looked) == 3
+
+
 def test_token_files(spark, parquet_of, edges, tmp_path):
     docs = parquet_of([*edges, *ODD], first=5)
     path = str(tmp_path / "tokens")
