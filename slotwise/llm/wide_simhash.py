@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.buckets import BLOCK, in_blocks, linked, oversized
-from slotwise.llm.common import list_column, stored, text_of
+from slotwise.llm.buckets import BLOCK, Links, oversized, pairs, whole_groups
+from slotwise.llm.common import list_column, partitions_of, stored, text_of
 from slotwise.llm.components import connected_components
 from slotwise.llm.minhash import LEAST, dissimilar_rows, rooted_in, shingles
 
@@ -109,18 +109,102 @@ def _near(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return apart <= RADIUS
 
 
+def portions() -> list[tuple[int, int]]:
+    """Numbers of the segments that are shuffled at a time: one alone joins most of a large group, then ``TOGETHER``."""
+    cuts = [0, 1, *range(TOGETHER, SEGMENTS, TOGETHER), SEGMENTS]
+    return list(zip(cuts, cuts[1:]))  # noqa: B905
+
+
 def candidate_groups(heads: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, root) of those of ``heads`` (uid, keys, f0, f1) which verified meetings in segments join with others."""
-    edges, size = None, UNSURE + 1
-    for first in range(0, SEGMENTS, TOGETHER):
-        keys = F.slice("keys", first * size + 1, TOGETHER * size)
+    """(node, root) of those of ``heads`` (uid, keys, f0, f1) which verified meetings in segments join with others.
+
+    What earlier segments joined has one label; later ones compare only members of different labels.
+    """
+    named = heads.sparkSession.createDataFrame([], "uid long, label long")
+    size = UNSURE + 1
+    for first, last in portions():
+        keys = F.slice("keys", first * size + 1, (last - first) * size)
         entered = heads.select(F.explode(F.filter(keys, lambda _, i: i % size == 0)).alias("key"))
-        rows = heads.select("uid", "f0", "f1", F.explode(keys).alias("key"))
-        # places with very many own entries are cut into blocks, the balls' entries in them too
-        placed = in_blocks(rows, ["key"], "uid", oversized(entered, ["key"], block)).select("key", "lo", "hi", "uid", "f0", "f1")
-        found = stored(linked(placed, 3, _near, "uid"))
-        edges = found if edges is None else edges.union(found)
-    return connected_components(stored(folded(folded(edges))))
+        part = heads.select("uid", "f0", "f1", keys.alias("keys"))
+        # places with very many own entries are joined to their smallest member first, the balls' entries in them too
+        large = oversized(entered, ["key"], block).select("key")
+        if not large.isEmpty():
+            named = relabelled(named, star_links(labelled(part, named).join(large, "key")))
+        rows = labelled(part, named)
+        placed = in_label_blocks(rows, label_blocks(rows.join(large, "key"), block))
+        named = relabelled(named, joined_labels(placed))
+    return named.select(F.col("uid").alias("node"), F.col("label").alias("root"))
+
+
+def labelled(part: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, uid, label, f0, f1) for each place of ``part`` (uid, f0, f1, keys); what is not in ``named`` (uid, label) is its own label."""
+    return part.join(named, "uid", "left").select(F.explode("keys").alias("key"), "uid", F.coalesce("label", "uid").alias("label"), "f0", "f1")
+
+
+def relabelled(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` (uid, label) after ``links`` (a, b) between labels: each has the smallest label it reaches; a stored table."""
+    roots = stored(connected_components(stored(folded(links))))
+    moved = named.join(roots.withColumnRenamed("node", "label"), "label", "left").select("uid", F.coalesce("root", "label").alias("label"))
+    added = roots.select(F.col("node").alias("uid"), F.col("root").alias("label")).join(named, "uid", "left_anti")
+    return stored(moved.union(added))
+
+
+def star_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between labels, of ``rows`` as from ``labelled`` that are near the smallest member of their place."""
+    first = F.min(F.struct("uid", "label", "f0", "f1")).alias("first")
+    hubs = rows.groupBy("key").agg(first, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("first.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("first.f1")))
+    met = rows.join(stored(hubs.select("key", "first")), "key").where((F.col("label") != F.col("first.label")) & (apart <= RADIUS))
+    return met.select(F.col("label").alias("a"), F.col("first.label").alias("b")).distinct()
+
+
+def label_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(key, top, minor, major): the most frequent label of a place, the number of blocks of the others and of its own; a stored table."""
+    sizes = rows.groupBy("key", "label").count()
+    tops = sizes.groupBy("key").agg(F.max_by("label", "count").alias("top"), F.max("count").alias("most"), F.sum("count").alias("n"))
+    blocks = [F.ceil(x / block).cast("int").alias(name) for x, name in ((F.col("n") - F.col("most"), "minor"), (F.col("most"), "major"))]
+    return stored(tops.select("key", "top", *blocks))
+
+
+def in_label_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """(key, lo, hi, label, f0, f1): ``rows`` once per pair of blocks they belong to, dealt out and sorted by place and pair.
+
+    Members of a place's most frequent label need no comparison with each other, so pairs of their blocks are left out,
+    and with them places of one label.
+    """
+    rows = rows.join(large, "key", "left").where("minor > 0 OR minor IS NULL")
+    frequent, spread = F.col("label") == F.col("top"), F.xxhash64("uid")
+    own = F.when(frequent, F.col("minor") + F.pmod(spread, "major")).otherwise(F.pmod(spread, "minor")).cast("int")
+    others = F.sequence(F.lit(0), F.when(frequent, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
+    pairs = F.transform(others, lambda i: F.struct(F.least(own, i).alias("lo"), F.greatest(own, i).alias("hi")))
+    alone = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    rows = rows.withColumn("pair", F.explode(F.when(F.col("minor").isNull(), alone).otherwise(pairs)))
+    place = ["key", "lo", "hi"]
+    rows = rows.select("key", "pair.lo", "pair.hi", "label", "f0", "f1")
+    return rows.repartition(partitions_of(rows.sparkSession), *place).sortWithinPartitions(*place)
+
+
+def joined_labels(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join the labels of all near pairs of ``rows``, as from ``in_label_blocks``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, 3):
+            label, start = table.column("label").to_numpy(), np.flatnonzero(np.diff(group, prepend=-1))
+            several = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+            rest = np.repeat(several, np.diff(start, append=len(group)))
+            table, group = table.filter(pa.array(rest)).combine_chunks(), group[rest]
+            names, at = np.unique(label[rest], return_inverse=True)
+            links = Links(len(names))
+            for i, j in pairs(group):
+                apart = at[i] != at[j]
+                i, j = i[apart], j[apart]
+                good = _near(table, i, j)
+                links.add(at[i[good]], at[j[good]])
+            a, b = links.stars()
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(names[b], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def folded(edges: DataFrame) -> DataFrame:

@@ -2,11 +2,25 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from slotwise.llm import wide_simhash
 from slotwise.llm.minhash import shingles, similar
-from slotwise.llm.wide_simhash import RADIUS, SEGMENTS, bit_sums, candidate_groups, fingerprints, folded, keep_dissimilar, sketches
+from slotwise.llm.wide_simhash import (
+    RADIUS,
+    SEGMENTS,
+    bit_sums,
+    candidate_groups,
+    fingerprints,
+    folded,
+    in_label_blocks,
+    joined_labels,
+    keep_dissimilar,
+    label_blocks,
+    portions,
+    sketches,
+)
 from tests.llm.test_jaccard_dups import changed, plain_links, texts_similar
 from tests.llm.test_near_dups import reach, texts_near
 
@@ -72,6 +86,44 @@ def test_folded_edges_join_the_same_and_are_few(spark):
     assert reach(range(400), few) == {i: i % 2 for i in range(400)} and len(few) < len(edges) / 5
 
 
+@pytest.mark.parametrize("block", [2048, 48])
+def test_a_large_group_makes_few_links_a_member(spark, tmp_path, monkeypatch, block):
+    rng, seen = random.Random(7), []
+    words = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    rows = [(i, i, changed(rng, words, 1)) for i in range(300)] + [(300 + i, 300 + i, " ".join(f"u{i}_{k}" for k in range(50))) for i in range(20)]
+    path = str(tmp_path / "marks")
+    sketches(spark.createDataFrame(rows, "doc_id long, uid long, text string")).write.parquet(path)
+    monkeypatch.setattr(wide_simhash, "folded", lambda links: seen.append(links.count()) or folded(links))
+    groups = {r["node"]: r["root"] for r in candidate_groups(spark.read.parquet(path), block).collect()}
+    assert groups == dict.fromkeys(range(300), 0) and sum(seen) < 10 * 300
+
+
+def test_blocks_of_labels_meet_and_few_rows_are_made(spark):
+    rng = random.Random(3)
+    far = rng.getrandbits(62)
+    marks = [(1, i, 0 if i < 500 else i, i % 3, 0) for i in range(520)]  # one label for nearly all, all are near
+    marks += [(2, i, i, far if i % 2 else ~far, far if i % 2 else ~far) for i in range(60)]  # two halves, each its own label
+    marks += [(3, i, 7, 0, 0) for i in range(100)]  # one label
+    marks += [(4, i, i // 2, 0, 0) for i in range(5)]  # a small place
+    rows = spark.createDataFrame(marks, "key int, uid long, label long, f0 long, f1 long")
+    placed = in_label_blocks(rows, label_blocks(rows.where("key < 4"), 10))
+    counts = {r["key"]: r["count"] for r in placed.groupBy("key").count().collect()}
+    # 500 members meet two blocks of others, and 20 others two of their own and 50 of the frequent label
+    assert counts[1] == 500 * 2 + 20 * 52 and counts[2] <= 60 * 7 and counts[4] == 5 and 3 not in counts
+    met = {}
+    for key, lo, hi, label in placed.select("key", "lo", "hi", "label").distinct().collect():
+        met.setdefault((key, lo, hi), set()).add(label)
+    want = [(1, [0, *range(500, 520)]), (2, list(range(60))), (4, [0, 1, 2])]
+    assert all(any(k[0] == key and {a, b} <= x for k, x in met.items()) for key, labels in want for a in labels for b in labels)
+    links = {key: reach(range(520), [tuple(r) for r in joined_labels(placed.where(F.col("key") == key)).collect()]) for key in (1, 2, 4)}
+    assert all(links[1][i] == 0 for i in [0, *range(500, 520)]) and {links[2][i] for i in range(60)} == {0, 1}
+    assert [links[4][i] for i in range(3)] == [0, 0, 0]
+
+
+def test_portions_hold_each_segment_once():
+    assert [i for a, b in portions() for i in range(a, b)] == list(range(SEGMENTS))
+
+
 def test_the_pipeline_stage_finds_its_candidates_by_simhash(spark, parquet_of, tmp_path, monkeypatch):
     called, search = [], wide_simhash.candidate_groups
     monkeypatch.setattr(wide_simhash, "candidate_groups", lambda *a: called.append(1) or search(*a))
