@@ -11,9 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.session import shared_folder, stored
+from slotwise.session import shared_folder, stored, tables_folder, workspace
 
-__all__ = ["documents_of", "fold_of", "fresh", "list_column", "partitions_of", "path_for", "stored", "streamed_sha256", "text_of", "with_uid"]
+__all__ = [
+    "documents_of", "few_tasks", "fold_of", "fresh", "list_column", "partitions_of", "path_for", "stored", "streamed_sha256", "tables_folder", "text_of",
+    "with_uid", "workspace",
+]
+
+#: Rows of a narrow table that a task takes at least.
+TASK_ROWS = 1 << 14
 
 
 def text_of(col: str | Column = "text") -> Column:
@@ -58,6 +64,11 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in no more tasks and files than those fill."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def path_for(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.buckets import BLOCK, in_blocks, oversized, whole_groups
-from slotwise.llm.common import fresh, list_column, stored, text_of, with_uid
+from slotwise.llm.common import fresh, list_column, stored, tables_folder, text_of, with_uid, workspace
 from slotwise.llm.components import connected_components
 
 WORDS, BANDS, ROWS, SEED = 5, 30, 5, 20240229
@@ -175,12 +175,12 @@ def rooted_in(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
     """(uid, root) for all that exact similarity joins within a bucket, of ``members`` (band, key, uid, b); ``b`` is the bucket's smallest."""
     place = ["band", "key"]
     stars = stored(members.where("uid <> b").select(F.col("uid").alias("a"), "b").distinct())
-    roots = stored(connected_components(stored(similar_pairs(stars, texts))).withColumnRenamed("node", "uid"))
+    roots = connected_components(similar_pairs(stars, texts)).withColumnRenamed("node", "uid")
     rooted = stored(members.select(*place, "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
     several = rooted.groupBy(*place).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     rest = stored(rooted.join(several.select(*place), place, "left_semi"))
     rows = in_blocks(rest.join(texts, "uid"), place, "uid", oversized(rest, place, block))
-    more = stored(connected_components(stored(compared(rows))).select(F.col("node").alias("root"), F.col("root").alias("above")))
+    more = connected_components(compared(rows)).select(F.col("node").alias("root"), F.col("root").alias("above"))
     every = roots.union(more.select(F.col("root").alias("uid"), "root").join(roots, "uid", "left_anti").select("uid", "root"))
     return every.join(more, "root", "left").select("uid", F.coalesce("above", "root").alias("root"))
 
@@ -203,13 +203,16 @@ def dissimilar_rows(docs: DataFrame, sketched: Callable[[DataFrame], DataFrame],
     (uid,) = fresh(docs, "uid")
     numbered = with_uid(docs, uid)
     plain = numbered.select("doc_id", "text", F.col(uid).alias("uid"))
-    marks = stored(sketched(plain))
     digest = ["d0", "d1"]
-    classes = stored(marks.groupBy(*digest).agg(F.min("uid").alias("uid")))
-    heads = marks.drop("doc_id", *digest).join(classes.select("uid"), "uid", "left_semi")
-    texts = plain.select("uid", text_of("text").cast("binary").alias("text"))
-    roots = stored(rooted(heads, texts))
-    named = classes.join(roots, "uid", "left").select(*digest, F.coalesce("root", "uid").alias("root"))
-    rows = marks.select("doc_id", "uid", *digest).join(named, digest)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("first"))
-    return numbered.join(first.select(F.col("first.uid").alias(uid)), uid, "left_semi").drop(uid)
+    outside = tables_folder(docs.sparkSession)
+    with workspace(docs.sparkSession):
+        marks = stored(sketched(plain))
+        classes = stored(marks.groupBy(*digest).agg(F.min("uid").alias("uid")))
+        heads = marks.drop("doc_id", *digest).join(classes.select("uid"), "uid", "left_semi")
+        texts = plain.select("uid", text_of("text").cast("binary").alias("text"))
+        roots = stored(rooted(heads, texts))
+        named = classes.join(roots, "uid", "left").select(*digest, F.coalesce("root", "uid").alias("root"))
+        rows = marks.select("doc_id", "uid", *digest).join(named, digest)
+        first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("first"))
+        kept = stored(first.select(F.col("first.uid").alias(uid)), outside)
+    return numbered.join(kept, uid, "left_semi").drop(uid)

@@ -97,7 +97,7 @@ def simhash_components(docs: DataFrame, words_in_shingle: int = 3, block: int =
 def _components(marks: DataFrame, block: int) -> DataFrame:
     marks = stored(marks)
     classes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = stored(fingerprint_roots(classes, block))
+    roots = fingerprint_roots(classes, block)
     rooted = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(least, "root").select("fp", "component_id", "root")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.buckets import BLOCK, Links, oversized, pairs, whole_groups
-from slotwise.llm.common import list_column, partitions_of, stored, text_of
+from slotwise.llm.common import few_tasks, list_column, partitions_of, stored, tables_folder, text_of, workspace
 from slotwise.llm.components import connected_components
 from slotwise.llm.minhash import LEAST, dissimilar_rows, rooted_in, shingles
 
@@ -118,21 +118,24 @@ def portions() -> list[tuple[int, int]]:
 def candidate_groups(heads: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, root) of those of ``heads`` (uid, keys, f0, f1) which verified meetings in segments join with others.
 
-    What earlier segments joined has one label; later ones compare only members of different labels.
+    What earlier segments joined has one label; later ones compare only members of different labels.  Of each portion
+    only the labels outlast it.
     """
-    named = heads.sparkSession.createDataFrame([], "uid long, label long")
+    spark = heads.sparkSession
+    outside, named = tables_folder(spark), spark.createDataFrame([], "uid long, label long")
     size = UNSURE + 1
     for first, last in portions():
         keys = F.slice("keys", first * size + 1, (last - first) * size)
         entered = heads.select(F.explode(F.filter(keys, lambda _, i: i % size == 0)).alias("key"))
         part = heads.select("uid", "f0", "f1", keys.alias("keys"))
-        # places with very many own entries are joined to their smallest member first, the balls' entries in them too
-        large = oversized(entered, ["key"], block).select("key")
-        if not large.isEmpty():
-            named = relabelled(named, star_links(labelled(part, named).join(large, "key")))
-        rows = labelled(part, named)
-        placed = in_label_blocks(rows, label_blocks(rows.join(large, "key"), block))
-        named = relabelled(named, joined_labels(placed))
+        with workspace(spark):
+            # places with very many own entries are joined to their smallest member first, the balls' entries in them too
+            large = oversized(entered, ["key"], block).select("key")
+            if not large.isEmpty():
+                named = relabelled(named, star_links(labelled(part, named).join(large, "key")))
+            rows = labelled(part, named)
+            placed = in_label_blocks(rows, label_blocks(rows.join(large, "key"), block))
+            named = relabelled(named, joined_labels(placed), outside)
     return named.select(F.col("uid").alias("node"), F.col("label").alias("root"))
 
 
@@ -141,12 +144,12 @@ def labelled(part: DataFrame, named: DataFrame) -> DataFrame:
     return part.join(named, "uid", "left").select(F.explode("keys").alias("key"), "uid", F.coalesce("label", "uid").alias("label"), "f0", "f1")
 
 
-def relabelled(named: DataFrame, links: DataFrame) -> DataFrame:
-    """``named`` (uid, label) after ``links`` (a, b) between labels: each has the smallest label it reaches; a stored table."""
-    roots = stored(connected_components(stored(folded(links))))
+def relabelled(named: DataFrame, links: DataFrame, folder: str | None = None) -> DataFrame:
+    """``named`` (uid, label) after ``links`` (a, b) between labels: each has the smallest label it reaches; stored as by ``stored``."""
+    roots = connected_components(folded(links))
     moved = named.join(roots.withColumnRenamed("node", "label"), "label", "left").select("uid", F.coalesce("root", "label").alias("label"))
     added = roots.select(F.col("node").alias("uid"), F.col("root").alias("label")).join(named, "uid", "left_anti")
-    return stored(moved.union(added))
+    return stored(few_tasks(moved.union(added), named.count() + roots.count()), folder)
 
 
 def star_links(rows: DataFrame) -> DataFrame:

@@ -66,16 +66,33 @@ def workspace(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table of its own in the shared folder and return a scan of it.
+def tables_folder(spark: SparkSession) -> str:
+    """Where ``stored`` writes now: the folder of the innermost scope, or else the shared one."""
+    return _scopes[-1] if _scopes else shared_folder(spark)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries inside delete their shuffle files as they end; else these stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` to a table of its own in ``folder``, or ``tables_folder``, and return a scan of it.
 
     The scan starts a short new lineage on files that outlive any executor, reads only the
     columns it needs, and has a known size, from which the planner decides on broadcasts.
     """
     spark = df.sparkSession
-    folder = _scopes[-1] if _scopes else shared_folder(spark)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder or tables_folder(spark)}/table-{uuid.uuid4().hex}"
+    with brief_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

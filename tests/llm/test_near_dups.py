@@ -1,3 +1,4 @@
+import os
 import random
 
 import duckdb
@@ -8,6 +9,7 @@ import xxhash
 from slotwise.llm.components import connected_components
 from slotwise.llm.embedding_dups import bucket_keys, embedding_components
 from slotwise.llm.simhash import fingerprint, keep_one_each, simhash_components
+from slotwise.session import workspace
 
 
 def reach(nodes, links):
@@ -36,6 +38,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_leave_one_small_table(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    parts, merged = (f"spark.sql.{x}" for x in ("shuffle.partitions", "adaptive.coalescePartitions.enabled"))
+    before = spark.conf.get(parts)
+    spark.conf.set(parts, "40")
+    spark.conf.set(merged, "false")
+    try:
+        with workspace(spark) as folder:
+            got = connected_components(links)
+            assert len(os.listdir(folder.removeprefix("file:"))) == 1 and len(got.inputFiles()) == 1
+            assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(51)}
+    finally:
+        spark.conf.set(parts, before)
+        spark.conf.unset(merged)
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

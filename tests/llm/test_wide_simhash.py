@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -21,6 +22,7 @@ from slotwise.llm.wide_simhash import (
     portions,
     sketches,
 )
+from slotwise.session import workspace
 from tests.llm.test_jaccard_dups import changed, plain_links, texts_similar
 from tests.llm.test_near_dups import reach, texts_near
 
@@ -120,6 +122,16 @@ def test_blocks_of_labels_meet_and_few_rows_are_made(spark):
     assert [links[4][i] for i in range(3)] == [0, 0, 0]
 
 
+def test_only_the_rows_and_the_kept_ids_stay_stored(spark, parquet_of):
+    docs = parquet_of(texts_similar())
+    with workspace(spark) as folder:
+        before = set(os.listdir(os.path.dirname(folder).removeprefix("file:")))
+        kept = keep_dissimilar(docs)
+        left = os.listdir(folder.removeprefix("file:"))
+        assert len(left) == 2 and set(os.listdir(os.path.dirname(folder).removeprefix("file:"))) - before <= {os.path.basename(folder)}
+        assert kept.count() < docs.count()
+
+
 def test_portions_hold_each_segment_once():
     assert [i for a, b in portions() for i in range(a, b)] == list(range(SEGMENTS))
 

@@ -114,6 +114,18 @@ def test_workspace_deletes_what_was_stored_in_it(spark):
     assert outside.count() == 2
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())}
+
+    before, name = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    table = stored(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not [x for x in shuffled() - before if x.startswith("shuffle_")]
+    assert spark.conf.get(name) == setting and table.count() == 7
+
+
 def test_report_of_a_run_replaces_itself_only(spark, tmp_path):
     from slotwise.sources import append_report, read_report
 
